@@ -86,13 +86,15 @@ def mix(
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: row (a stable key), doc_id, size, source_size, target, taken, finish."""
+    """One row per document: doc_id, source, size, source_size, target, taken, finish and ``keep``."""
     sizes = materialise(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             words_in(text).alias("size"),
+            *keep,
         ),
         "mix-sizes",
     )
@@ -121,10 +123,10 @@ def mix(
     cut = int(share.agg(F.coalesce(F.sum(F.floor(F.col("target") + 1e-6)), F.lit(0))).first()[0])
     steps = 16 ** digits
     served = materialise(
-        served.repartitionByRange("finish", "h").withColumn("step", F.floor(F.col("finish") * F.lit(steps))), "mix-served"
+        served.select("source", "h", "size", "queue", "finish", "words", F.floor(F.col("finish") * F.lit(steps)).alias("step")), "mix-served"
     )
     served = _cut(served, cut)
-    taken = served.groupBy("source", "h", "size", "queue", "doc_id").agg(F.sum("words").alias("taken"), F.max("finish").alias("finish"))
+    taken = served.groupBy("source", "h", "size", "queue").agg(F.sum("words").alias("taken"), F.max("finish").alias("finish"))
     key = ["h", "size", "queue"]
     taken = taken.select(*[F.col(k).alias(f"t_{k}") for k in key], F.col("source").alias("t_source"), "taken", "finish")
     out = queued.join(
@@ -133,18 +135,19 @@ def mix(
         "left",
     )
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "finish"
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "finish", *keep
     )
 
 
 def _cut(served: DataFrame, budget: int) -> DataFrame:
-    """Keep the first ``budget`` words of the global order by (finish, h)."""
+    """Keep the first ``budget`` words of the global order by (finish, h): rows are ranged by steps of
+    virtual time and sorted within them, and sums of earlier steps carry the running total."""
     sums = served.groupBy("step").agg(F.sum("words").alias("v"))
     before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialise(sums.select(F.col("step").alias("__s"), F.coalesce(F.sum("v").over(before), F.lit(0)).alias("__before")), "mix-steps")
     inside = Window.partitionBy("step").orderBy("finish", "h", "source", "queue").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        served.withColumn("__in", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+        served.repartitionByRange("step").withColumn("__in", F.coalesce(F.sum("words").over(inside), F.lit(0)))
         .join(sums, F.col("step") == F.col("__s"))
         .withColumn("words", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget) - F.col("__before") - F.col("__in"))))
         .where("words > 0")
@@ -152,6 +155,29 @@ def _cut(served: DataFrame, budget: int) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix serves it, to the nearest whole time.
+
+    Rows without words stay once; rows equal in id, source and text share alike.
+    """
+    cols = docs.columns
+    named = docs.withColumn("__t", F.xxhash64(text))
+    served = mix(named, text=text, source=source, doc_id=doc_id, keep=("__t",), **options)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size")))
+    per = served.withColumn("times", times).groupBy("doc_id", "source", "__t").agg(F.sum("times").alias("c"), F.count("*").alias("r"))
+    per = per.select(
+        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__t").alias("__h"), F.round(F.col("c") / F.col("r")).cast("int").alias("__n")
+    ).where("__n > 0")
+    per = materialise(per, "mix-times")
+    same = (
+        (F.col("__t") == F.col("__h"))
+        & F.col(doc_id).cast("long").eqNullSafe(F.col("__d"))
+        & F.col(source).cast("string").eqNullSafe(F.col("__s"))
+    )
+    joined = named.join(per, same)
+    return joined.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*cols)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -130,8 +130,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 2, crowded: int = CRO
         return _star_links(nodes, radius)
     emitted = _half_variants(nodes, radius)
     shared = materialise(
-        emitted.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("z"))
-        .where("a < z").select("key", "n"),
+        emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"),
         "ball-shared",
     )
     filt = materialise(membership_filter(shared, "key"), "ball-filter")
