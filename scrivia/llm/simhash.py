@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 
 from scrivia.llm.common import components, materialise, membership_filter, possible_members, small_arrow_batches, table
 
-#: Up to so many fingerprints at a variant, their pairs are compared one by one.
-CROWDED = 16
+#: Up to so many fingerprints at a variant, their pairs are compared one by one.  A fingerprint
+#: has 66 half-variants: with up to 63 at each, its pairs (66 x 31) are never more than its 2,081 variants.
+CROWDED = 63
 
 
 def fold_bits(h: np.ndarray) -> int:
@@ -109,16 +110,28 @@ def _half_variants(nodes: DataFrame, radius: int) -> DataFrame:
     )
 
 
+def _literal_variants(nodes: DataFrame, reach: int) -> DataFrame:
+    """(key, fp): all variants within ``reach`` bits.
+
+    A ball is dealt out in 65 slices, by the lowest bit changed, before it is emitted: a
+    few fingerprints with thousands of variants each would else sit in a few tasks.
+    """
+    slices: list[list[int]] = [[] for _ in range(65)]
+    for m in ball(64, reach):
+        slices[(m & -m).bit_length() - 1 if m else 64].append(m)
+    table = F.array(*[_masks(x) for x in slices])
+    dealt = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).repartition("fp", "i")
+    return dealt.select("fp", F.explode(F.get(table, F.col("i"))).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("key"), "fp")
+
+
 def _star_links(nodes: DataFrame, radius: int) -> DataFrame:
     """Literal form: (a, b) links of each fingerprint to the least one at each of its variants."""
     if radius % 2:
         raise ValueError("the literal form takes an even radius")
-    emitted = nodes.select("fp", F.explode(_masks(ball(64, radius // 2))).alias("m")).select(
-        F.col("fp").bitwiseXOR(F.col("m")).alias("key"), "fp"
-    )
+    emitted = _literal_variants(nodes, radius // 2)
     shared = emitted.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("key", "a")
     shared = materialise(shared, "ball-star")
-    return emitted.join(shared, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    return emitted.join(shared.hint("merge"), "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, radius: int = 4, blocks: int = 2, crowded: int = CROWDED) -> DataFrame:
@@ -134,7 +147,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 2, crowded: int = CRO
         "ball-shared",
     )
     filt = materialise(membership_filter(shared, "key"), "ball-filter")
-    met = materialise(possible_members(emitted, F.col("key"), filt).join(shared, "key"), "ball-met")
+    met = materialise(possible_members(emitted, F.col("key"), filt).join(shared.hint("merge"), "key"), "ball-met")
     few = met.where(F.col("n") <= crowded)
     pairs = (
         few.select("key", F.col("fp").alias("a"))
@@ -144,8 +157,8 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 2, crowded: int = CRO
         .select("a", "b")
         .distinct()
     )
-    dense = met.where(F.col("n") > crowded).select("fp").distinct()
-    return pairs.unionAll(_star_links(dense, radius))
+    dense = materialise(met.where(F.col("n") > crowded).select("fp").distinct(), "ball-dense")
+    return pairs if dense.isEmpty() else pairs.unionAll(_star_links(dense, radius))
 
 
 def near_classes(fps: DataFrame, radius: int = 4, blocks: int = 2) -> DataFrame:
