@@ -273,26 +273,30 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, folds: int
     return Model(lexicon, logistic(x, y))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out: int | None = 0, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (none by default) with doc_id, score and the number of matched clauses."""
-    keep = keep or []
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    model = fit(docs.select("doc_id", "text"), labels, held_out)
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out: int | None = 0, keep: list[str] | None = None
+) -> DataFrame:
+    """``keep`` columns (doc_id by default) and the score of every whole text."""
+    keep = keep or [doc_id]
+    model = fit(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), labels, held_out)
     small_arrow_batches(docs.sparkSession)
+    src = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    at = src.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())
-            cols = [b.column(0), *b.columns[2:], scores]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *keep, "score"])
+            scores = pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], [*keep, "toxicity_score"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(["doc_id long", *[f"`{c}` {kinds[f'k_{c}']}" for c in keep], "score double"])
-    return docs.mapInArrow(run, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
+    return src.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "toxicity_score double"]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(
-        "doc_id", (fold(of=5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
+        "doc_id",
+        (fold(of=5) == 0).alias("held_out"),
+        F.col("toxicity_score").alias("score"),
+        (F.col("toxicity_score") >= CUT).cast("int").alias("predicted")
     )
