@@ -55,10 +55,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, pa
             "open_w": F.sum("w").over(by_r.rowsBetween(0, Window.unboundedFollowing)),
         }
     ).withColumn("level", (F.col("budget") - F.col("full")) / F.col("open_w"))
-    # the least level at which the source itself is not yet at its cap, over all sources
-    per = per.withColumn("at", F.min(F.when(F.col("r") >= F.col("level"), F.col("level"))).over(everything))
-    capped = F.col("at").isNull() | (F.col("r") < F.col("at"))
-    return per.select("source", "source_size", F.round(F.when(capped, F.col("cap")).otherwise(F.col("w") * F.col("at")), 6).alias("target"))
+    # levels rise while the sources left out are below them and fall afterwards: the highest is the water level
+    per = per.withColumn("at", F.max("level").over(everything))
+    return per.select("source", "source_size", F.round(F.least(F.col("cap"), F.col("w") * F.col("at")), 6).alias("target"))
 
 
 def _running(df: DataFrame, groups: list[str], slice_col: str, order: list, value: str, out: str) -> DataFrame:
@@ -193,9 +192,8 @@ x AS (SELECT *, cap / w AS ratio, sum(source_size) OVER () * 150.0::DOUBLE / 100
         coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS full_cap,
         sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM w),
 y AS (SELECT *, (budget - full_cap) / open_w AS level FROM x),
-z AS (SELECT *, min(CASE WHEN ratio >= level THEN level END) OVER () AS lev FROM y),
-t AS (SELECT source, source_size,
-        round(CASE WHEN lev IS NULL OR ratio < lev THEN cap ELSE w * lev END, 6) AS target FROM z),
+z AS (SELECT *, max(level) OVER () AS lev FROM y),
+t AS (SELECT source, source_size, round(least(cap, w * lev), 6) AS target FROM z),
 q AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 1e-6) AS BIGINT) AS whole,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS queue
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
