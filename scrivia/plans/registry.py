@@ -1,4 +1,654 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivia.functions import text as T
+from scrivia.functions.stemming import stems
+from scrivia.operators import catalog, chunking, content, evals, reading, references
+from scrivia.sources import fixtures as fx
+from scrivia.sources import html
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+def _with(ctes: str, body: str) -> str:
+    return f"WITH {ctes}\n{body}"
+
+
+# --- names ------------------------------------------------------------------
+
+_NAME = "doc_id, type_prefix, title, revision, is_signed, is_obsolete, is_duplicate, sw_version, warning"
+
+
+@query(_with(fx.FILES, f"SELECT id, {_NAME} FROM parsed"))
+def parse_filename(spark: SparkSession, sf: str) -> DataFrame:
+    return T.parse_filename(fx.files(spark, sf)).select("id", *_NAME.split(", "))
+
+
+@query(
+    _with(
+        fx.FILES,
+        r"""SELECT filename, 'no doc ID at start of ''' || filename || '''' AS error FROM (
+  SELECT CASE id % 9 WHEN 0 THEN 'notes ' || id || '.docx' WHEN 1 THEN '~$' || filename ELSE filename END AS filename FROM files)
+WHERE NOT starts_with(filename, '~$') AND NOT regexp_matches(filename, '^(IFU-MX1|[A-Z0-9]{2,4}(?:-[A-Z0-9]+)*?-\d+)')""",
+    )
+)
+def parse_corpus_failures(spark, sf):
+    names = fx.files(spark, sf).selectExpr(
+        "CASE id % 9 WHEN 0 THEN concat('notes ', id, '.docx') WHEN 1 THEN concat('~$', filename) ELSE filename END AS filename"
+    )
+    bad = T.parse_filename(names.where(~F.startswith("filename", F.lit("~$")))).where("doc_id IS NULL")
+    return bad.select("filename", F.concat(F.lit("no doc ID at start of '"), "filename", F.lit("'")).alias("error"))
+
+
+@query(_with(fx.FILES, "SELECT sw_version, count(*) AS n FROM parsed WHERE sw_version IS NOT NULL GROUP BY sw_version"))
+def sw_version(spark, sf):
+    return T.parse_filename(fx.files(spark, sf)).where("sw_version IS NOT NULL").groupBy("sw_version").agg(F.count("*").alias("n"))
+
+
+_REPORT = {
+    "parsed": "count(*)", "doc_ids": "count(distinct doc_id)", "signed": "count_if(is_signed)", "obsolete": "count_if(is_obsolete)",
+    "duplicates": "count_if(is_duplicate)", "missing_revision": "count_if(revision IS NULL)", "with_sw": "count_if(sw_version IS NOT NULL)",
+    "warnings": "count_if(warning IS NOT NULL)",
+}
+
+
+@query(_with(fx.FILES, "SELECT " + ", ".join(f"CAST({e} AS BIGINT) AS {k}" for k, e in _REPORT.items()) + " FROM parsed"))
+def filename_report(spark, sf):
+    return T.parse_filename(fx.files(spark, sf)).agg(*[F.expr(e).cast("long").alias(k) for k, e in _REPORT.items()])
+
+
+@query(_with(fx.FILES, "SELECT type_prefix, count(*) AS n FROM parsed GROUP BY type_prefix ORDER BY n DESC, type_prefix"))
+def type_histogram(spark, sf):
+    return T.parse_filename(fx.files(spark, sf)).groupBy("type_prefix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type_prefix")
+
+
+@query(
+    _with(
+        fx.FILES,
+        """SELECT doc_id, string_agg(coalesce(revision, '?') || CASE WHEN is_obsolete THEN '(obs)' ELSE '' END || CASE WHEN is_duplicate THEN '(dup)' ELSE '' END, ', '
+  ORDER BY coalesce(revision, ''), filename) AS revisions FROM parsed GROUP BY doc_id HAVING count(*) > 1""",
+    )
+)
+def chain_listing(spark, sf):
+    mark = F.concat(F.coalesce("revision", F.lit("?")), F.when(F.col("is_obsolete"), "(obs)").otherwise(""), F.when(F.col("is_duplicate"), "(dup)").otherwise(""))
+    entry = F.struct(F.coalesce("revision", F.lit("")).alias("r"), "filename", mark.alias("m"))
+    out = T.parse_filename(fx.files(spark, sf)).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("rs"))
+    return out.where(F.size("rs") > 1).select("doc_id", F.array_join(F.transform("rs", lambda r: r["m"]), ", ").alias("revisions"))
+
+
+# --- blocks and chunks ------------------------------------------------------
+
+
+@query(
+    _with(
+        fx.FILES,
+        """SELECT id, coalesce(nullif(array_to_string(list_transform(list_slice(string_split(body, chr(10)), 1, 2),
+  lambda p: CASE WHEN length(p) > 80 THEN substr(p, 1, 79) || '…' ELSE p END), ' > '), ''), 'body') AS label FROM files""",
+    )
+)
+def heading_label(spark, sf):
+    return fx.files(spark, sf).select("id", T.heading_label(F.slice(F.split("body", "\n", -1), 1, 2)).alias("label"))
+
+
+@query(
+    _with(
+        fx.PACKED,
+        """SELECT id, CAST(u.i - 1 AS INTEGER) AS ord, array_to_string(u.b.path, ' > ') AS path, u.b.section AS section, u.b.kind AS kind, md5(u.b.text) AS text
+FROM packed, (SELECT unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i) u""",
+    )
+)
+def section_fold(spark, sf):
+    df = fx.files(spark, sf).select("id", F.posexplode(chunking.section_fold(fx.items())).alias("ord", "b"))
+    return df.select("id", "ord", F.array_join("b.path", " > ").alias("path"), "b.section", "b.kind", F.md5("b.text").alias("text"))
+
+
+@query()
+def extract_sections_html(spark, sf):
+    return html.sections(fx.read(spark, sf, "pages"))
+
+
+@query(
+    """WITH g AS (SELECT p_brand, list(['' || p_partkey, p_name, p_type] ORDER BY p_partkey) AS rows FROM part GROUP BY p_brand),
+h AS (SELECT p_brand, '| ' || array_to_string(rows[1], ' | ') || ' |' || chr(10) || '| --- | --- | --- |' AS head, rows FROM g),
+f AS (SELECT p_brand, list_reduce(list_prepend({'out': []::VARCHAR[], 'n': 0, 'line': ''},
+    list_transform(rows[2:], lambda r: {'out': []::VARCHAR[], 'n': 0, 'line': '| ' || array_to_string(r, ' | ') || ' |'})), lambda a, x: CASE
+  WHEN len(a.out) = 0 OR a.n + length(x.line) > 4000 THEN {'out': list_append(a.out, head || chr(10) || x.line), 'n': CAST(length(head) + length(x.line) + 1 AS INTEGER), 'line': ''}
+  ELSE {'out': list_append(list_slice(a.out, 1, len(a.out) - 1), a.out[-1] || chr(10) || x.line), 'n': CAST(a.n + length(x.line) + 1 AS INTEGER), 'line': ''} END).out AS out
+  FROM h)
+SELECT p_brand, CAST(u.i - 1 AS INTEGER) AS block, md5(u.b) AS text, CAST(length(u.b) AS INTEGER) AS chars
+FROM f, (SELECT unnest(out) AS b, generate_subscripts(out, 1) AS i) u"""
+)
+def table_blocks(spark, sf):
+    row = F.struct("p_partkey", F.array(F.col("p_partkey").cast("string"), "p_name", "p_type").alias("cells"))
+    g = fx.read(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(row)).alias("rs"))
+    blocks = chunking.table_blocks(F.transform("rs", lambda r: F.transform(r["cells"], T.cell)))
+    out = g.select("p_brand", F.posexplode(blocks).alias("block", "b"))
+    return out.select("p_brand", "block", F.md5("b").alias("text"), F.length("b").alias("chars"))
+
+
+@query(_with(fx.TABLES, "SELECT chunk_id, doc_id, revision, position, section_path, kind, CAST(length(text) AS INTEGER) AS chars, md5(text) AS text FROM chunk"))
+def chunk_pack(spark, sf):
+    _, chunks = fx.tables(spark, sf)
+    return chunks.select("chunk_id", "doc_id", "revision", "position", "section_path", "kind", F.length("text").alias("chars"), F.md5("text").alias("text"))
+
+
+@query(_with(fx.PACKED, "SELECT id, sha256(all_text) AS content_hash, CAST(length(all_text) AS BIGINT) AS char_count, len(chunks) = 0 AS is_empty FROM packed"))
+def content_hash(spark, sf):
+    return fx.packed(fx.files(spark, sf)).select("id", "content_hash", "char_count", "is_empty")
+
+
+@query(
+    _with(
+        fx.TABLES,
+        """SELECT chunk_id, md5(doc_id || ' Rev ' || coalesce(nullif(revision, ''), '—') || ' — ' || title
+  || CASE WHEN section_path <> '' THEN chr(10) || '§ ' || section_path ELSE '' END || chr(10) || '---' || chr(10) || text) AS text FROM chunk""",
+    )
+)
+def embed_text(spark, sf):
+    documents, chunks = fx.tables(spark, sf)
+    rows = chunks.join(documents.select("doc_id", "revision", "title"), ["doc_id", "revision"])
+    return rows.select("chunk_id", F.md5(T.embed_text("doc_id", "revision", "title", "section_path", "text")).alias("text"))
+
+
+_COPIES = (
+    fx.FILES
+    + r""",
+more AS (SELECT id, filename, body FROM files UNION ALL SELECT id + 1000000000, regexp_replace(filename, '(\(1\))?[.]docx$', '') || '(2).docx',
+  CASE WHEN id % 80 = 7 THEN body ELSE body || chr(10) || 'changed' END FROM files WHERE id % 40 = 7),
+again AS (SELECT * FROM ("""
+    + fx._parsed("more")
+    + ")),"
+    + fx._packed("again", "copies")
+    + """,
+ranked AS (SELECT *, sha256(all_text) AS h, row_number() OVER w AS rank, first_value(sha256(all_text)) OVER w AS first_h
+  FROM copies WINDOW w AS (PARTITION BY doc_id, revision ORDER BY is_duplicate, filename))"""
+)
+
+
+@query(_with(_COPIES, "SELECT doc_id, revision, filename, h AS content_hash FROM ranked WHERE rank = 1"))
+def dedupe_docs(spark, sf):
+    return chunking.dedupe(fx.packed(fx.with_copies(fx.files(spark, sf)))).where("rank = 1").select("doc_id", "revision", "filename", "content_hash")
+
+
+@query(_with(_COPIES, "SELECT doc_id, revision, filename, h <> first_h AS conflict FROM ranked WHERE rank > 1"))
+def dup_conflicts(spark, sf):
+    return chunking.dedupe(fx.packed(fx.with_copies(fx.files(spark, sf)))).where("rank > 1").select("doc_id", "revision", "filename", "conflict")
+
+
+@query(
+    _with(
+        fx.TABLES,
+        """SELECT count(*) AS documents, count(DISTINCT doc_id) AS doc_ids, CAST(count(*) FILTER (WHERE is_empty) AS BIGINT) AS empty_docs,
+  (SELECT count(*) FROM chunk) AS chunks, (SELECT count(*) FROM (SELECT 1 FROM docs GROUP BY doc_id HAVING count(*) > 1)) AS rev_chains FROM docs""",
+    )
+)
+def ingest_stats(spark, sf):
+    documents, chunks = fx.tables(spark, sf)
+    a = documents.agg(F.count("*").alias("documents"), F.countDistinct("doc_id").alias("doc_ids"), F.count_if("is_empty").alias("empty_docs"))
+    b = chunks.agg(F.count("*").alias("chunks"))
+    c = documents.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("rev_chains"))
+    return a.crossJoin(b).crossJoin(c)  # one row each
+
+
+@query(
+    _with(
+        fx.PACKED,
+        """SELECT CAST(count(*) FILTER (WHERE len(blocks) = 0) AS BIGINT) AS empty_files,
+  CAST(count(*) FILTER (WHERE len(blocks) > 0 AND len(list_filter(blocks, lambda b: len(b.path) > 0)) = 0) AS BIGINT) AS no_headings,
+  CAST(sum(len(list_filter(blocks, lambda b: b.kind = 'text'))) AS BIGINT) AS text_blocks,
+  CAST(sum(len(list_filter(blocks, lambda b: b.kind = 'table'))) AS BIGINT) AS table_blocks,
+  CAST(sum(list_sum(list_transform(blocks, lambda b: length(b.text)))) AS BIGINT) AS chars FROM packed""",
+    )
+)
+def corpus_stats(spark, sf):
+    b = fx.files(spark, sf).select("id", F.explode_outer(chunking.section_fold(fx.items())).alias("b"))
+    per = b.groupBy("id").agg(
+        F.count("b").alias("n"), F.bool_or(F.size("b.path") > 0).alias("headed"), F.count_if(F.col("b.kind") == "text").alias("t"),
+        F.count_if(F.col("b.kind") == "table").alias("tb"), F.sum(F.length("b.text")).alias("chars"),
+    )
+    return per.agg(
+        F.count_if(F.col("n") == 0).alias("empty_files"), F.count_if((F.col("n") > 0) & ~F.col("headed")).alias("no_headings"),
+        F.sum("t").alias("text_blocks"), F.sum("tb").alias("table_blocks"), F.sum("chars").alias("chars"),
+    )
+
+
+# --- references -------------------------------------------------------------
+
+_SHAPE = references.mention_shape(list(fx.TYPES))
+_REFS = (
+    fx.TABLES
+    + rf""",
+gaps AS (SELECT doc_id, revision, position, text, regexp_extract_all(text, '{_SHAPE}', 1) AS hits, string_split_regex(text, '{_SHAPE}') AS parts
+  FROM chunk WHERE regexp_matches(text, '{_SHAPE}')),
+spots AS (SELECT doc_id, revision, position, text, u.i, u.t AS to_doc,
+    coalesce(list_sum(list_transform(list_slice(parts, 1, u.i), lambda x: length(x))), 0) + coalesce(list_sum(list_transform(list_slice(hits, 1, u.i - 1), lambda x: length(x))), 0) AS s
+  FROM gaps, (SELECT unnest(hits) AS t, generate_subscripts(hits, 1) AS i) u WHERE u.t <> doc_id),
+refs AS (SELECT doc_id AS from_doc, revision AS from_rev, to_doc, count(*) AS n_mentions,
+    arg_min(trim(substr(text, CAST(greatest(0, s - 60) + 1 AS BIGINT), CAST(s + length(to_doc) + 60 - greatest(0, s - 60) AS BIGINT))), position * 1000000 + i) AS context
+  FROM spots GROUP BY ALL)"""
+)
+
+
+def _refs(spark, sf):
+    documents, chunks = fx.tables(spark, sf)
+    return documents, references.extract_refs(chunks, _SHAPE)
+
+
+@query(_with(_REFS, "SELECT from_doc, from_rev, to_doc, n_mentions, context FROM refs"))
+def extract_refs(spark, sf):
+    return _refs(spark, sf)[1]
+
+
+@query(_with(_REFS, "SELECT DISTINCT to_doc FROM refs WHERE to_doc NOT IN (SELECT doc_id FROM docs)"))
+def dangling_refs(spark, sf):
+    documents, refs = _refs(spark, sf)
+    return references.dangling(refs, documents)
+
+
+@query(
+    _with(
+        _REFS,
+        """SELECT from_doc, to_doc, max(n_mentions) AS mentions, to_doc IN (SELECT doc_id FROM docs) AS resolved, substr(max(context), 1, 160) AS context
+FROM refs GROUP BY from_doc, to_doc""",
+    )
+)
+def refs_outbound(spark, sf):
+    documents, refs = _refs(spark, sf)
+    return references.outbound(refs, documents)
+
+
+@query(_with(_REFS, "SELECT to_doc, from_doc, from_rev, n_mentions AS mentions, substr(context, 1, 160) AS context FROM refs"))
+def refs_inbound(spark, sf):
+    return references.inbound(_refs(spark, sf)[1])
+
+
+# --- catalog ----------------------------------------------------------------
+
+_CHAINS = fx.TABLES + fx.CHAINS
+
+
+def _flat(c: DataFrame, *more: str) -> DataFrame:
+    return c.select("doc_id", "type", F.size("revisions").cast("long").alias("n_revisions"), F.array_join(F.transform("revisions", lambda r: r["revision"]), ",").alias("revisions"), "latest_current", "title", *more)
+
+
+_COLS = "doc_id, type, n_revisions, revisions, latest_current, title"
+
+
+@query(_with(_CHAINS, f"SELECT {_COLS} FROM chains"))
+def revision_chains(spark, sf):
+    return _flat(catalog.chains(fx.tables(spark, sf)[0]))
+
+
+@query(_with(_CHAINS, "SELECT doc_id, latest_current FROM chains"))
+def latest_current(spark, sf):
+    return catalog.chains(fx.tables(spark, sf)[0]).select("doc_id", "latest_current")
+
+
+@query(_with(_CHAINS, "SELECT doc_id, revision, is_current FROM defaults"))
+def default_revisions(spark, sf):
+    return catalog.default_revisions(fx.tables(spark, sf)[0])
+
+
+def _catalog(name: str, where: str, **options):
+    @query(_with(_CHAINS, f"SELECT {_COLS} FROM chains WHERE {where}"), name)
+    def run(spark, sf):
+        return _flat(catalog.search_catalog(fx.tables(spark, sf)[0], **options))
+
+
+_catalog("catalog_by_type", "type = 'ECR'", doc_type="ecr")
+_catalog("catalog_by_sw", "list_contains(string_split(sws, ','), 'v3.1.0')", sw_version="3.1.0")
+_catalog("catalog_status_signed", "any_signed", status="signed")
+_catalog("catalog_status_obsolete", "latest_current IS NULL", status="obsolete")
+_catalog("catalog_status_current", "latest_current IS NOT NULL", status="current")
+_catalog("catalog_status_empty", "all_empty", status="empty")
+
+
+@query(_with(_CHAINS, "SELECT type, count(*) AS n FROM chains WHERE latest_current IS NOT NULL GROUP BY type"))
+def catalog_count(spark, sf):
+    return catalog.filtered(catalog.chains(fx.tables(spark, sf)[0]), status="current").groupBy("type").agg(F.count("*").alias("n"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(
+    f"""SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({_STOP})), ' ') AS tokens,
+  array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ') AS terms FROM conversations"""
+)
+def query_tokens(spark, sf):
+    return fx.read(spark, sf, "conversations").select(
+        "conv_id", "turn", F.array_join(T.fuzzy_tokens("text", stop=True), " ").alias("tokens"), F.array_join(T.query_terms("text"), " ").alias("terms")
+    )
+
+
+@query(
+    _with(
+        _CHAINS,
+        "SELECT doc_id, CASE WHEN doc_id IN ('ECR-P01-013') OR (type = 'ECR' AND ltrim(split_part(doc_id, '-', -1), '0') = '28') THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM chains",
+    )
+)
+def id_score(spark, sf):
+    c = catalog.chains(fx.tables(spark, sf)[0])
+    one = catalog.id_score(F.lit("please find ecr p01 028 for me"), F.col("doc_id"), F.col("type"))
+    two = catalog.id_score(F.lit("ecr_p01/013"), F.col("doc_id"), F.col("type"))
+    return c.select("doc_id", F.greatest(one, two).alias("score"))
+
+
+def _lcs(a: str, b: str) -> str:
+    """DuckDB: 200 LCS / (lengths) of two expressions."""
+    rows = f"list_prepend(list_transform(range(0, length({b}) + 1), lambda z: 0), list_transform(range(1, length({a}) + 1), lambda i: [CAST(i AS INTEGER)]))"
+    inner = (
+        f"list_reduce(list_prepend([0], list_transform(range(1, length({b}) + 1), lambda j: [CAST(j AS INTEGER)])), lambda cur, y: "
+        f"list_append(cur, CASE WHEN substr({a}, x[1], 1) = substr({b}, y[1], 1) THEN prev[y[1]] + 1 ELSE greatest(prev[y[1] + 1], cur[len(cur)]) END))"
+    )
+    return f"(200.0::DOUBLE * list_reduce({rows}, lambda prev, x: {inner})[-1] / (length({a}) + length({b})))"
+
+
+_PROBES = "materials materails summary validation record"
+
+
+@query(
+    _with(
+        fx.FILES,
+        f"""SELECT q, t, round({_lcs('q', 't')}, 6) AS ratio FROM
+  (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z0-9]{{2,}}')) AS t FROM parsed), (SELECT unnest(string_split('{_PROBES}', ' ')) AS q)""",
+    )
+)
+def indel_ratio(spark, sf):
+    t = T.parse_filename(fx.files(spark, sf)).select(F.explode(T.fuzzy_tokens("title")).alias("t")).distinct()
+    # five probes
+    q = spark.range(1).select(F.explode(F.split(F.lit(_PROBES), " ")).alias("q"))
+    return t.crossJoin(F.broadcast(q)).select("q", "t", F.round(T.indel_ratio("q", "t"), 6).alias("ratio"))
+
+
+_ASK = "bill of materails anonre"
+
+
+def _scores(ask: str) -> str:
+    return (
+        _CHAINS
+        + f""",
+q AS (SELECT u.q, u.i FROM (SELECT list_filter(regexp_extract_all(lower('{ask}'), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({_STOP})) AS l) x, (SELECT unnest(l) AS q, generate_subscripts(l, 1) AS i) u),
+texts AS (SELECT DISTINCT doc_id AS k, title AS text FROM docs UNION ALL SELECT 'type:' || t.k, t.v FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in catalog.TYPE_NAMES.items())}) t(k, v)),
+toks AS (SELECT DISTINCT k, text, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS t FROM texts),
+vocab AS (SELECT * FROM (SELECT q, t, {_lcs('q', 't')} AS r FROM (SELECT DISTINCT t FROM toks), (SELECT DISTINCT q FROM q)) WHERE r >= 55),
+best AS (SELECT k, text, i, q, max(r) AS r FROM toks JOIN vocab USING (t) JOIN q USING (q) GROUP BY ALL),
+ts AS (SELECT k, text, coalesce(sum(length(q) * r), 0.0) / (SELECT sum(length(q)) FROM q) AS score FROM texts LEFT JOIN best USING (k, text) GROUP BY ALL),
+cs AS (SELECT c.*, greatest((SELECT max(score) FROM ts WHERE k = c.doc_id), (SELECT least(score, 88.0) FROM ts WHERE k = 'type:' || c.type)) AS score FROM chains c)"""
+    )
+
+
+@query(_with(_scores(_ASK), "SELECT k AS doc_id, text AS title, round(score, 6) AS score FROM ts WHERE k NOT LIKE 'type:%'"))
+def token_score(spark, sf):
+    t = fx.tables(spark, sf)[0].select(F.struct("doc_id", "title").alias("key"), F.col("title").alias("text")).distinct()
+    return catalog.token_scores(t, _ASK).select("key.doc_id", "key.title", F.round("score", 6).alias("score"))
+
+
+@query(_with(_scores("bill of materails"), f"SELECT {_COLS}, round(score, 6) AS score FROM cs WHERE score >= 75"))
+def catalog_search(spark, sf):
+    found = catalog.search_catalog(fx.tables(spark, sf)[0], "bill of materails")
+    return _flat(found.withColumn("s", F.round("score", 6)), F.col("s").alias("score"))
+
+
+@query(_with(_scores("quixotic zebra summary"), "SELECT doc_id, title, round(score, 6) AS score FROM cs ORDER BY cs.score DESC, doc_id LIMIT 3"))
+def closest_matches(spark, sf):
+    return catalog.closest_matches(fx.tables(spark, sf)[0], "quixotic zebra summary").withColumn("score", F.round("score", 6))
+
+
+# --- content ----------------------------------------------------------------
+
+
+@query(_with(fx.TABLES, "SELECT chunk_id, doc_id, revision, title, section_path, kind FROM chunk"))
+def chunk_doc_join(spark, sf):
+    documents, chunks = fx.tables(spark, sf)
+    return chunks.join(documents.select("doc_id", "revision", "title"), ["doc_id", "revision"]).select("chunk_id", "doc_id", "revision", "title", "section_path", "kind")
+
+
+_TOKENS = (
+    fx.TABLES
+    + fx.CHAINS
+    + rf""",
+tok AS (SELECT chunk_id, unnest(regexp_extract_all(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[\p{{L}}\p{{N}}]+')) AS term FROM chunk),
+post AS (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT chunk_id, len(regexp_extract_all(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[\p{{L}}\p{{N}}]+')) AS dl FROM chunk)"""
+)
+
+
+def _bm25(terms: list[str]) -> str:
+    rows = ", ".join(f"('{t.lower()}')" for t in terms)
+    return (
+        _TOKENS
+        + f""",
+want AS (SELECT term, count(*) AS times FROM (VALUES {rows}) v(term) GROUP BY term),
+hit AS (SELECT * FROM post JOIN want USING (term)),
+idf AS (SELECT term, greatest(CASE WHEN ln(((SELECT count(*) FROM chunk) - count(*) + 0.5) / (count(*) + 0.5)) > 0 THEN ln(((SELECT count(*) FROM chunk) - count(*) + 0.5) / (count(*) + 0.5)) ELSE 1e-6 END, 0) AS idf FROM hit GROUP BY term),
+bm AS (SELECT chunk_id, count(*) AS matched, -sum(times * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avg(dl) FROM dl)))) AS score
+  FROM hit JOIN idf USING (term) JOIN dl USING (chunk_id) GROUP BY chunk_id),
+kw AS (SELECT chunk_id, score FROM bm WHERE matched = (SELECT count(*) FROM want) OR (SELECT max(matched) FROM bm) < (SELECT count(*) FROM want))"""
+    )
+
+
+def _found(join: str) -> str:
+    return f"""SELECT chunk_id, doc_id, revision, title, section_path AS section, kind, coalesce(is_current, false) AS is_current, md5(substr(text, 1, 700)) AS excerpt, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, chunk_id) AS rank FROM kw JOIN chunk USING (chunk_id) {join} JOIN defaults USING (doc_id, revision))
+WHERE rank <= 2 ORDER BY kw_score(score), chunk_id LIMIT 10""".replace("kw_score(score)", "round(score, 9)")
+
+
+def _index(spark, sf, tokens=T.word_tokens):
+    documents, chunks = fx.tables(spark, sf)
+    return documents, chunks, content.postings(chunks, tokens), content.chunk_lengths(chunks, tokens)
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.withColumn("excerpt", F.md5("excerpt")).withColumn("score", F.round("score", 6))
+
+
+@query(_with(_TOKENS, "SELECT term, chunk_id, tf FROM post"))
+def postings(spark, sf):
+    return _index(spark, sf)[2]
+
+
+_AND, _OR = ["License", "version"], ["Apache", "zzqx", "Apache"]
+
+
+@query(_with(_bm25(_AND), "SELECT chunk_id, round(score, 6) AS score FROM kw"))
+def bm25_and(spark, sf):
+    _, _, post, dl = _index(spark, sf)
+    return content.keyword_scores(post, dl, _AND).withColumn("score", F.round("score", 6))
+
+
+@query(_with(_bm25(_OR), "SELECT chunk_id, round(score, 6) AS score FROM kw"))
+def bm25_or(spark, sf):
+    _, _, post, dl = _index(spark, sf)
+    return content.keyword_scores(post, dl, _OR).withColumn("score", F.round("score", 6))
+
+
+@query(_with(_bm25(["the", "License"]), _found("")))
+def content_keyword(spark, sf):
+    documents, chunks, post, dl = _index(spark, sf)
+    return _shown(content.assemble(content.keyword_scores(post, dl, ["the", "License"]), chunks, documents))
+
+
+@query(_with(_bm25(["the", "License"]), _found("LEFT")))
+def content_superseded(spark, sf):
+    documents, chunks, post, dl = _index(spark, sf)
+    return _shown(content.assemble(content.keyword_scores(post, dl, ["the", "License"]), chunks, documents, include_superseded=True))
+
+
+@query(
+    _with(
+        _bm25(["License"]),
+        "SELECT doc_id, chunk_id, rank FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9), chunk_id) AS rank FROM kw JOIN chunk USING (chunk_id)) WHERE rank <= 2",
+    )
+)
+def top2_per_doc(spark, sf):
+    from pyspark.sql import Window
+
+    _, chunks, post, dl = _index(spark, sf)
+    rows = content.keyword_scores(post, dl, ["License"]).join(chunks, "chunk_id")
+    w = Window.partitionBy("doc_id").orderBy(F.round("score", 9), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("doc_id", "chunk_id", "rank")
+
+
+@query()
+def content_keyword_porter(spark, sf):
+    from scrivia.functions.stemming import stem
+
+    documents, chunks, post, dl = _index(spark, sf, lambda c: stems(T.word_tokens(c)))
+    return _shown(content.assemble(content.keyword_scores(post, dl, [stem("licensed"), stem("versions")]), chunks, documents))
+
+
+_VEC = "embeddings"
+
+
+@query(
+    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS before,
+  round(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) ** 2)), 6) AS after FROM embeddings"""
+)
+def l2_normalise(spark, sf):
+    v = fx.read(spark, sf, _VEC).withColumn("n", content.l2_normalised(F.col("embedding")))
+    return v.select("vec_id", F.round(content.dot(F.col("embedding"), F.col("embedding")), 4).alias("before"), F.round(content.dot(F.col("n"), F.col("n")), 6).alias("after"))
+
+
+_COS = """cos AS (SELECT e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))
+  / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS score
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)"""
+
+
+def _cosines(spark, sf, k=None):
+    v = fx.read(spark, sf, _VEC)
+    return content.similar(v, v.where("vec_id = 7").select(F.col("embedding").alias("q")), k)
+
+
+@query(_with(_COS, "SELECT vec_id, round(score, 6) AS score FROM cos ORDER BY cos.score DESC, vec_id LIMIT 50"))
+def semantic_topk(spark, sf):
+    return _cosines(spark, sf, 50).withColumn("score", F.round("score", 6))
+
+
+@query(
+    _with(
+        _TOKENS + ", " + _COS + ", kw AS (SELECT chunk_id, -cos.score AS score FROM cos JOIN chunk ON chunk.id = cos.vec_id AND position = 0)",
+        _found(""),
+    )
+)
+def content_semantic(spark, sf):
+    documents, chunks = fx.tables(spark, sf)
+    near = _cosines(spark, sf).join(chunks.where("position = 0").select("chunk_id", F.col("id").alias("vec_id")), "vec_id")
+    return _shown(content.assemble(near.select("chunk_id", (-F.col("score")).alias("score")), chunks, documents))
+
+
+@query(_with(fx.TABLES, "SELECT chunk_id FROM chunk WHERE position > 0 OR id NOT IN (SELECT vec_id FROM embeddings)"))
+def embed_backlog(spark, sf):
+    documents, chunks = fx.tables(spark, sf)
+    done = chunks.where("position = 0").join(fx.read(spark, sf, _VEC).select(F.col("vec_id").alias("id")), "id", "left_semi")
+    return content.embed_backlog(chunks, documents, done).select("chunk_id")
+
+
+# --- reading ----------------------------------------------------------------
+
+
+def _body(source: str, limit: int) -> str:
+    return f""",
+run AS (SELECT *, sum(length(text)) OVER w AS upto, lag(section_path) OVER w AS before FROM {source} WINDOW w AS (PARTITION BY doc_id, revision ORDER BY position)),
+bodies AS (SELECT doc_id, revision, CAST(sum(length(text)) AS BIGINT) AS char_count, CAST(coalesce(sum(length(text)) FILTER (WHERE upto <= {limit}), 0) AS BIGINT) AS included, bool_or(upto > {limit}) AS truncated,
+  md5(coalesce(trim(string_agg(CASE WHEN section_path IS NOT DISTINCT FROM before THEN text ELSE chr(10) || '§ ' || section_path || chr(10) || text END, chr(10) ORDER BY position)
+    FILTER (WHERE upto <= {limit}), ' ' || chr(10)), '')) AS text FROM run GROUP BY ALL)"""
+
+
+@query(_with(fx.TABLES + _body("chunk", 60000), "SELECT doc_id, revision, char_count, text FROM bodies"))
+def read_body(spark, sf):
+    return reading.body(fx.tables(spark, sf)[1]).select("doc_id", "revision", "char_count", F.md5("text").alias("text"))
+
+
+@query(_with(fx.TABLES + _body("chunk", 3000), "SELECT doc_id, revision, included, truncated, text FROM bodies"))
+def read_truncated(spark, sf):
+    return reading.body(fx.tables(spark, sf)[1], 3000).select("doc_id", "revision", "included", "truncated", F.md5("text").alias("text"))
+
+
+@query(_with(fx.TABLES + _body("(SELECT * FROM chunk WHERE contains(lower(section_path), 'the'))", 60000), "SELECT doc_id, revision, char_count, text FROM bodies"))
+def read_section(spark, sf):
+    part = reading.in_section(fx.tables(spark, sf)[1], "THE")
+    return reading.body(part).select("doc_id", "revision", "char_count", F.md5("text").alias("text"))
+
+
+@query(_with(fx.TABLES, "SELECT doc_id, revision, section_path AS section, CAST(sum(length(text)) AS BIGINT) AS chars, min(position) AS first FROM chunk GROUP BY ALL"))
+def outline(spark, sf):
+    return reading.outline(fx.tables(spark, sf)[1]).select("doc_id", "revision", "section", "chars", "first")
+
+
+# --- evaluation -------------------------------------------------------------
+
+_ANSWERS = (
+    fx.TABLES
+    + r""",
+answers AS (SELECT conv_id, turn, text || ' [' || (CASE WHEN conv_id % 3 = 0 THEN 'BOM-P01-010' ELSE 'ECR-P01-013' END) || ' Rev ' || chr(CAST(65 + conv_id % 5 AS INT)) || '] and [X-9 Rev. B, §2]' AS answer
+  FROM conversations WHERE role = 'assistant'),
+cites AS (SELECT conv_id, turn, u.d AS doc, u.r AS rev FROM answers, (SELECT unnest(regexp_extract_all(answer, '\[([A-Z0-9][A-Za-z0-9-]*)\s+Rev\.?\s+([A-Z0-9.]+)', 1)) AS d,
+  unnest(regexp_extract_all(answer, '\[([A-Z0-9][A-Za-z0-9-]*)\s+Rev\.?\s+([A-Z0-9.]+)', 2)) AS r) u)"""
+)
+
+
+def _answers(spark, sf):
+    return fx.read(spark, sf, "conversations").where("role = 'assistant'").selectExpr(
+        "conv_id", "turn", "concat(text, ' [', if(conv_id % 3 = 0, 'BOM-P01-010', 'ECR-P01-013'), ' Rev ', chr(65 + conv_id % 5), '] and [X-9 Rev. B, §2]') AS answer"
+    )
+
+
+@query(_with(_ANSWERS, "SELECT conv_id, turn, doc, rev FROM cites"))
+def parse_citations(spark, sf):
+    return evals.citations(_answers(spark, sf), "answer").select("conv_id", "turn", "doc", "rev")
+
+
+@query(
+    _with(
+        _ANSWERS,
+        """SELECT conv_id, turn, CASE WHEN bool_and(d.doc_id IS NOT NULL) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS validity, count(*) AS citations
+FROM cites LEFT JOIN (SELECT DISTINCT doc_id, revision FROM docs) d ON d.doc_id = doc AND d.revision = rev GROUP BY ALL""",
+    )
+)
+def citation_validity(spark, sf):
+    return evals.validity(evals.citations(_answers(spark, sf), "answer"), fx.tables(spark, sf)[0], ["conv_id", "turn"])
+
+
+@query(
+    """SELECT metric, round(avg(v), 6) AS mean, CAST(sum(v) AS BIGINT) AS k, count(*) AS n FROM
+  (SELECT 'quality' AS metric, quality AS v FROM labels UNION ALL SELECT 'toxic', toxic FROM labels) WHERE v IS NOT NULL GROUP BY metric"""
+)
+def metric_means(spark, sf):
+    labels = fx.read(spark, sf, "labels")
+    obs = labels.unpivot("doc_id", ["quality", "toxic"], "metric", "value").where("value IS NOT NULL")
+    return evals.metric_means(obs).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    """SELECT conv_id, turn, contains(lower(text), 'the') AND contains(lower(text), 'of') AS answer_contains FROM conversations WHERE role = 'assistant'"""
+)
+def answer_contains(spark, sf):
+    rows = fx.read(spark, sf, "conversations").where("role = 'assistant'")
+    return rows.select("conv_id", "turn", evals.contains_all("text", ["THE", "of"]).alias("answer_contains"))
+
+
+@query(
+    r"""SELECT conv_id, turn, upper(u.p) AS prefix, ltrim(u.n, '0') AS number FROM conversations,
+  (SELECT unnest(regexp_extract_all('ecr 0577, ' || text, '\b([A-Za-z0-9]{2,4})[\s._-]*(?:[Pp]0\d[\s._-]*)?(\d{2,4})\b', 1)) AS p,
+          unnest(regexp_extract_all('ecr 0577, ' || text, '\b([A-Za-z0-9]{2,4})[\s._-]*(?:[Pp]0\d[\s._-]*)?(\d{2,4})\b', 2)) AS n) u"""
+)
+def id_fragments(spark, sf):
+    rows = fx.read(spark, sf, "conversations").select("conv_id", "turn", F.explode(T.fragments(F.concat(F.lit("ecr 0577, "), "text"))).alias("f"))
+    return rows.select("conv_id", "turn", "f.prefix", "f.number")
