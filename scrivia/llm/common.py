@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,23 +52,32 @@ def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
 
 # --- fixed-size membership filter -------------------------------------------
 
-FILTER_BITS = 1 << 22
+#: A filter has 32 bits a key within these bounds: 512 KiB to 16 MiB, whatever the input.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 27
 _WORDS_PER_ROW = 512
 
 
-def membership_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A bitmap over ``xxhash64(key)`` of at most ``bits`` bits, whatever the input.
+class Filter(NamedTuple):
+    """Rows (__slot, __words): 512 longs each."""
 
-    Rows (slot, words): ``bits / 32768`` rows of 512 longs each, so 512 KiB by
-    default.  More keys raise only the share of false positives.
+    rows: DataFrame
+    bits: int
+
+
+def membership_filter(keys: DataFrame, key: str, label: str) -> Filter:
+    """A written bitmap over ``xxhash64(key)``; ``keys`` should be a written table.
+
+    Its size follows the number of keys up to ``MOST_BITS``; beyond, only the share of
+    false positives grows.
     """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * max(1, keys.count()) - 1).bit_length()))
     pos = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
     words = (
         keys.select(pos.alias("p"))
         .groupBy((F.col("p") / 64).cast("long").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     )
-    return (
+    rows = (
         words.groupBy((F.col("w") / _WORDS_PER_ROW).cast("long").alias("__slot"))
         .agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % _WORDS_PER_ROW).cast("int"), "v"))).alias("m"))
         .select(
@@ -75,16 +85,18 @@ def membership_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> Dat
             F.expr(f"transform(sequence(0, {_WORDS_PER_ROW - 1}), i -> coalesce(m[i], 0L))").alias("__words"),
         )
     )
+    return Filter(materialise(rows, label), bits)
 
 
-def possible_members(df: DataFrame, key: Column, filt: DataFrame, bits: int = FILTER_BITS, rest: bool = False) -> DataFrame:
+def possible_members(df: DataFrame, key: Column, filt: Filter, rest: bool = False) -> DataFrame:
     """Rows whose key may be in the filter (``rest``: those whose key is not)."""
     cols = df.columns
-    probed = df.withColumn("__p", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn(
+    probed = df.withColumn("__p", F.pmod(F.xxhash64(key), F.lit(filt.bits))).withColumn(
         "__slot", (F.col("__p") / (64 * _WORDS_PER_ROW)).cast("long")
     )
     hit = F.expr(f"(shiftright(__words[cast(__p / 64 as int) % {_WORDS_PER_ROW}], cast(__p % 64 as int)) & 1L) = 1L")
-    joined = probed.join(F.broadcast(filt), "__slot", "left" if rest else "inner")
+    # at most MOST_BITS
+    joined = probed.join(F.broadcast(filt.rows), "__slot", "left" if rest else "inner")
     return joined.where(~F.coalesce(hit, F.lit(False)) if rest else hit).select(*cols)
 
 

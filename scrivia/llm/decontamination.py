@@ -75,7 +75,7 @@ def contained(
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words")
     )
-    filt = None if small else materialise(membership_filter(sketches, "h"), "bench-filter")
+    filt = None if small else membership_filter(sketches, "h", "bench-filter")
     met = None
     for w in sorted(widths):
         own = sketches.where(F.col("width") == w).select("item", "h", F.col("shingle").alias("s"), "n", "sketch")
@@ -106,7 +106,7 @@ def contained(
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item (left anti join on id and text)."""
     found = materialise(contained(docs, items, text=text, doc_id=doc_id, **options).select("doc_id", "text_hash").distinct(), "bench-found")
-    filt = materialise(membership_filter(found, "text_hash"), "bench-found-filter")
+    filt = membership_filter(found, "text_hash", "bench-found-filter")
     cols = docs.columns
     named = docs.withColumn("__h", F.xxhash64(text))
     free = possible_members(named, F.col("__h"), filt, rest=True).select(*cols)

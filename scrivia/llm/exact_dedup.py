@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     # byte verification: only texts whose digest may be a hit leave their task,
     # each once for every task and distinct text
-    filt = materialise(membership_filter(hits, "digest"), "lsm-filter")
+    filt = membership_filter(hits, "digest", "lsm-filter")
     texts = docs.select(
         normalised("text").alias("norm"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"),

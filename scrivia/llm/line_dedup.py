@@ -57,7 +57,7 @@ def line_dedup(
     common = boilerplate(lines, min_sites)
     cut = lines.join(common, "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("cut"))
     cut = materialise(cut, "line-cuts")
-    filt = materialise(membership_filter(cut, "key"), "line-filter")
+    filt = membership_filter(cut, "key", "line-filter")
 
     whole = F.split("text", "\n", -1)
     n_lines = F.coalesce(F.size(whole).cast("long"), F.lit(0).cast("long"))

@@ -124,7 +124,7 @@ def disclosing_terms(
     met = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.min("text_hash").alias("a"), F.max("text_hash").alias("z"))
     met = materialise(met.where((F.col("n_te") >= support) & (F.col("a") < F.col("z"))).select("entity", "term", "n_te"), "pii-pairs")
     # how often those terms occur in the whole corpus; a filter of fixed size keeps other words in their task
-    filt = materialise(membership_filter(met, "term"), "pii-filter")
+    filt = membership_filter(met, "term", "pii-filter")
     words = docs.select(F.explode(_terms("text")).alias("term"))
     n_t = possible_members(words, F.col("term"), filt).groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.count()
@@ -160,7 +160,7 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", genera
     held = materialise(held, "pii-documents")
     reveals, of = disclosing_terms(docs, held, generalise_at)
 
-    filt = materialise(membership_filter(reveals.select(F.struct("entity", "term").alias("et")), "et"), "pii-reveal-filter")
+    filt = membership_filter(reveals.select(F.struct("entity", "term").alias("et")), "et", "pii-reveal-filter")
     told = possible_members(_pairs(of, held), F.struct("entity", "term"), filt).join(reveals, ["entity", "term"])
     told = told.groupBy("key", "term").agg(F.max("disclosure").alias("d"))
     told = told.groupBy("key").agg(

@@ -146,7 +146,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 2, crowded: int = CRO
         emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"),
         "ball-shared",
     )
-    filt = materialise(membership_filter(shared, "key"), "ball-filter")
+    filt = membership_filter(shared, "key", "ball-filter")
     met = materialise(possible_members(emitted, F.col("key"), filt).join(shared.hint("merge"), "key"), "ball-met")
     few = met.where(F.col("n") <= crowded)
     pairs = (

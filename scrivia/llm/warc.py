@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame, path: str, per_archive: int = RECORDS_PER_A
     ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
     groups = pages.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     groups = materialise(groups.where("n > 1 and top is not null").select("digest", "top"), "warc-groups")
-    filt = materialise(membership_filter(groups, "digest"), "warc-filter")
+    filt = membership_filter(groups, "digest", "warc-filter")
     # only payloads that may recur leave their task
     again = possible_members(pages, F.col("digest"), filt).join(groups, "digest", "left")
     alone = possible_members(pages, F.col("digest"), filt, rest=True).withColumn("top", F.lit(None).cast("long"))
