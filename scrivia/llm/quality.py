@@ -98,8 +98,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
     inner, leaves = 2**depth - 1, 2**depth
     f = x.shape[1] if x.ndim == 2 else len(FEATURES)
     mean = float(np.mean(y)) if len(y) else 0.5
-    if not 0 < mean < 1:
-        mean = min(max(mean, 0.5 if not len(y) else mean), 1.0)
+    if not len(y) or not 0 < mean < 1:
         clipped = min(max(mean, 1e-3), 1 - 1e-3)
         return Forest(np.zeros((1, inner), int), np.full((1, inner), np.inf), np.zeros((1, leaves)), float(np.log(clipped / (1 - clipped))), depth)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(f)]
