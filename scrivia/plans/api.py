@@ -59,4 +59,8 @@ class Tools:
             return {"error": str(e)}
         if known is None:
             return {"error": f"no document with ID {doc_id!r}"}
-        return {"doc_id": known[0], **{k: [r.asDict() for r in f.collect()] for k, f in frames.items()}}
+        shown = {
+            "references": lambda r: {"doc_id": r.to_doc, "mentions": r.mentions, "resolved": r.resolved, "context": r.context},
+            "cited_by": lambda r: {"doc_id": r.from_doc, "revision": r.from_rev, "mentions": r.mentions, "context": r.context},
+        }
+        return {"doc_id": known[0], **{k: [shown[k](r) for r in f.collect()] for k, f in frames.items()}}

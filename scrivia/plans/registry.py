@@ -511,7 +511,7 @@ def content_keyword_porter(spark, sf):
     from scrivia.functions.stemming import stem
 
     documents, chunks, post, dl = _index(spark, sf, lambda c: stems(T.word_tokens(c)))
-    return _shown(content.assemble(content.keyword_scores(post, dl, [stem("licensed"), stem("versions")]), chunks, documents))
+    return _shown(content.assemble(content.keyword_scores(post, dl, [stem("licensed"), stem("the")]), chunks, documents))
 
 
 _VEC = "embeddings"
