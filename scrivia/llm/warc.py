@@ -31,6 +31,9 @@ from scrivia.llm.common import materialise, membership_filter, new_path, possibl
 RECORDS_PER_ARCHIVE = 1000
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
+#: What a record or a gzip member starts with; bytes a decompressor is given at a time.
+_START = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
+_STEP = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -123,19 +126,22 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    d = zlib.decompressobj(31)
+    """The member's content and the place after it; reads no further than a step beyond its end."""
+    d, out, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
-        out = d.decompress(data[at:]) + d.flush()
+        while not d.eof and pos < len(data):
+            out.append(d.decompress(view[pos : pos + _STEP]))
+            pos = min(pos + _STEP, len(data))
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from None
     if not d.eof:
         raise Damaged("gzip member without end")
-    return out, len(data) - len(d.unused_data)
+    return b"".join(out), pos - len(d.unused_data)
 
 
 def _next(data: bytes, at: int) -> int:
-    found = [p for p in (data.find(b"WARC/1.", at), data.find(b"\x1f\x8b\x08", at)) if p >= 0]
-    return min(found, default=len(data))
+    found = _START.search(data, at)
+    return found.start() if found else len(data)
 
 
 def salvage(data: bytes) -> Iterator[dict]:

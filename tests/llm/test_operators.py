@@ -1,4 +1,5 @@
 import gzip
+import random
 import re
 
 import numpy as np
@@ -202,6 +203,16 @@ def test_warc_salvage():
     assert [r.get("page_id") for r in out] == [0, None, 2] and list(warc.salvage(b"")) == []
 
 
+def test_warc_members_of_any_length():
+    pages = [bytes(random.Random(n).randbytes(n)) for n in (0, 70_000, 1, 200_000)]
+    members = [gzip.compress(warc.write_record(i, None, p, None) + b"\r\n\r\n") for i, p in enumerate(pages)]
+    members[1] = members[1][:-9]  # a cut member is a gap, the next ones are whole
+    found = list(warc.salvage(b"".join(members)))
+    assert [r.get("page_id") for r in found if r["kind"] == "record"] == [0, 2, 3]
+    assert [r["payload"] for r in found if r["kind"] == "record"] == [pages[0], pages[2], pages[3]]
+    assert sum(r["length"] for r in found) == sum(map(len, members))
+
+
 def test_line_dedup_odd_rows(spark):
     line = "this boilerplate line is on every site"
     rows = [(i, f"own text number {i} is here\n{line}\nend", f"s{i}") for i in range(10)] + [(90, None, "s1"), (91, "", None), (1, f"own text number 1 is here\n{line}\nend", "s1")]
