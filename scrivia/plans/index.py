@@ -13,6 +13,21 @@ from scrivia.sources import docx
 from scrivia.sources.fixtures import chunks_of
 
 TABLES = ("documents", "chunks", "refs", "postings", "lengths", "meta")
+DOCUMENT = ("id", "doc_id", "revision", "title", "type_prefix", "is_signed", "is_obsolete", "is_empty", "sw_version", "filename", "content_hash", "char_count")
+
+
+def fold_files(parsed: DataFrame) -> DataFrame:
+    """Files with parsed names as documents with their chunks, copies ranked after the first."""
+    files = docx.extract(parsed).withColumn("revision", F.coalesce("revision", F.lit(""))).withColumn("chunks", chunking.chunk_pack("blocks"))
+    files = files.withColumns(
+        {
+            "content_hash": chunking.content_hash("chunks"),
+            "char_count": chunking.char_count("chunks").cast("long"),
+            "is_empty": F.size("chunks") == 0,
+            "id": F.xxhash64("filename"),
+        }
+    )
+    return chunking.dedupe(files)
 
 
 def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
@@ -26,19 +41,10 @@ def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
 
     put = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     get = lambda name: spark.read.parquet(f"{path}/{name}")
-    files = docx.extract(parsed).withColumn("revision", F.coalesce("revision", F.lit(""))).withColumn("chunks", chunking.chunk_pack("blocks"))
-    files = files.withColumns(
-        {
-            "content_hash": chunking.content_hash("chunks"),
-            "char_count": chunking.char_count("chunks").cast("long"),
-            "is_empty": F.size("chunks") == 0,
-            "id": F.xxhash64("filename"),
-        }
-    )
-    put(chunking.dedupe(files), "staged")  # the folds run once; all tables derive from it
+    put(fold_files(parsed), "staged")  # the folds run once; all tables derive from it
     staged = get("staged")
     kept = staged.where("rank = 1")
-    put(kept.select("id", "doc_id", "revision", "title", "type_prefix", "is_signed", "is_obsolete", "is_empty", "sw_version", "filename", "content_hash", "char_count"), "documents")
+    put(kept.select(*DOCUMENT), "documents")
     put(chunks_of(kept).sortWithinPartitions("doc_id", "revision", "position"), "chunks")
     chunks, documents = get("chunks"), get("documents")
     put(references.extract_refs(chunks, references.mention_shape(types)).dropDuplicates(["from_doc", "from_rev", "to_doc"]), "refs")

@@ -69,7 +69,11 @@ def read_blocks(content: bytes) -> list[dict]:
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, filename, content) of the Word files under ``path``, lock files left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+    return named(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path))
+
+
+def named(files: DataFrame) -> DataFrame:
+    """(path, filename, content) of files as ``binaryFile`` gives them, lock files left out."""
     name = F.call_function("url_decode", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
     return files.select("path", name.alias("filename"), "content").where(~F.startswith("filename", F.lit("~$")))
 

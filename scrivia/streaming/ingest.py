@@ -1,28 +1,48 @@
 """Extension: new Word files appended to an index as they arrive (file stream and foreachBatch).
 
-The collection itself is static per session; this only adds documents and chunks of new files.
+The collection itself is static per session; this adds documents, chunks, postings and
+lengths of new files to an index that ``build_index`` made.  A revision the index holds
+already is a copy and left out, and so are files whose name has no document ID.  The
+reference graph is left to the next ``build_index``, as a new type changes what counts
+as a mention in older documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scrivia.functions.text import parse_filename
-from scrivia.operators import chunking
+from scrivia.operators import content
+from scrivia.plans.index import DOCUMENT, fold_files
 from scrivia.sources import docx
 from scrivia.sources.fixtures import chunks_of
 
 
 def append_stream(spark: SparkSession, corpus: str, path: str, checkpoint: str):
-    """A query that appends chunks of new files under ``corpus`` to ``path``/chunks."""
+    """A query that appends new files under ``corpus`` to the index at ``path``.
+
+    A batch that is run again adds only what its first run did not: rows are compared by
+    key with those the table holds, and ``documents``, which tells what is new, comes last.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.docx").load(corpus)
 
-    def add(batch: DataFrame, _: int) -> None:
-        named = batch.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
-        rows = docx.extract(parse_filename(named)).where("doc_id IS NOT NULL").withColumn("revision", F.coalesce("revision", F.lit("")))
-        rows = rows.withColumn("chunks", chunking.chunk_pack("blocks")).withColumn("id", F.xxhash64("filename"))
-        chunks_of(rows).write.mode("append").parquet(f"{path}/chunks")
+    def put(rows: DataFrame, name: str, key: list[str]) -> None:
+        session = rows.sparkSession
+        # only keys the batch has: the table itself is not shuffled for a small batch
+        held = session.read.parquet(f"{path}/{name}").select(*key).join(rows.select(*key), key, "left_semi")
+        rows.join(held, key, "left_anti").write.mode("append").option("compression", "zstd").parquet(f"{path}/{name}")
+
+    def add(batch: DataFrame, n: int) -> None:
+        session, ids = batch.sparkSession, ["doc_id", "revision"]
+        folded = fold_files(parse_filename(docx.named(batch)).where("doc_id IS NOT NULL")).where("rank = 1")
+        known = session.read.parquet(f"{path}/documents").select(*ids)
+        folded.join(known, ids, "left_anti").write.mode("overwrite").parquet(f"{path}/arrived")  # the folds run once
+        new = session.read.parquet(f"{path}/arrived")
+        chunks = chunks_of(new)
+        put(chunks, "chunks", ["chunk_id"])
+        put(content.postings(chunks), "postings", ["term", "chunk_id"])
+        put(content.chunk_lengths(chunks), "lengths", ["chunk_id"])
+        put(new.select(*DOCUMENT), "documents", ids)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ import pytest
 
 from scrivia.plans.api import Tools
 from scrivia.plans.index import build_index, open_index, set_meta
+from scrivia.streaming.ingest import append_stream
 
 NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -45,3 +46,22 @@ def test_build_and_query(spark, tmp_path):
     assert "error" in tools.search_content("?!") and "error" in tools.search_content("x", mode="semantic")
     with pytest.raises(FileNotFoundError):
         open_index(spark, str(tmp_path / "none"))
+
+
+def test_stream_appends_once(spark, tmp_path):
+    corpus, path = tmp_path / "corpus", str(tmp_path / "index")
+    corpus.mkdir()
+    _docx(corpus / "BOM-055 - Parts list_A.docx", _p("Scope", "Heading1") + _p("leakage test"))
+    build_index(spark, str(corpus), path)
+    _docx(corpus / "ECR-577 - Change of bolt_A.docx", _p("quixotic bolt"))
+    _docx(corpus / "ECR-577 - Change of bolt_A(1).docx", _p("quixotic bolt"))
+    _docx(corpus / "no identifier.docx", _p("lost"))
+    (corpus / "~$M-055.docx").write_bytes(b"lock")
+    # the second query has its own checkpoint: it reads every file again
+    for run in ("a", "b"):
+        append_stream(spark, str(corpus), path, str(tmp_path / run)).awaitTermination()
+        index = open_index(spark, path)
+        assert sorted((r.doc_id, r.revision) for r in index["documents"].collect()) == [("BOM-055", "A"), ("ECR-577", "A")]
+        assert {n: index[n].count() for n in ("chunks", "lengths")} == {"chunks": 2, "lengths": 2}
+        assert index["postings"].where("chunk_id = 'ECR-577@A#0'").count() == 2
+    assert Tools(index).search_content("quixotic")["count"] == 1
