@@ -95,6 +95,35 @@ def test_near_dedup(spark):
     assert near_dedup.near_dedup(_docs(spark, [])).count() == 0
 
 
+def test_near_dedup_reaches_texts_through_folded_ones(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for f in range(3):
+        # copies that are similar to the original, but often not to each other
+        base = list(rng.choice(words, 300, replace=False))
+        rows.append((f * 1000, " ".join(base), "s"))
+        for k in range(60):
+            w = list(base)
+            for at in rng.choice(300, size=int(rng.integers(1, 9)), replace=False):
+                w[at] = f"new{f}-{k}-{at}"
+            rows.append((f * 1000 + 1 + k, " ".join(w), "s"))
+    assert any(_jaccard(rows[1][1], t) < 0.8 for _, t, _ in rows[2:61])
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t, _ in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want, left = [], sorted(sets)
+    while left:
+        want.append(left[0])
+        seen, todo = {left[0]}, [left[0]]
+        while todo:
+            x = todo.pop()
+            more = {y for y in left if y not in seen and near(x, y)}
+            seen |= more
+            todo += more
+        left = [y for y in left if y not in seen]
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(_docs(spark, rows)).collect()) == want
+
+
 def test_mixing_targets_by_iteration(spark):
     rows = [(i, "w " * (i % 7 + 1), f"s{i % 5}" if i % 11 else None) for i in range(300)] + [(None, None, "s0"), (7, "", "s9")]
     got = mixing.mix(_docs(spark, rows)).collect()
