@@ -124,6 +124,27 @@ def test_near_dedup_reaches_texts_through_folded_ones(spark):
     assert sorted(r.doc_id for r in near_dedup.near_dedup(_docs(spark, rows)).collect()) == want
 
 
+def test_near_dedup_loses_no_pair(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(5000)]
+    rows, want = [], []
+    # words, of how many distinct ones, and new words: in one run at the end or in the middle, or dealt out singly
+    shapes = [(20, 5000, 3, "end"), (20, 5000, 4, "end"), (100, 5000, 20, "middle"), (50, 5000, 11, "end"), (100, 5000, 24, "end"), (300, 5000, 70, "end"), (3000, 400, 64, "single")]
+    for shape, (n, of, new, where) in enumerate(shapes):
+        for k in range(6):
+            at = len(rows) * 10
+            base, fresh = list(rng.choice(words[:of], n)), [f"new{at}-{i}" for i in range(new)]
+            copy = base + fresh if where == "end" else base[: n // 2] + fresh + base[n // 2 :]
+            if where == "single":
+                copy = list(base)
+                for i, x in zip(rng.choice(n, new, replace=False), fresh):
+                    copy[i] = x
+            rows += [(at, " ".join(base), "s"), (at + 1, " ".join(copy), "s")]
+            want += [at] if _jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else [at, at + 1]
+    assert len(want) < 1.2 * len(rows) / 2
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(_docs(spark, rows)).collect()) == want
+
+
 def test_mixing_targets_by_iteration(spark):
     rows = [(i, "w " * (i % 7 + 1), f"s{i % 5}" if i % 11 else None) for i in range(300)] + [(None, None, "s0"), (7, "", "s9")]
     got = mixing.mix(_docs(spark, rows)).collect()
