@@ -145,6 +145,13 @@ def test_near_dedup_loses_no_pair(spark):
     assert sorted(r.doc_id for r in near_dedup.near_dedup(_docs(spark, rows)).collect()) == want
 
 
+@pytest.mark.parametrize("n", [2, 6, 20])
+def test_near_dedup_blank_texts(spark, n):
+    blank = [None, "", *(c * k for k in range(1, 5) for c in " \n\t\r\x0b\x0c")][:n]
+    rows = [(i, t, "s") for i, t in enumerate([*blank, "one word"])]
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(_docs(spark, rows)).collect()) == [0, n]
+
+
 def test_mixing_targets_by_iteration(spark):
     rows = [(i, "w " * (i % 7 + 1), f"s{i % 5}" if i % 11 else None) for i in range(300)] + [(None, None, "s0"), (7, "", "s9")]
     got = mixing.mix(_docs(spark, rows)).collect()
