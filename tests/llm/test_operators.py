@@ -295,6 +295,16 @@ def test_classifiers_held_out(spark, name):
     assert (got.predicted == got["quality" if name == "op1_quality" else "toxic"]).mean() > 0.97
 
 
+def test_lexicon_keeps_every_term_that_qualifies(spark):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = sorted({"".join(rng.choice(letters, 9)) for _ in range(3000)})
+    rows = [(i, " ".join(rng.permutation(words)), 1) for i in range(40)]
+    rows += [(100 + i, f"plain text number {i} about nothing much " + " ".join(rng.choice(["tea", "rain", "book", "road"], 30)), 0) for i in range(40)]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert set(words) <= set(got.words)
+
+
 def test_classifiers_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = _docs(spark, ODD)
