@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivia.functions.folds import emitting
 from scrivia.functions.text import heading_label
 
 MAX_CHUNK_CHARS = 2_000
 MAX_TABLE_CHARS = 4_000
-_TEXTS = "array<struct<path:array<string>,section:int,kind:string,text:string>>"
-_CHUNKS = "array<struct<section_path:string,section:int,kind:string,text:string>>"
+_TEXT = "struct<path:array<string>,section:int,kind:string,text:string>"
+_CHUNK = "struct<section_path:string,section:int,kind:string,text:string>"
 
 
 def section_fold(items: Column | str) -> Column:
@@ -20,50 +21,40 @@ def section_fold(items: Column | str) -> Column:
     cuts the path to n - 1 parts and adds itself, so a skipped level leaves a short path;
     headings and blocks without text are dropped.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("path"), F.lit(0).alias("section"), F.array().cast(_TEXTS).alias("out")
-    )
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(0).alias("section"))
 
-    def step(a, x):
-        heading = x["level"].isNotNull()
-        blank = x["text"] == ""
-        path = F.concat(F.slice(a["path"], F.lit(1), F.greatest(F.lit(0), x["level"] - 1)), F.array(x["text"]))
-        block = F.struct(a["path"].alias("path"), a["section"].alias("section"), x["kind"].alias("kind"), x["text"].alias("text"))
-        return F.struct(
-            F.when(heading & ~blank, path).otherwise(a["path"]).alias("path"),
-            F.when(heading & ~blank, a["section"] + 1).otherwise(a["section"]).alias("section"),
-            F.when(heading | blank, a["out"]).otherwise(F.concat(a["out"], F.array(block))).alias("out"),
-        )
+    def step(s, x):
+        heading, blank = x["level"].isNotNull(), x["text"] == ""
+        path = F.concat(F.slice(s["path"], F.lit(1), F.greatest(F.lit(0), x["level"] - 1)), F.array(x["text"]))
+        after = F.when(heading & ~blank, F.struct(path.alias("path"), (s["section"] + 1).alias("section"))).otherwise(s)
+        return after, ~heading & ~blank, F.struct(s["path"].alias("path"), s["section"].alias("section"), x["kind"].alias("kind"), x["text"].alias("text"))
 
-    return F.aggregate(items, start, step)["out"]
+    return emitting(items, start, step, _TEXT)
 
 
 def chunk_pack(blocks: Column | str, limit: int = MAX_CHUNK_CHARS) -> Column:
     """Blocks packed greedily, section by section, never split; the array's index is the position.
 
     A chunk closes where its blocks' characters (line ends not counted) and the next block's pass ``limit``.
+    The fold carries the open chunk only.
     """
-    label = heading_label
-    start = F.struct(F.array().cast(_CHUNKS).alias("out"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(None).cast(_CHUNK).alias("open"), F.lit(0).alias("n"))
 
-    def step(a, x):
-        last = F.element_at(a["out"], -1)
-        opens = (F.size(a["out"]) == 0) | (F.try_element_at(a["out"], F.lit(-1))["section"] != x["section"]) | (a["n"] + F.length(x["text"]) > limit)
-        fresh = F.struct(label(x["path"]).alias("section_path"), x["section"].alias("section"), x["kind"].alias("kind"), x["text"].alias("text"))
+    def step(s, x):
+        was, size = s["open"], F.length(x["text"])
+        closes = was.isNotNull() & ((was["section"] != x["section"]) | (s["n"] + size > limit))
+        fresh = F.struct(heading_label(x["path"]).alias("section_path"), x["section"].alias("section"), x["kind"].alias("kind"), x["text"].alias("text"))
         grown = F.struct(
-            last["section_path"].alias("section_path"),
-            last["section"].alias("section"),
-            F.when(last["kind"] == x["kind"], x["kind"]).otherwise("mixed").alias("kind"),
-            F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"),
-        )
-        return F.struct(
-            F.when(opens, F.concat(a["out"], F.array(fresh))).otherwise(
-                F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(grown))
-            ).alias("out"),
-            F.when(opens, F.length(x["text"])).otherwise(a["n"] + F.length(x["text"])).alias("n"),
+            was["section_path"].alias("section_path"),
+            was["section"].alias("section"),
+            F.when(was["kind"] == x["kind"], x["kind"]).otherwise("mixed").alias("kind"),
+            F.concat(was["text"], F.lit("\n"), x["text"]).alias("text"),
         )
+        opens = closes | was.isNull()
+        after = F.struct(F.when(opens, fresh).otherwise(grown).alias("open"), F.when(opens, size).otherwise(s["n"] + size).alias("n"))
+        return after, closes, was
 
-    return F.aggregate(blocks, start, step)["out"]
+    return emitting(blocks, start, step, _CHUNK, lambda s: F.filter(F.array(s["open"]), lambda c: c.isNotNull()))
 
 
 def table_blocks(rows: Column | str, limit: int = MAX_TABLE_CHARS) -> Column:
@@ -72,21 +63,20 @@ def table_blocks(rows: Column | str, limit: int = MAX_TABLE_CHARS) -> Column:
     full = F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
     first = F.get(full, F.lit(0))
     head = F.concat(line(first), F.lit("\n"), line(F.transform(first, lambda c: F.lit("---"))))
-    body = F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0)))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+    start = F.struct(head.alias("head"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
 
-    def step(a, r):
+    def step(s, r):
         text = line(r)
-        opens = (F.size(a["out"]) == 0) | (a["n"] + F.length(text) > limit)
-        piece = F.when(opens, F.concat(a["out"], F.array(F.concat(head, F.lit("\n"), text)))).otherwise(
-            F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.concat(F.element_at(a["out"], -1), F.lit("\n"), text)))
-        )
-        return F.struct(
-            piece.alias("out"), F.when(opens, F.length(head) + F.length(text) + 1).otherwise(a["n"] + F.length(text) + 1).alias("n")
-        )
+        closes = s["open"].isNotNull() & (s["n"] + F.length(text) > limit)
+        opens = closes | s["open"].isNull()
+        size = F.length(text) + 1
+        piece = F.concat(F.when(opens, s["head"]).otherwise(s["open"]), F.lit("\n"), text)
+        after = F.struct(s["head"].alias("head"), piece.alias("open"), (F.when(opens, F.length(s["head"])).otherwise(s["n"]) + size).alias("n"))
+        return after, closes, s["open"]
 
-    packed = F.aggregate(body, start, step)["out"]
-    return F.when(F.size(full) == 0, F.array().cast("array<string>")).when(F.size(full) == 1, F.array(head)).otherwise(packed)
+    last = lambda s: F.array(F.coalesce(s["open"], s["head"]))
+    packed = emitting(F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0))), start, step, "string", last)
+    return F.filter(packed, lambda t: t.isNotNull())
 
 
 def content_hash(chunks: Column | str) -> Column:
@@ -103,11 +93,10 @@ def explode_chunks(docs: DataFrame, *keep: str) -> DataFrame:
     return out.select(*keep, "position", "c.section_path", "c.kind", "c.text")
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
-    """Adds ``rank`` (1: kept) and ``conflict`` per (doc_id, revision): originals before copies, then by filename."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id", "revision").orderBy("is_duplicate", "filename")
+def dedupe(docs: DataFrame, *last: Column) -> DataFrame:
+    """Adds ``rank`` (1: kept) and ``conflict`` per (doc_id, revision): rows for which a condition of ``last`` holds go
+    last, originals before copies, then by filename."""
+    w = Window.partitionBy("doc_id", "revision").orderBy(*last, "is_duplicate", "filename")
     return docs.withColumn("rank", F.row_number().over(w)).withColumn(
         "conflict", (F.col("rank") > 1) & (F.col("content_hash") != F.first("content_hash").over(w))
     )

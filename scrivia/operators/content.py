@@ -14,53 +14,56 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 PER_DOC, EXCERPT = 2, 700
 
 
-def postings(chunks: DataFrame, tokens: Callable[[str], Column] = word_tokens) -> DataFrame:
-    """(term, chunk_id, tf)."""
-    return chunks.select("chunk_id", F.explode(tokens("text")).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+    """(term, chunk_id, tf, dl: the chunk's tokens)."""
+    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("ts")).select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return rows.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
-def chunk_lengths(chunks: DataFrame, tokens: Callable[[str], Column] = word_tokens) -> DataFrame:
-    return chunks.select("chunk_id", F.size(tokens("text")).alias("dl"))
+def corpus_figures(chunks: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+    """One row (total, avgdl): chunks and their mean tokens."""
+    return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(post: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
+def bm25(post: DataFrame, figures: DataFrame, terms: list[str]) -> DataFrame:
     """(chunk_id, matched, score): negative BM25 over all chunks, so the best come first; a repeated term counts again."""
-    spark = post.sparkSession
     times: dict[str, int] = {}
     for t in terms:
         times[t.lower()] = times.get(t.lower(), 0) + 1
-    wanted = spark.createDataFrame(list(times.items()), "term string, times int")
-    # the query's terms
-    hits = post.join(F.broadcast(wanted), "term")
+    # the terms' postings only: a term filter reads few row groups of a table ordered by term
+    hits = post.where(F.col("term").isin(*times))
+    count = F.create_map(*[F.lit(x) for kv in times.items() for x in kv])[F.col("term")]
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    corpus = lengths.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
-    weights = df.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")
-    rows = hits.join(F.broadcast(weights), "term").join(lengths, "chunk_id")
+    # one row of figures, a row a term of the query
+    weights = df.crossJoin(F.broadcast(figures)).select("term", (count * idf).alias("w"), "avgdl")
     tf = F.col("tf")
-    gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("chunk_id").agg(F.count("*").alias("matched"), (-F.sum(gain)).alias("score"))
+    gain = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.join(F.broadcast(weights), "term").groupBy("chunk_id").agg(F.count("*").alias("matched"), (-F.sum(gain)).alias("score"))
 
 
-def keyword_scores(post: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
+def keyword_scores(post: DataFrame, figures: DataFrame, terms: list[str]) -> DataFrame:
     """Chunks with all terms, or where the corpus has none of those, with any."""
     if not terms:
         raise ValueError("empty query")
-    scored = bm25(post, lengths, terms)
+    scored = bm25(post, figures, terms)
     need = len({t.lower() for t in terms})
+    if need == 1:
+        return scored.select("chunk_id", "score")
     most = scored.agg(F.max("matched").alias("most"))
-    both = scored.crossJoin(F.broadcast(most))
+    both = scored.crossJoin(F.broadcast(most))  # one row
     return both.where((F.col("matched") == need) | (F.col("most") < need)).select("chunk_id", "score")
 
 
-def assemble(scores: DataFrame, chunks: DataFrame, documents: DataFrame, top_k: int = 10, include_superseded: bool = False) -> DataFrame:
-    """Best first, two chunks a document, latest revisions only unless asked.
+def assemble(scores: DataFrame, chunks: DataFrame, documents: DataFrame, defaults: DataFrame | None = None, top_k: int = 10, include_superseded: bool = False) -> DataFrame:
+    """Best first, two chunks a document, latest revisions only unless asked; ``defaults`` as ``default_revisions`` gives them.
 
     No fetch limits: filters come before the cap and the cap before the limit.
     """
+    defaults = default_revisions(documents) if defaults is None else defaults
     rows = scores.join(chunks, "chunk_id").join(documents.select("doc_id", "revision", "title"), ["doc_id", "revision"])
-    rows = rows.join(default_revisions(documents), ["doc_id", "revision"], "left" if include_superseded else "inner")
+    rows = rows.join(defaults, ["doc_id", "revision"], "left" if include_superseded else "inner")
     w = Window.partitionBy("doc_id").orderBy("score", "chunk_id")
     rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= PER_DOC)
     return rows.orderBy("score", "chunk_id").limit(top_k).select(
@@ -81,13 +84,15 @@ def l2_normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def similar(vectors: DataFrame, query: DataFrame, top_k: int | None = None) -> DataFrame:
-    """(vec_id, score) by descending cosine with the one vector of ``query`` (q)."""
-    out = vectors.crossJoin(F.broadcast(query)).select(
-        "vec_id", dot(l2_normalised(F.col("embedding")), l2_normalised(F.col("q"))).alias("score")
-    )
-    out = out.orderBy(F.desc("score"), "vec_id")
-    return out if top_k is None else out.limit(top_k)
+def similar(vectors: DataFrame, query: DataFrame, top_k: int | None = None, unit: bool = False) -> DataFrame:
+    """(vec_id, score): cosine with the one vector of ``query`` (q), the best ``top_k`` in order or all unordered.
+
+    ``unit``: the vectors have length one already, as those of the index do.
+    """
+    stored = F.col("embedding") if unit else l2_normalised(F.col("embedding"))
+    q = query.select(l2_normalised(F.col("q")).alias("q"))
+    out = vectors.crossJoin(F.broadcast(q)).select("vec_id", dot(stored, F.col("q")).alias("score"))
+    return out if top_k is None else out.orderBy(F.desc("score"), "vec_id").limit(top_k)
 
 
 def embed_backlog(chunks: DataFrame, documents: DataFrame, embedded: DataFrame) -> DataFrame:

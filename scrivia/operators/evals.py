@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivia.functions.text import CITATION_SHAPE
@@ -46,3 +48,32 @@ def recall_at(found: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     top = found.where(F.col("rank") <= k).select("query", "doc_id").distinct().withColumn("__h", F.lit(1))
     rows = expected.join(top, ["query", "doc_id"], "left")
     return rows.groupBy("query").agg(F.avg(F.coalesce("__h", F.lit(0))).alias("recall"))
+
+
+def set_metrics(queries: DataFrame, found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per query (n_found, n_expected, equal, includes, honest): whether the found doc_ids are the expected ones,
+    include them, and are none where none are expected."""
+    f = found.select("query", "doc_id").distinct().withColumn("f", F.lit(1))
+    e = expected.select("query", "doc_id").distinct().withColumn("e", F.lit(1))
+    per = f.join(e, ["query", "doc_id"], "full").groupBy("query").agg(F.count("f").alias("n_found"), F.count("e").alias("n_expected"), F.count(F.col("f") + F.col("e")).alias("both"))
+    rows = queries.join(per, "query", "left").na.fill(0, ["n_found", "n_expected", "both"])
+    same = (F.col("n_found") == F.col("both")) & (F.col("n_expected") == F.col("both"))
+    return rows.select(
+        "query", "n_found", "n_expected", same.alias("equal"), (F.col("n_expected") == F.col("both")).alias("includes"),
+        ((F.col("n_expected") == 0) & (F.col("n_found") == 0)).alias("honest"),
+    )
+
+
+def load_cases(spark: SparkSession, pattern: str) -> DataFrame:
+    """(file, id, query, filter, expect, expect_answer: JSON) of YAML case files; none where no file matches."""
+    import glob  # cases are small files beside the code, as tests are
+
+    import yaml
+
+    rows = []
+    for name in sorted(glob.glob(pattern)):
+        with open(name, encoding="utf-8") as f:
+            for case in yaml.safe_load(f) or []:
+                parts = [None if case.get(k) is None else json.dumps(case[k]) for k in ("filter", "expect", "expect_answer")]
+                rows.append((name, str(case["id"]), case.get("query"), *parts))
+    return spark.createDataFrame(rows, "file string, id string, query string, filter string, expect string, expect_answer string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivia.functions.text import normal_id
 
+# Names of the directions.
 DIRECTIONS = {"in": "inbound", "out": "outbound", "inbound": "inbound", "outbound": "outbound", "both": "both"}
 
 
@@ -55,7 +56,7 @@ def get_references(refs: DataFrame, documents: DataFrame, doc_id: str, direction
     """Frames by direction for one document, identified by its normalised id."""
     way = DIRECTIONS.get(direction.lower())
     if way is None:
-        raise ValueError("direction must be 'inbound', 'outbound', or 'both'")
+        raise ValueError(f"no such direction: {direction!r} (known: {', '.join(DIRECTIONS)})")
     out, same = {}, normal_id(F.lit(doc_id))
     if way in ("outbound", "both"):
         out["references"] = outbound(refs, documents).where(normal_id("from_doc") == same).orderBy(F.desc("mentions"), "to_doc")

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.functions.text import parse_filename
-from scrivia.operators import chunking, content, references
+from scrivia.functions.stemming import stems
+from scrivia.functions.text import parse_filename, word_tokens
+from scrivia.operators import catalog, chunking, content, references
 from scrivia.sources import docx
-from scrivia.sources.fixtures import chunks_of
+from scrivia.sources.fixtures import DOCUMENT, chunks_of
+from scrivia.storage import delete, materialise, read_text, release, replace_text
 
-TABLES = ("documents", "chunks", "refs", "postings", "lengths", "meta")
-DOCUMENT = ("id", "doc_id", "revision", "title", "type_prefix", "is_signed", "is_obsolete", "is_empty", "sw_version", "filename", "content_hash", "char_count")
+TABLES = ("documents", "chunks", "refs", "postings", "figures", "defaults", "files", "meta")
+POINTER = "CURRENT"
+
+
+def stemmed(text: Column) -> Column:
+    """The index's tokens: words without marks, stemmed."""
+    return stems(word_tokens(text))
 
 
 def fold_files(parsed: DataFrame) -> DataFrame:
-    """Files with parsed names as documents with their chunks, copies ranked after the first."""
+    """Files with parsed names as documents with their chunks, copies ranked after the first, unreadable files last."""
     files = docx.extract(parsed).withColumn("revision", F.coalesce("revision", F.lit(""))).withColumn("chunks", chunking.chunk_pack("blocks"))
     files = files.withColumns(
         {
@@ -27,57 +38,96 @@ def fold_files(parsed: DataFrame) -> DataFrame:
             "id": F.xxhash64("filename"),
         }
     )
-    return chunking.dedupe(files)
+    return chunking.dedupe(files, F.col("error").isNotNull())
+
+
+def write_tables(documents: DataFrame, chunks: DataFrame, put: Callable, tokens=stemmed) -> None:
+    """What searching needs besides: postings by range of term, the corpus's figures, default revisions."""
+    # a term filter reads few row groups
+    put(content.postings(chunks, tokens).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
+    put(content.corpus_figures(chunks, tokens), "figures")
+    put(catalog.default_revisions(documents), "defaults")
 
 
 def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
-    """Ingest a folder of Word files, overwriting ``path``; any unparsable file name aborts."""
+    """Ingest a folder of Word files; any unparsable file name aborts.
+
+    Tables go to a folder of their own, and the pointer in ``path`` moves to it when all are there:
+    readers see the old index or the new one, and a failed build leaves the old.
+    """
     began = time.time()
     parsed = parse_filename(docx.corpus_files(spark, corpus))
-    bad = parsed.where("doc_id IS NULL").select("filename").orderBy("filename").limit(20).collect()
+    bad = [repr(r[0]) for r in parsed.where("doc_id IS NULL").select("filename").orderBy("filename").toLocalIterator()]
     if bad:
-        raise ValueError("no doc ID at start of " + ", ".join(repr(r[0]) for r in bad))
-    types = [r[0] for r in parsed.select("type_prefix").distinct().collect()]  # a handful
-
-    put = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-    get = lambda name: spark.read.parquet(f"{path}/{name}")
+        raise ValueError(f"{len(bad)} file names do not start with a document ID: " + ", ".join(bad))
+    version = f"v-{uuid.uuid4().hex}"
+    put = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{version}/{name}")
+    get = lambda name: spark.read.parquet(f"{path}/{version}/{name}")
     put(fold_files(parsed), "staged")  # the folds run once; all tables derive from it
     staged = get("staged")
-    kept = staged.where("rank = 1")
+    kept = staged.where("rank = 1 and error is null")
     put(kept.select(*DOCUMENT), "documents")
     put(chunks_of(kept).sortWithinPartitions("doc_id", "revision", "position"), "chunks")
+    # every file, with what became of it
+    outcome = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("rank") == 1, "kept").when(F.col("conflict"), "conflicting copy").otherwise("copy")
+    put(staged.select("filename", "doc_id", "revision", outcome.alias("outcome"), "error"), "files")
     chunks, documents = get("chunks"), get("documents")
+    # document types are a column of the catalog, and a mention's shape lists them
+    types = [r[0] for r in documents.select("type_prefix").distinct().collect()]
     put(references.extract_refs(chunks, references.mention_shape(types)).dropDuplicates(["from_doc", "from_rev", "to_doc"]), "refs")
-    # postings by range of term: a term filter reads few row groups
-    put(content.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
-    put(content.chunk_lengths(chunks), "lengths")
+    write_tables(documents, chunks, put)
     put(spark.createDataFrame([("corpus_dir", corpus), ("chunk_max_chars", str(chunking.MAX_CHUNK_CHARS))], "key string, value string"), "meta")
-    s = staged.agg(
-        F.count("*").alias("files"), F.count_if((F.col("rank") > 1) & ~F.col("conflict")).alias("duplicates_skipped"), F.count_if("conflict").alias("duplicates_conflicting")
-    ).first()
-    d = documents.agg(F.count("*").alias("documents"), F.countDistinct("doc_id").alias("doc_ids"), F.count_if("is_empty").alias("empty_docs")).first()
-    refs = get("refs")
-    return {
-        **s.asDict(),
-        **d.asDict(),
-        "rev_chains": documents.groupBy("doc_id").count().where("count > 1").count(),
-        "chunks": chunks.count(),
-        "ref_edges": refs.count(),
-        "dangling_refs": references.dangling(refs, documents).count(),
-        "seconds": round(time.time() - began, 1),
-    }
+    replace_text(spark, f"{path}/{POINTER}", json.dumps({name: f"{version}/{name}" for name in TABLES}))
+    delete(spark, f"{path}/{version}/staged")
+    return {**ingest_report(*[get(n) for n in ("files", "documents", "chunks", "refs")]).first().asDict(), "seconds": round(time.time() - began, 1)}
+
+
+def ingest_report(files: DataFrame, documents: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
+    """One row of counts over an index's tables."""
+    a = files.agg(
+        F.count("*").alias("files"), F.count_if(F.col("outcome") == "copy").alias("duplicates_skipped"),
+        F.count_if(F.col("outcome") == "conflicting copy").alias("duplicates_conflicting"), F.count_if(F.col("outcome") == "unreadable").alias("unreadable"),
+    )
+    b = documents.agg(F.count("*").alias("documents"), F.countDistinct("doc_id").alias("doc_ids"), F.count_if("is_empty").alias("empty_docs"))
+    c = documents.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("rev_chains"))
+    parts = (a, b, c, chunks.agg(F.count("*").alias("chunks")), refs.agg(F.count("*").alias("ref_edges")), references.dangling(refs, documents).agg(F.count("*").alias("dangling_refs")))
+    return reduce(DataFrame.crossJoin, parts)  # one row each
+
+
+def pointer(spark: SparkSession, path: str) -> dict[str, str]:
+    text = read_text(spark, f"{path}/{POINTER}")
+    if text is None:
+        raise FileNotFoundError(f"search index not found at {path}: run build_index first")
+    return json.loads(text)
+
+
+def put_table(spark: SparkSession, path: str, name: str, df: DataFrame) -> None:
+    """Write one table anew and point to it."""
+    at = f"{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{at}")
+    replace_text(spark, f"{path}/{POINTER}", json.dumps({**pointer(spark, path), name: at}))
 
 
 def set_meta(spark: SparkSession, path: str, key: str, value: str) -> None:
     """Insert or replace one entry of the key-value table."""
-    old = [(r["key"], r["value"]) for r in spark.read.parquet(f"{path}/meta").collect() if r["key"] != key]
-    spark.createDataFrame([*old, (key, value)], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    old = open_index(spark, path)["meta"].where(F.col("key") != key)
+    put_table(spark, path, "meta", old.unionAll(spark.createDataFrame([(key, value)], old.schema)).coalesce(1))
 
 
 def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    try:
-        return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            raise FileNotFoundError(f"search index not found at {path}: run build_index first") from None
-        raise
+    """The index's tables by name; ``embeddings`` where there are any."""
+    return {name: spark.read.parquet(f"{path}/{at}") for name, at in pointer(spark, path).items()}
+
+
+def backfill_embeddings(spark: SparkSession, path: str, embed: Callable, model: str, batch: int = 128) -> int:
+    """Embed and store the chunks without a vector, record the model, and return how many there were."""
+    index = open_index(spark, path)
+    stored = {r["key"]: r["value"] for r in index["meta"].collect()}.get("embed_model")  # a few entries
+    held = index.get("embeddings")
+    known = spark.createDataFrame([], "chunk_id string, embedding array<double>") if held is None else held
+    new = materialise(content.build_embeddings(index["chunks"], index["documents"], known, embed, model, stored, batch), "embeddings")
+    n = new.count()
+    put_table(spark, path, "embeddings", known.unionByName(new))
+    set_meta(spark, path, "embed_model", model)
+    release(new)
+    return n

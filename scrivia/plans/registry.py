@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivia.functions import text as T
-from scrivia.functions.stemming import stems
+from scrivia.functions.stemming import stem
 from scrivia.operators import catalog, chunking, content, evals, reading, references
+from scrivia.plans.built import embedded, index_of
+from scrivia.plans.index import ingest_report as report_of
 from scrivia.sources import fixtures as fx
 from scrivia.sources import html
 
@@ -30,6 +34,11 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    i = index_of(spark, sf)
+    return i["documents"], i["chunks"]
+
+
 # --- names ------------------------------------------------------------------
 
 _NAME = "doc_id, type_prefix, title, revision, is_signed, is_obsolete, is_duplicate, sw_version, warning"
@@ -161,7 +170,7 @@ def content_hash(spark, sf):
     )
 )
 def embed_text(spark, sf):
-    documents, chunks = fx.tables(spark, sf)
+    documents, chunks = _tables(spark, sf)
     rows = chunks.join(documents.select("doc_id", "revision", "title"), ["doc_id", "revision"])
     return rows.select("chunk_id", F.md5(T.embed_text("doc_id", "revision", "title", "section_path", "text")).alias("text"))
 
@@ -191,21 +200,6 @@ def dup_conflicts(spark, sf):
     return chunking.dedupe(fx.packed(fx.with_copies(fx.files(spark, sf)))).where("rank > 1").select("doc_id", "revision", "filename", "conflict")
 
 
-@query(
-    _with(
-        fx.TABLES,
-        """SELECT count(*) AS documents, count(DISTINCT doc_id) AS doc_ids, CAST(count(*) FILTER (WHERE is_empty) AS BIGINT) AS empty_docs,
-  (SELECT count(*) FROM chunk) AS chunks, (SELECT count(*) FROM (SELECT 1 FROM docs GROUP BY doc_id HAVING count(*) > 1)) AS rev_chains FROM docs""",
-    )
-)
-def ingest_stats(spark, sf):
-    documents, chunks = fx.tables(spark, sf)
-    a = documents.agg(F.count("*").alias("documents"), F.countDistinct("doc_id").alias("doc_ids"), F.count_if("is_empty").alias("empty_docs"))
-    b = chunks.agg(F.count("*").alias("chunks"))
-    c = documents.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("rev_chains"))
-    return a.crossJoin(b).crossJoin(c)  # one row each
-
-
 @query(
     _with(
         fx.PACKED,
@@ -246,13 +240,13 @@ refs AS (SELECT doc_id AS from_doc, revision AS from_rev, to_doc, count(*) AS n_
 
 
 def _refs(spark, sf):
-    documents, chunks = fx.tables(spark, sf)
-    return documents, references.extract_refs(chunks, _SHAPE)
+    i = index_of(spark, sf)
+    return i["documents"], i["refs"]
 
 
 @query(_with(_REFS, "SELECT from_doc, from_rev, to_doc, n_mentions, context FROM refs"))
 def extract_refs(spark, sf):
-    return _refs(spark, sf)[1]
+    return references.extract_refs(_tables(spark, sf)[1], _SHAPE)
 
 
 @query(_with(_REFS, "SELECT DISTINCT to_doc FROM refs WHERE to_doc NOT IN (SELECT doc_id FROM docs)"))
@@ -292,23 +286,23 @@ _COLS = "doc_id, type, n_revisions, revisions, latest_current, title"
 
 @query(_with(_CHAINS, f"SELECT {_COLS} FROM chains"))
 def revision_chains(spark, sf):
-    return _flat(catalog.chains(fx.tables(spark, sf)[0]))
+    return _flat(catalog.chains(_tables(spark, sf)[0]))
 
 
 @query(_with(_CHAINS, "SELECT doc_id, latest_current FROM chains"))
 def latest_current(spark, sf):
-    return catalog.chains(fx.tables(spark, sf)[0]).select("doc_id", "latest_current")
+    return catalog.chains(_tables(spark, sf)[0]).select("doc_id", "latest_current")
 
 
 @query(_with(_CHAINS, "SELECT doc_id, revision, is_current FROM defaults"))
 def default_revisions(spark, sf):
-    return catalog.default_revisions(fx.tables(spark, sf)[0])
+    return catalog.default_revisions(_tables(spark, sf)[0])
 
 
 def _catalog(name: str, where: str, **options):
     @query(_with(_CHAINS, f"SELECT {_COLS} FROM chains WHERE {where}"), name)
     def run(spark, sf):
-        return _flat(catalog.search_catalog(fx.tables(spark, sf)[0], **options))
+        return _flat(catalog.search_catalog(_tables(spark, sf)[0], **options))
 
 
 _catalog("catalog_by_type", "type = 'ECR'", doc_type="ecr")
@@ -321,7 +315,7 @@ _catalog("catalog_status_empty", "all_empty", status="empty")
 
 @query(_with(_CHAINS, "SELECT type, count(*) AS n FROM chains WHERE latest_current IS NOT NULL GROUP BY type"))
 def catalog_count(spark, sf):
-    return catalog.filtered(catalog.chains(fx.tables(spark, sf)[0]), status="current").groupBy("type").agg(F.count("*").alias("n"))
+    return catalog.filtered(catalog.chains(_tables(spark, sf)[0]), status="current").groupBy("type").agg(F.count("*").alias("n"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -337,17 +331,21 @@ def query_tokens(spark, sf):
     )
 
 
+_IDS = ("please find ecr p01 028 for me", "ecr_p01/013")
+
+
 @query(
     _with(
         _CHAINS,
-        "SELECT doc_id, CASE WHEN doc_id IN ('ECR-P01-013') OR (type = 'ECR' AND ltrim(split_part(doc_id, '-', -1), '0') = '28') THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM chains",
+        rf"""SELECT doc_id, max(CASE WHEN regexp_replace(upper(q), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(doc_id), '[^A-Z0-9]', '', 'g')
+    OR list_contains(list_transform(list_zip(regexp_extract_all(q, '{T.FRAGMENT_SHAPE}', 1), regexp_extract_all(q, '{T.FRAGMENT_SHAPE}', 2)),
+      lambda z: upper(z[1]) || '#' || ltrim(z[2], '0')), type || '#' || ltrim(split_part(doc_id, '-', -1), '0')) THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS score
+FROM chains, (VALUES {", ".join(f"('{q}')" for q in _IDS)}) asks(q) GROUP BY doc_id""",
     )
 )
 def id_score(spark, sf):
-    c = catalog.chains(fx.tables(spark, sf)[0])
-    one = catalog.id_score(F.lit("please find ecr p01 028 for me"), F.col("doc_id"), F.col("type"))
-    two = catalog.id_score(F.lit("ecr_p01/013"), F.col("doc_id"), F.col("type"))
-    return c.select("doc_id", F.greatest(one, two).alias("score"))
+    c = catalog.chains(_tables(spark, sf)[0])
+    return c.select("doc_id", F.greatest(*[catalog.id_score(F.lit(q), F.col("doc_id"), F.col("type")) for q in _IDS]).alias("score"))
 
 
 def _lcs(a: str, b: str) -> str:
@@ -396,19 +394,19 @@ cs AS (SELECT c.*, greatest((SELECT max(score) FROM ts WHERE k = c.doc_id), (SEL
 
 @query(_with(_scores(_ASK), "SELECT k AS doc_id, text AS title, round(score, 6) AS score FROM ts WHERE k NOT LIKE 'type:%'"))
 def token_score(spark, sf):
-    t = fx.tables(spark, sf)[0].select(F.struct("doc_id", "title").alias("key"), F.col("title").alias("text")).distinct()
+    t = _tables(spark, sf)[0].select(F.struct("doc_id", "title").alias("key"), F.col("title").alias("text")).distinct()
     return catalog.token_scores(t, _ASK).select("key.doc_id", "key.title", F.round("score", 6).alias("score"))
 
 
-@query(_with(_scores("bill of materails"), f"SELECT {_COLS}, round(score, 6) AS score FROM cs WHERE score >= 75"))
+@query(_with(_scores("bill of materails"), f"SELECT {_COLS}, round(score, 6) AS score, CAST(round_even(score, 0) AS INTEGER) AS match_score FROM cs WHERE score >= 75"))
 def catalog_search(spark, sf):
-    found = catalog.search_catalog(fx.tables(spark, sf)[0], "bill of materails")
-    return _flat(found.withColumn("s", F.round("score", 6)), F.col("s").alias("score"))
+    found = catalog.search_catalog(_tables(spark, sf)[0], "bill of materails")
+    return _flat(found.withColumn("s", F.round("score", 6)), F.col("s").alias("score"), "match_score")
 
 
 @query(_with(_scores("quixotic zebra summary"), "SELECT doc_id, title, round(score, 6) AS score FROM cs ORDER BY cs.score DESC, doc_id LIMIT 3"))
 def closest_matches(spark, sf):
-    return catalog.closest_matches(fx.tables(spark, sf)[0], "quixotic zebra summary").withColumn("score", F.round("score", 6))
+    return catalog.closest_matches(_tables(spark, sf)[0], "quixotic zebra summary").withColumn("score", F.round("score", 6))
 
 
 # --- content ----------------------------------------------------------------
@@ -416,7 +414,7 @@ def closest_matches(spark, sf):
 
 @query(_with(fx.TABLES, "SELECT chunk_id, doc_id, revision, title, section_path, kind FROM chunk"))
 def chunk_doc_join(spark, sf):
-    documents, chunks = fx.tables(spark, sf)
+    documents, chunks = _tables(spark, sf)
     return chunks.join(documents.select("doc_id", "revision", "title"), ["doc_id", "revision"]).select("chunk_id", "doc_id", "revision", "title", "section_path", "kind")
 
 
@@ -450,9 +448,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, chunk_id)
 WHERE rank <= 2 ORDER BY kw_score(score), chunk_id LIMIT 10""".replace("kw_score(score)", "round(score, 9)")
 
 
-def _index(spark, sf, tokens=T.word_tokens):
-    documents, chunks = fx.tables(spark, sf)
-    return documents, chunks, content.postings(chunks, tokens), content.chunk_lengths(chunks, tokens)
+def _keyword(spark, sf, terms: list[str], kind: str = "", **options) -> DataFrame:
+    i = index_of(spark, sf)
+    scores = content.keyword_scores(i[f"{kind}postings"], i[f"{kind}figures"], terms)
+    return _shown(content.assemble(scores, i["chunks"], i["documents"], i["defaults"], **options))
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -461,7 +460,7 @@ def _shown(found: DataFrame) -> DataFrame:
 
 @query(_with(_TOKENS, "SELECT term, chunk_id, tf FROM post"))
 def postings(spark, sf):
-    return _index(spark, sf)[2]
+    return content.postings(_tables(spark, sf)[1]).drop("dl")
 
 
 _AND, _OR = ["License", "version"], ["Apache", "zzqx", "Apache"]
@@ -469,26 +468,24 @@ _AND, _OR = ["License", "version"], ["Apache", "zzqx", "Apache"]
 
 @query(_with(_bm25(_AND), "SELECT chunk_id, round(score, 6) AS score FROM kw"))
 def bm25_and(spark, sf):
-    _, _, post, dl = _index(spark, sf)
-    return content.keyword_scores(post, dl, _AND).withColumn("score", F.round("score", 6))
+    i = index_of(spark, sf)
+    return content.keyword_scores(i["postings"], i["figures"], _AND).withColumn("score", F.round("score", 6))
 
 
 @query(_with(_bm25(_OR), "SELECT chunk_id, round(score, 6) AS score FROM kw"))
 def bm25_or(spark, sf):
-    _, _, post, dl = _index(spark, sf)
-    return content.keyword_scores(post, dl, _OR).withColumn("score", F.round("score", 6))
+    i = index_of(spark, sf)
+    return content.keyword_scores(i["postings"], i["figures"], _OR).withColumn("score", F.round("score", 6))
 
 
 @query(_with(_bm25(["the", "License"]), _found("")))
 def content_keyword(spark, sf):
-    documents, chunks, post, dl = _index(spark, sf)
-    return _shown(content.assemble(content.keyword_scores(post, dl, ["the", "License"]), chunks, documents))
+    return _keyword(spark, sf, ["the", "License"])
 
 
 @query(_with(_bm25(["the", "License"]), _found("LEFT")))
 def content_superseded(spark, sf):
-    documents, chunks, post, dl = _index(spark, sf)
-    return _shown(content.assemble(content.keyword_scores(post, dl, ["the", "License"]), chunks, documents, include_superseded=True))
+    return _keyword(spark, sf, ["the", "License"], include_superseded=True)
 
 
 @query(
@@ -498,20 +495,15 @@ def content_superseded(spark, sf):
     )
 )
 def top2_per_doc(spark, sf):
-    from pyspark.sql import Window
-
-    _, chunks, post, dl = _index(spark, sf)
-    rows = content.keyword_scores(post, dl, ["License"]).join(chunks, "chunk_id")
+    i = index_of(spark, sf)
+    rows = content.keyword_scores(i["postings"], i["figures"], ["License"]).join(i["chunks"], "chunk_id")
     w = Window.partitionBy("doc_id").orderBy(F.round("score", 9), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("doc_id", "chunk_id", "rank")
 
 
 @query()
 def content_keyword_porter(spark, sf):
-    from scrivia.functions.stemming import stem
-
-    documents, chunks, post, dl = _index(spark, sf, lambda c: stems(T.word_tokens(c)))
-    return _shown(content.assemble(content.keyword_scores(post, dl, [stem("licensed"), stem("the")]), chunks, documents))
+    return _keyword(spark, sf, [stem("licensed"), stem("the")], "stem_")
 
 
 _VEC = "embeddings"
@@ -548,16 +540,15 @@ def semantic_topk(spark, sf):
     )
 )
 def content_semantic(spark, sf):
-    documents, chunks = fx.tables(spark, sf)
-    near = _cosines(spark, sf).join(chunks.where("position = 0").select("chunk_id", F.col("id").alias("vec_id")), "vec_id")
-    return _shown(content.assemble(near.select("chunk_id", (-F.col("score")).alias("score")), chunks, documents))
+    i = index_of(spark, sf)
+    near = _cosines(spark, sf).join(embedded(i["chunks"], fx.read(spark, sf, _VEC)), "vec_id")
+    return _shown(content.assemble(near.select("chunk_id", (-F.col("score")).alias("score")), i["chunks"], i["documents"], i["defaults"]))
 
 
 @query(_with(fx.TABLES, "SELECT chunk_id FROM chunk WHERE position > 0 OR id NOT IN (SELECT vec_id FROM embeddings)"))
 def embed_backlog(spark, sf):
-    documents, chunks = fx.tables(spark, sf)
-    done = chunks.where("position = 0").join(fx.read(spark, sf, _VEC).select(F.col("vec_id").alias("id")), "id", "left_semi")
-    return content.embed_backlog(chunks, documents, done).select("chunk_id")
+    documents, chunks = _tables(spark, sf)
+    return content.embed_backlog(chunks, documents, embedded(chunks, fx.read(spark, sf, _VEC))).select("chunk_id")
 
 
 # --- reading ----------------------------------------------------------------
@@ -573,23 +564,23 @@ bodies AS (SELECT doc_id, revision, CAST(sum(length(text)) AS BIGINT) AS char_co
 
 @query(_with(fx.TABLES + _body("chunk", 60000), "SELECT doc_id, revision, char_count, text FROM bodies"))
 def read_body(spark, sf):
-    return reading.body(fx.tables(spark, sf)[1]).select("doc_id", "revision", "char_count", F.md5("text").alias("text"))
+    return reading.body(_tables(spark, sf)[1]).select("doc_id", "revision", "char_count", F.md5("text").alias("text"))
 
 
 @query(_with(fx.TABLES + _body("chunk", 3000), "SELECT doc_id, revision, included, truncated, text FROM bodies"))
 def read_truncated(spark, sf):
-    return reading.body(fx.tables(spark, sf)[1], 3000).select("doc_id", "revision", "included", "truncated", F.md5("text").alias("text"))
+    return reading.body(_tables(spark, sf)[1], 3000).select("doc_id", "revision", "included", "truncated", F.md5("text").alias("text"))
 
 
 @query(_with(fx.TABLES + _body("(SELECT * FROM chunk WHERE contains(lower(section_path), 'the'))", 60000), "SELECT doc_id, revision, char_count, text FROM bodies"))
 def read_section(spark, sf):
-    part = reading.in_section(fx.tables(spark, sf)[1], "THE")
+    part = reading.in_section(_tables(spark, sf)[1], "THE")
     return reading.body(part).select("doc_id", "revision", "char_count", F.md5("text").alias("text"))
 
 
 @query(_with(fx.TABLES, "SELECT doc_id, revision, section_path AS section, CAST(sum(length(text)) AS BIGINT) AS chars, min(position) AS first FROM chunk GROUP BY ALL"))
 def outline(spark, sf):
-    return reading.outline(fx.tables(spark, sf)[1]).select("doc_id", "revision", "section", "chars", "first")
+    return reading.outline(_tables(spark, sf)[1]).select("doc_id", "revision", "section", "chars", "first")
 
 
 # --- evaluation -------------------------------------------------------------
@@ -623,7 +614,7 @@ FROM cites LEFT JOIN (SELECT DISTINCT doc_id, revision FROM docs) d ON d.doc_id
     )
 )
 def citation_validity(spark, sf):
-    return evals.validity(evals.citations(_answers(spark, sf), "answer"), fx.tables(spark, sf)[0], ["conv_id", "turn"])
+    return evals.validity(evals.citations(_answers(spark, sf), "answer"), _tables(spark, sf)[0], ["conv_id", "turn"])
 
 
 @query(
@@ -652,3 +643,114 @@ def answer_contains(spark, sf):
 def id_fragments(spark, sf):
     rows = fx.read(spark, sf, "conversations").select("conv_id", "turn", F.explode(T.fragments(F.concat(F.lit("ecr 0577, "), "text"))).alias("f"))
     return rows.select("conv_id", "turn", "f.prefix", "f.number")
+
+
+@query(_with(_ANSWERS, "SELECT conv_id, turn, bool_or(doc = 'ECR-P01-013') AND bool_or(doc = 'X-9') AS must_cite FROM cites GROUP BY ALL"))
+def must_cite(spark, sf):
+    cited = evals.citations(_answers(spark, sf), "answer").groupBy("conv_id", "turn").agg(F.collect_set("doc").alias("cited"))
+    return cited.select("conv_id", "turn", evals.must_cite(F.col("cited"), ["ECR-P01-013", "X-9"]).alias("must_cite"))
+
+
+_FOUND = """,
+found AS (SELECT type AS query, doc_id, row_number() OVER (PARTITION BY type ORDER BY doc_id) AS rank FROM chains),
+expected AS (SELECT type AS query, doc_id FROM chains WHERE latest_current IS NOT NULL)"""
+
+
+def _judged(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """((query, doc_id, rank), (query, doc_id)): a search by type, of which the current documents were wanted."""
+    c = catalog.chains(_tables(spark, sf)[0]).select(F.col("type").alias("query"), "doc_id", "latest_current")
+    found = c.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc_id"))).drop("latest_current")
+    return found, c.where("latest_current IS NOT NULL").drop("latest_current")
+
+
+@query(
+    _with(
+        _CHAINS + _FOUND,
+        "SELECT e.query, avg(CASE WHEN f.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS recall FROM expected e LEFT JOIN (SELECT * FROM found WHERE rank <= 5) f USING (query, doc_id) GROUP BY e.query",
+    )
+)
+def recall_at_5(spark, sf):
+    return evals.recall_at(*_judged(spark, sf))
+
+
+@query(
+    _with(
+        _CHAINS + _FOUND,
+        """SELECT query, count(f) AS n_found, count(e) AS n_expected, bool_and(f IS NOT NULL AND e IS NOT NULL) AS equal, bool_and(e IS NULL OR f IS NOT NULL) AS includes, count(e) = 0 AND count(f) = 0 AS honest
+FROM (SELECT unnest(['BOM', 'ECR', '3P', 'NONE']) AS query)
+LEFT JOIN (SELECT coalesce(found.query, expected.query) AS query, found.doc_id AS f, expected.doc_id AS e FROM found FULL JOIN expected USING (query, doc_id)) USING (query) GROUP BY query""".replace(
+            "bool_and(f IS NOT NULL AND e IS NOT NULL)", "count(f) = count(e) AND count(f) = count(*) FILTER (WHERE f IS NOT NULL AND e IS NOT NULL)"
+        ).replace("bool_and(e IS NULL OR f IS NOT NULL)", "count(e) = count(*) FILTER (WHERE f IS NOT NULL AND e IS NOT NULL)"),
+    )
+)
+def set_metrics(spark, sf):
+    asked = spark.createDataFrame([("BOM",), ("ECR",), ("3P",), ("NONE",)], "query string")
+    return evals.set_metrics(asked, *_judged(spark, sf))
+
+
+# --- reports ----------------------------------------------------------------
+
+
+@query(
+    _with(
+        _REFS + _COPIES[len(fx.FILES) :],
+        """SELECT (SELECT count(*) FROM ranked) AS files, (SELECT count(*) FROM ranked WHERE rank > 1 AND h = first_h) AS duplicates_skipped,
+  (SELECT count(*) FROM ranked WHERE h <> first_h) AS duplicates_conflicting, CAST(0 AS BIGINT) AS unreadable,
+  count(*) AS documents, count(DISTINCT doc_id) AS doc_ids, CAST(count(*) FILTER (WHERE is_empty) AS BIGINT) AS empty_docs,
+  (SELECT count(*) FROM (SELECT 1 FROM docs GROUP BY doc_id HAVING count(*) > 1)) AS rev_chains, (SELECT count(*) FROM chunk) AS chunks,
+  (SELECT count(*) FROM refs) AS ref_edges, (SELECT count(DISTINCT to_doc) FROM refs WHERE to_doc NOT IN (SELECT doc_id FROM docs)) AS dangling_refs FROM docs""",
+    )
+)
+def ingest_stats(spark, sf):
+    i = index_of(spark, sf)
+    ranked = chunking.dedupe(fx.packed(fx.with_copies(fx.files(spark, sf))))
+    outcome = F.when(F.col("rank") == 1, "kept").when(F.col("conflict"), "conflicting copy").otherwise("copy")
+    return report_of(ranked.select(outcome.alias("outcome")), i["documents"], i["chunks"], i["refs"])
+
+
+@query(
+    _with(
+        fx.PACKED,
+        """SELECT id, section, path, text_blocks, table_blocks, chars, md5(substr(body, 1, 150)) AS preview FROM (
+  SELECT id, u.b.section AS section, array_to_string(any_value(u.b.path), ' > ') AS path, count(*) FILTER (WHERE u.b.kind = 'text') AS text_blocks,
+    count(*) FILTER (WHERE u.b.kind = 'table') AS table_blocks, CAST(sum(length(u.b.text)) AS BIGINT) AS chars, string_agg(u.b.text, ' ' ORDER BY u.i) AS body
+  FROM packed, (SELECT unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i) u GROUP BY id, u.b.section)""",
+    )
+)
+def section_dump(spark, sf):
+    files = fx.files(spark, sf).select("id", chunking.section_fold(fx.items()).alias("blocks"))
+    return reading.section_dump(files).withColumn("preview", F.md5("preview"))
+
+
+@query(
+    _with(
+        fx.TABLES,
+        """SELECT chunk_id, round(n / sqrt(n * n + 1), 9) AS x, round(1 / sqrt(n * n + 1), 9) AS y FROM (
+  SELECT chunk_id, CAST(length(doc_id || ' Rev ' || coalesce(nullif(revision, ''), '—') || ' — ' || title || CASE WHEN section_path <> '' THEN chr(10) || '§ ' || section_path ELSE '' END
+    || chr(10) || '---' || chr(10) || text) AS DOUBLE) AS n FROM chunk WHERE position > 0 OR id NOT IN (SELECT vec_id FROM embeddings))""",
+    )
+)
+def build_embeddings(spark, sf):
+    documents, chunks = _tables(spark, sf)
+    done = embedded(chunks, fx.read(spark, sf, _VEC))
+    made = content.build_embeddings(chunks, documents, done, lambda texts: [[float(len(t)), 1.0] for t in texts], "length")
+    return made.select("chunk_id", F.round(F.col("embedding")[0], 9).alias("x"), F.round(F.col("embedding")[1], 9).alias("y"))
+
+
+_READS = (("BOM-P01-010", None), ("bom_p01/010", "A"), ("ECR-P01-013", "z"), ("NONE-1", None), ("bom", None))
+
+
+@query(
+    _with(
+        _CHAINS,
+        f"""SELECT ask, CASE WHEN c.doc_id IS NULL THEN 'unknown' WHEN rev IS NULL AND latest_current IS NULL THEN 'obsolete' WHEN d.doc_id IS NULL THEN 'no revision' WHEN d.is_empty THEN 'empty' ELSE 'found' END AS outcome,
+  c.doc_id AS doc_id, coalesce(upper(rev), latest_current) AS wanted
+FROM (VALUES {", ".join(f"('{a}', {'NULL' if r is None else repr(r)})" for a, r in _READS)}) asks(ask, rev)
+LEFT JOIN chains c ON regexp_replace(upper(ask), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(c.doc_id), '[^A-Z0-9]', '', 'g')
+LEFT JOIN docs d ON d.doc_id = c.doc_id AND d.revision = coalesce(upper(rev), latest_current)""",
+    )
+)
+def read_outcomes(spark, sf):
+    c = catalog.chains(_tables(spark, sf)[0])
+    rows = [reading.locate(c, ask, rev).select(F.lit(ask).alias("ask"), "outcome", "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("wanted")).alias("wanted")) for ask, rev in _READS]
+    return reduce(DataFrame.unionAll, rows)

@@ -9,20 +9,21 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scrivia.functions.text import cell, squeeze
 from scrivia.operators import chunking
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_ROWS = pa.list_(pa.list_(pa.string()))
-_OUT = pa.schema([("path", pa.string()), ("blocks", pa.list_(pa.struct([("style", pa.string()), ("is_list", pa.bool_()), ("text", pa.string()), ("rows", _ROWS)]))), ("error", pa.string())])
-_DDL = "path string, blocks array<struct<style:string,is_list:boolean,text:string,rows:array<array<string>>>>, error string"
+_BLOCKS = pa.list_(pa.struct([("style", pa.string()), ("is_list", pa.bool_()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))]))
+_DDL = "raw array<struct<style:string,is_list:boolean,text:string,rows:array<array<string>>>>, error string"
 
 
 def _styles(z: zipfile.ZipFile) -> dict[str, str]:
@@ -43,6 +44,22 @@ def _text(node) -> str:
     return "".join(out)
 
 
+def _rows(table) -> list[list[str]]:
+    """A table's cell texts; a cell merged over columns or rows is repeated in all of them, tables inside cells are left out."""
+    out: list[list[str]] = []
+    for tr in table.findall(f"{_W}tr"):
+        cells: list[str] = []
+        for tc in tr.findall(f"{_W}tc"):
+            span, down = tc.find(f"{_W}tcPr/{_W}gridSpan"), tc.find(f"{_W}tcPr/{_W}vMerge")
+            if down is not None and down.get(f"{_W}val", "continue") == "continue" and out and len(cells) < len(out[-1]):
+                text = out[-1][len(cells)]
+            else:
+                text = " ".join(_text(p) for p in tc.findall(f"{_W}p"))
+            cells += [text] * (int(span.get(f"{_W}val", "1")) if span is not None else 1)
+        out.append(cells)
+    return out
+
+
 def read_blocks(content: bytes) -> list[dict]:
     """Paragraphs (style name, whether numbered, text) and tables (rows of cell texts) in body order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -55,15 +72,7 @@ def read_blocks(content: bytes) -> list[dict]:
             sid = style.get(f"{_W}val", "") if style is not None else ""
             out.append({"style": styles.get(sid, sid), "is_list": numbered, "text": _text(e), "rows": None})
         elif e.tag == f"{_W}tbl":
-            rows = []
-            for tr in e.iter(f"{_W}tr"):
-                cells = []
-                for tc in tr.findall(f"{_W}tc"):
-                    span = tc.find(f"{_W}tcPr/{_W}gridSpan")
-                    n = int(span.get(f"{_W}val", "1")) if span is not None else 1
-                    cells += [" ".join(_text(p) for p in tc.findall(f"{_W}p"))] * n
-                rows.append(cells)
-            out.append({"style": None, "is_list": False, "text": None, "rows": rows})
+            out.append({"style": None, "is_list": False, "text": None, "rows": _rows(e)})
     return out
 
 
@@ -95,18 +104,22 @@ def _items():
     return F.flatten(F.transform("raw", one))
 
 
+_UNREADABLE = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, EOFError, RuntimeError, NotImplementedError)
+
+
 def extract(files: DataFrame) -> DataFrame:
-    """Adds ``blocks`` (with heading paths) and ``error`` (unreadable files) to (path, filename, content)."""
+    """``files`` (path, filename, content, ...) without content, with ``blocks`` (with heading paths) and ``error`` (unreadable files)."""
+    kept = [c for c in files.columns if c != "content"]
+    src = files.select(*kept, "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                try:
-                    row = {"path": path, "blocks": read_blocks(content.as_py()), "error": None}
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    row = {"path": path, "blocks": [], "error": re.sub(r"\s+", " ", str(e))}
-                yield pa.RecordBatch.from_pylist([row], _OUT)
-
-    raw = files.select("path", "content").mapInArrow(run, _DDL).withColumnRenamed("blocks", "raw")
-    out = raw.select("path", "error", chunking.section_fold(_items()).alias("blocks"))
-    return files.drop("content").join(out, "path")
+        for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            blocks, error = [], None
+            try:
+                blocks = read_blocks(one.column(len(kept))[0].as_py())
+            except _UNREADABLE as e:
+                error = f"{type(e).__name__}: " + re.sub(r"\s+", " ", str(e))
+            yield pa.RecordBatch.from_arrays([*one.columns[: len(kept)], pa.array([blocks], _BLOCKS), pa.array([error], pa.string())], [*kept, "raw", "error"])
+
+    raw = src.mapInArrow(run, StructType([*src.schema.fields[:-1], *StructType.fromDDL(_DDL).fields]))
+    return raw.withColumn("blocks", chunking.section_fold(_items())).drop("raw")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from scrivia.functions.text import parse_filename, squeeze
 from scrivia.operators import chunking
+from scrivia.operators.catalog import TYPE_NAMES
 
-TYPES = ("BOM", "VVPR", "VVAM", "ECR", "ESF", "RSK", "PLN", "DHF", "DMR", "DR", "IFU", "TRA", "QSR", "MEMO", "3P")
+TYPES = tuple(TYPE_NAMES)
+DOCUMENT = ("id", "doc_id", "revision", "title", "type_prefix", "is_signed", "is_obsolete", "is_empty", "sw_version", "filename", "content_hash", "char_count")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,13 +70,15 @@ def packed(fs: DataFrame) -> DataFrame:
     )
 
 
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection's files with their chunks, deduplicated."""
+    return chunking.dedupe(packed(files(spark, sf_dir))).where("rank = 1")
+
+
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) of the collection, deduplicated."""
-    kept = chunking.dedupe(packed(files(spark, sf_dir))).where("rank = 1")
-    documents = kept.select(
-        "id", "doc_id", "revision", "title", "type_prefix", "is_signed", "is_obsolete", "is_empty", "sw_version", "filename", "content_hash", "char_count"
-    )
-    return documents, chunks_of(kept)
+    """(documents, chunks) of the collection."""
+    rows = kept(spark, sf_dir)
+    return rows.select(*DOCUMENT), chunks_of(rows)
 
 
 def chunks_of(kept: DataFrame) -> DataFrame:

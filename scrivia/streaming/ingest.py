@@ -1,10 +1,11 @@
 """Extension: new Word files appended to an index as they arrive (file stream and foreachBatch).
 
-The collection itself is static per session; this adds documents, chunks, postings and
-lengths of new files to an index that ``build_index`` made.  A revision the index holds
+The collection itself is static per session; this adds documents, chunks and postings
+of new files to an index that ``build_index`` made.  A revision the index holds
 already is a copy and left out, and so are files whose name has no document ID.  The
 reference graph is left to the next ``build_index``, as a new type changes what counts
-as a mention in older documents.
+as a mention in older documents.  The figures and default revisions, small tables, are
+written anew.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scrivia.functions.text import parse_filename
-from scrivia.operators import content
-from scrivia.plans.index import DOCUMENT, fold_files
+from scrivia.operators import catalog, content
+from scrivia.plans.index import DOCUMENT, fold_files, open_index, pointer, put_table, stemmed
 from scrivia.sources import docx
 from scrivia.sources.fixtures import chunks_of
 
@@ -27,22 +28,26 @@ def append_stream(spark: SparkSession, corpus: str, path: str, checkpoint: str):
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.docx").load(corpus)
 
+    at = pointer(spark, path)
+
     def put(rows: DataFrame, name: str, key: list[str]) -> None:
         session = rows.sparkSession
         # only keys the batch has: the table itself is not shuffled for a small batch
-        held = session.read.parquet(f"{path}/{name}").select(*key).join(rows.select(*key), key, "left_semi")
-        rows.join(held, key, "left_anti").write.mode("append").option("compression", "zstd").parquet(f"{path}/{name}")
+        held = session.read.parquet(f"{path}/{at[name]}").select(*key).join(rows.select(*key), key, "left_semi")
+        rows.join(held, key, "left_anti").write.mode("append").option("compression", "zstd").parquet(f"{path}/{at[name]}")
 
     def add(batch: DataFrame, n: int) -> None:
         session, ids = batch.sparkSession, ["doc_id", "revision"]
-        folded = fold_files(parse_filename(docx.named(batch)).where("doc_id IS NOT NULL")).where("rank = 1")
-        known = session.read.parquet(f"{path}/documents").select(*ids)
+        folded = fold_files(parse_filename(docx.named(batch)).where("doc_id IS NOT NULL")).where("rank = 1 and error is null")
+        known = session.read.parquet(f"{path}/{at["documents"]}").select(*ids)
         folded.join(known, ids, "left_anti").write.mode("overwrite").parquet(f"{path}/arrived")  # the folds run once
         new = session.read.parquet(f"{path}/arrived")
         chunks = chunks_of(new)
         put(chunks, "chunks", ["chunk_id"])
-        put(content.postings(chunks), "postings", ["term", "chunk_id"])
-        put(content.chunk_lengths(chunks), "lengths", ["chunk_id"])
+        put(content.postings(chunks, stemmed), "postings", ["term", "chunk_id"])
         put(new.select(*DOCUMENT), "documents", ids)
+        index = open_index(session, path)
+        put_table(session, path, "figures", content.corpus_figures(index["chunks"], stemmed))
+        put_table(session, path, "defaults", catalog.default_revisions(index["documents"]))
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

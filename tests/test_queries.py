@@ -1,15 +1,101 @@
+import sqlite3
+import time
+from html.parser import HTMLParser
+
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import same
+from scrivia.operators import chunking
 from scrivia.plans import registry
+from scrivia.plans.built import index_of
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query(spark, name):
-    df = registry.QUERIES[name](spark, SF)
-    if name in registry.ORACLE_SQL:
-        same(df, registry.ORACLE_SQL[name], SF)
-    else:
-        assert df.count() > 0
+    same(registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name], SF)
+
+
+def test_queries_without_sql_are_tested_here():
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"content_keyword_porter", "extract_sections_html"}
+
+
+def test_porter_search_against_fts5(spark):
+    index = index_of(spark, SF)
+    c = sqlite3.connect(":memory:")
+    c.execute("CREATE VIRTUAL TABLE t USING fts5(chunk_id UNINDEXED, x, tokenize='porter unicode61')")
+    c.executemany("INSERT INTO t VALUES (?, ?)", [(r.chunk_id, r.text) for r in index["chunks"].select("chunk_id", "text").collect()])
+    defaults = {(r.doc_id, r.revision) for r in index["defaults"].collect()}
+    ranked = c.execute("SELECT chunk_id, bm25(t) FROM t WHERE t MATCH 'licensed AND the'").fetchall()
+    want, seen = [], {}
+    for chunk_id, score in sorted(((i, s) for i, s in ranked), key=lambda x: (round(x[1], 9), x[0])):
+        doc_id, revision = chunk_id.split("#")[0].split("@")
+        if (doc_id, revision) in defaults and seen.setdefault(doc_id, 0) < 2:
+            seen[doc_id] += 1
+            want.append((chunk_id, score))
+    got = registry.QUERIES["content_keyword_porter"](spark, SF).collect()
+    assert sorted(r.chunk_id for r in got) == sorted(i for i, _ in want[:10]) and got
+    assert all(abs(r.score - dict(want)[r.chunk_id]) < 1e-5 for r in got)
+
+
+class _Page(HTMLParser):
+    """(tag, text) of h1..h9, p and li elements in order of their end; scripts and styles have no text."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.open, self.out, self.mute = None, [], 0
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        self.mute += tag in ("script", "style")
+        if self.open is None and (tag in ("p", "li") or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()):
+            self.open = (tag, [])
+        elif self.open:
+            self.open[1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.mute -= tag in ("script", "style")
+        if self.open and tag == self.open[0]:
+            self.out.append((tag, " ".join("".join(self.open[1]).split())))
+            self.open = None
+        elif self.open:
+            self.open[1].append(" ")
+
+    def handle_data(self, data):
+        if self.open and not self.mute:
+            self.open[1].append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+def test_html_sections(spark):
+    want = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        path, section, order = [], 0, 0
+        for tag, text in _Page(r.html or "").out:
+            if text and tag[0] == "h":
+                path, section = path[: int(tag[1]) - 1] + [text], section + 1
+            elif text:
+                want.append((r.page_id, order, " > ".join(path), section, "text", f"- {text}" if tag == "li" else text))
+                order += 1
+    got = [tuple(r) for r in registry.QUERIES["extract_sections_html"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_folds_are_linear_in_a_document(spark):
+    def seconds(lines):
+        items = F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: F.struct(F.when(i % 500 == 0, 1).alias("level"), F.lit("text").alias("kind"), F.concat(F.lit("line of text "), i.cast("string")).alias("text")))
+        rows = F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: F.array(i.cast("string"), F.lit("some cell of the table")))
+        began = time.time()
+        df = spark.range(1).select(items.alias("items"), rows.alias("rows")).select(F.size(chunking.chunk_pack(chunking.section_fold("items"))).alias("n"), F.size(chunking.table_blocks(F.col("rows"))).alias("t"))
+        assert df.first().n > lines // 120
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(160_000) < 60  # over 3 million characters
