@@ -1,119 +1,129 @@
 """Exact dedup as a log-structured merge index over text digests (DataFrames only).
 
-A *memtable* is one input task's rows; a flush sorts them by digest and writes
-them as a run, whose Parquet Bloom filters and min/max statistics serve point
-look-ups.  Compaction merges all runs: per digest the preferred row and the
-number of rows.  Digests with more than one row are *hits*, and hits are
-verified on their bytes: the normalised texts themselves are the grouping key,
-so rows fall in one class only if every byte agrees.  Should one digest cover
-two texts, its rows are classed by text instead.
-
-Edge cases: a null text counts as empty and all empty texts are one group; rows
-that repeat a doc_id are all counted, and those that equal the preferred row in
-id are all kept; a null doc_id loses every tie; extra columns are not read; an
-empty table gives an empty result.
+``DigestIndex.append`` logs an entry (digest, length, id) for every row and deals them to
+memtables of bounded size.  A memtable is *flushed* by merging its equal digests and
+writing them as a run, sorted by digest, with a filter (a bitmap of its digests).
+*Compaction* merges runs two by two, level by level: before a run is read for merging its
+rows are asked of the other run's filter, and only those that may be in both are shuffled
+and merged, the preferred row (longest original, then smallest id) winning; the others are
+copied.  Digests with more than one row are *hits*.  Hits are verified on their bytes: the
+normalised texts themselves are the grouping key, so rows fall in one class only if every
+byte agrees.  Should one digest cover two texts, its rows are classed by text instead.
+
+Edge cases: a null text counts as empty and all empty texts are one group; of rows
+that repeat a doc_id in one group one is kept, as all count; a null doc_id loses every
+tie; ids are of any type; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import BLANK, materialise, membership_filter, new_path, possible_members, table
+from scrivia.llm.common import BLANK, Filter, materialise, membership_filter, possible_members, quoted, release, table
+
+#: Rows a memtable holds at most, and the least number of memtables.
+MEMTABLE_ROWS, MEMTABLES = 1 << 28, 4
+
+
+def normalised(col: Column):
+    return F.regexp_replace(F.coalesce(col, F.lit("")), f"[{BLANK}]+", "")
+
 
+def _preferred():
+    """Least value = longest original, then smallest doc_id, nulls last, then the row logged first."""
+    return F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("z"), "doc_id", "row")
 
-def normalised(col: str):
-    return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), f"[{BLANK}]+", "")
 
+class Run(NamedTuple):
+    """Rows (digest, count, best), sorted by digest, and the bitmap of their digests."""
 
-def _preferred(length: str = "n", doc_id: str = "doc_id"):
-    """Least value = longest original, then smallest doc_id, nulls last."""
-    return F.struct((-F.col(length)).alias("n"), F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("doc_id"))
+    rows: DataFrame
+    filter: Filter
 
 
 class DigestIndex:
-    """An LSM index of digests in the shared folder: ``flush`` adds, ``compact`` merges."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.runs = spark, path or new_path(spark, "lsm"), 0
-
-    def flush(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-        """Write one sorted run per input task; returns the runs just written."""
-        norm = normalised(text)
-        run = docs.select(
-            F.unhex(F.sha2(norm, 256)).alias("digest"),
-            F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"),
-            F.col(doc_id).alias("doc_id"),
-        ).sortWithinPartitions("digest", "n", "doc_id")
-        at = f"{self.path}/level0/run={self.runs:06d}"
-        (
-            run.write.option("compression", "zstd")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", "100000")
-            .parquet(at)
+    """An LSM index of digests in the shared folder."""
+
+    def __init__(self, memtables: int = MEMTABLES, memtable_rows: int = MEMTABLE_ROWS):
+        self.memtables, self.memtable_rows = memtables, memtable_rows
+        self.log: DataFrame | None = None
+        self.levels: list[list[Run]] = [[]]
+
+    def append(self, docs: DataFrame) -> None:
+        """Log the rows of ``docs`` (doc_id, text) and flush their memtables."""
+        memtables = max(self.memtables, -(-docs.count() // self.memtable_rows))
+        row = F.monotonically_increasing_id()
+        entries = docs.select(
+            F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"),
+            F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n"),
+            "doc_id", row.alias("row"), F.xxhash64("text").alias("raw"), F.pmod(row, F.lit(memtables)).alias("memtable"),
         )
-        self.runs += 1
-        return self.spark.read.schema(run.schema).parquet(at)
+        self.log = materialise(entries, "lsm-log")
+        for m in range(memtables):
+            mine = self.log.where(F.col("memtable") == m)
+            self._put(mine.groupBy("digest").agg(F.count("*").alias("count"), F.min(_preferred()).alias("best")), 0)
 
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema("digest binary, n long, doc_id long").parquet(
-            *[f"{self.path}/level0/run={i:06d}" for i in range(self.runs)]
-        )
+    def _put(self, rows: DataFrame, level: int) -> None:
+        rows = materialise(rows.sortWithinPartitions("digest"), f"lsm-level{level}")
+        if len(self.levels) == level:
+            self.levels.append([])
+        self.levels[level].append(Run(rows, membership_filter(rows, "digest", f"lsm-filter{level}")))
 
     def compact(self) -> DataFrame:
-        """Merge all runs; keeps of each repeated digest its preferred row and its count."""
-        merged = (
-            self.entries().groupBy("digest")
-            .agg(F.count("*").alias("group_size"), F.min(_preferred()).alias("best"))
-            .where("group_size > 1")
-            .select("digest", "group_size", F.col("best.doc_id").alias("keep_id"))
-        )
-        return materialise(merged, "lsm-level1")
-
-    def lookup(self, digest_hex: str) -> DataFrame:
-        """Entries of one digest; run statistics and Bloom filters prune the files."""
-        return self.entries().where(F.col("digest") == F.unhex(F.lit(digest_hex)))
+        """Merge until one run is left; returns its rows."""
+        level = 0
+        while sum(map(len, self.levels)) > 1:
+            while len(self.levels[level]) > 1:
+                a, b = self.levels[level].pop(0), self.levels[level].pop(0)
+                self._put(merged(a, b), level + 1)
+                release(a.rows, b.rows, a.filter.rows, b.filter.rows)
+            if self.levels[level] and level + 1 < len(self.levels):  # an odd one moves up
+                self.levels[level + 1].append(self.levels[level].pop())
+            level += 1
+        return self.levels[-1][0].rows
+
+
+def merged(a: Run, b: Run) -> DataFrame:
+    """Both runs in one; what the other's filter rules out is copied."""
+    both = possible_members(a.rows, F.col("digest"), b.filter).unionAll(possible_members(b.rows, F.col("digest"), a.filter))
+    both = both.groupBy("digest").agg(F.sum("count").alias("count"), F.min("best").alias("best"))
+    return both.unionAll(possible_members(a.rows, F.col("digest"), b.filter, rest=True)).unionAll(possible_members(b.rows, F.col("digest"), a.filter, rest=True))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    index = DigestIndex(spark)
-    index.flush(docs)
-    hits = index.compact()
-
-    # byte verification: only texts whose digest may be a hit leave their task,
-    # each once for every task and distinct text
-    filt = membership_filter(hits, "digest", "lsm-filter")
-    texts = docs.select(
-        normalised("text").alias("norm"),
-        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"),
-        "doc_id",
-    ).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    suspects = possible_members(texts, F.col("digest"), filt)
-    classes = materialise(
-        suspects.groupBy("digest", "norm").agg(F.count("*").alias("size")).select("digest", "size"), "lsm-classes"
-    )
-    torn = materialise(
-        classes.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "lsm-torn"
-    )
-
-    rows = index.entries().select("digest", "n", "doc_id")
-    out = rows.join(hits, "digest", "left")
+    docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
+    index = DigestIndex()
+    index.append(docs)
+    hits = index.compact().where(F.col("count") > 1).select("digest", F.col("count").alias("group_size"), "best")
+    hits = materialise(hits, "lsm-hits")
+    filt = membership_filter(hits, "digest", "lsm-hits-filter")
+    asked = materialise(possible_members(index.log, F.col("digest"), filt).join(hits, "digest"), "lsm-hit-rows")
+
+    # byte verification: only texts logged under a hit are normalised again, and leave their
+    # task once for every distinct text
+    raw = materialise(asked.select("raw").distinct(), "lsm-raw")
+    known = membership_filter(raw, "raw", "lsm-raw-filter")
+    suspects = possible_members(docs.withColumn("raw", F.xxhash64("text")), F.col("raw"), known)
+    suspects = suspects.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), normalised(F.col("text")).alias("norm"))
+    suspects = suspects.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    classes = materialise(suspects.groupBy("digest", "norm").agg(F.count("*").alias("size")).select("digest", "size"), "lsm-classes")
+    torn = materialise(classes.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "lsm-torn")
+
     if not torn.isEmpty():  # one digest for several texts: those rows are classed by their bytes
-        split = suspects.join(torn, "digest", "left_semi")
+        split = materialise(suspects.join(torn, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "lsm-split")
         best = split.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), F.min(_preferred()).alias("best"))
-        exact = split.join(best, ["digest", "norm"]).select("digest", "n", "doc_id", "group_size", F.col("best.doc_id").alias("keep_id"))
-        out = out.join(torn, "digest", "left_anti").select(*exact.columns).unionByName(exact)
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+        exact = split.join(best, ["digest", "norm"]).select("digest", "doc_id", "row", "group_size", "best")
+        asked = asked.join(torn, "digest", "left_anti").select(*exact.columns).unionByName(exact)
+    same = F.col("best.row") == F.col("row")
+    grouped = asked.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", same.alias("kept"), "digest")
+    # false positives of the filter are no hits
+    lone = possible_members(index.log, F.col("digest"), filt).join(hits, "digest", "left_anti").unionByName(possible_members(index.log, F.col("digest"), filt, rest=True))
+    lone = lone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    return lone.unionByName(grouped).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +135,8 @@ WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
          sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h
   FROM documents)
-SELECT doc_id, keep_id, group_size, (keep_id IS NOT DISTINCT FROM doc_id) AS kept, h AS text_sha256
-FROM (SELECT doc_id, h,
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, h AS text_sha256
+FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST) AS place,
              first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST
                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
              CAST(count(*) OVER (PARTITION BY h) AS BIGINT) AS group_size

@@ -6,7 +6,7 @@ those near it (three standard errors and one site) get an exact distinct count.
 
 Edge cases: a null text stays null and has no lines; blank and short lines are
 never boilerplate; a null site counts as one site of its own; rows that repeat
-each get a row; extra columns are not read; an empty table is empty.
+each get a row; ids are of any type; extra columns are not read; an empty table is empty.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import materialise, membership_filter, possible_members, table
+from scrivia.llm.common import materialise, membership_filter, possible_members, quoted, table
 
 MIN_SITES = 8
 MIN_CHARS = 20
@@ -48,9 +48,9 @@ def line_dedup(
 ) -> DataFrame:
     """One row per document: doc_id, text without boilerplate lines, n_lines, n_removed."""
     docs = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"),
-        F.col(text).alias("text"),
+        F.col(quoted(doc_id)).alias("doc_id"),
+        F.coalesce(F.col(quoted(site)).cast("string"), F.lit("\x00")).alias("site"),
+        F.col(quoted(text)).cast("string").alias("text"),
     )
     docs = docs.withColumn("key", F.struct("doc_id", "site", F.xxhash64("text").alias("a"), F.crc32(F.coalesce("text", F.lit(""))).alias("b")))
     lines = materialise(_lines(docs, min_chars), "line-hashes")

@@ -17,8 +17,9 @@ Possessive quantifiers replace greedy ones where nothing follows them, which
 matches the same and does not recurse on long runs.
 
 Edge cases: a null text counts as empty; rows equal in id and text share one
-analysis but each gets a row; null ids are kept; extra columns are not read; an
-empty table is empty.
+analysis but each gets a row; null ids are kept; ids are of any type; terms of fewer
+than ``TERM_CHARS`` characters are never taken; extra columns are not read; an empty
+table is empty.
 """
 
 from __future__ import annotations
@@ -26,41 +27,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import materialise, membership_filter, possible_members, table
+from scrivia.functions.folds import emitting
+from scrivia.llm.common import materialise, membership_filter, possible_members, quoted, release, table
 
 KINDS = ("email", "ip", "card", "phone")
 _MAIL = "A-Za-z0-9._%+-"
 # Kinds: (a character any match holds, pattern).
 _PATTERNS = {
     "email": ("@", rf"(?:\G|(?<![{_MAIL}]))[{_MAIL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++"),
-    "ip": (".", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    "ip": (".", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": (None, r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.(?!$)|$)){4}$"
 GENERALISE_AT, REMOVE_AT, SUPPORT, TERM_CHARS = 0.8, 0.95, 2, 3
 _WORD = r"[\p{L}\p{N}]"
+_SPAN = "struct<s:int,e:int,v:string>"
 
 
 def _spans(text: Column, pattern: Column, needs: str | None) -> Column:
     """array<struct<s, e, v>> of the leftmost non-overlapping matches; linear in their number."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
-    none = "array<struct<s:int,e:int,v:string>>"
-    steps = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.length(g)).alias("g"), found.alias("v"))
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(none).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.length(x["v"])).alias("at"),
-            F.concat(
-                F.coalesce(a["out"], F.array().cast(none)),
-                F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["v"])).alias("e"), x["v"].alias("v"))),
-            ).alias("out"),
-        ),
-    )["out"]
-    some = F.coalesce(folded, F.array().cast(none))
-    return some if needs is None else F.when(F.contains(text, F.lit(needs)), some).otherwise(F.array().cast(none))
+    steps = F.zip_with(found, gaps, lambda v, g: F.struct(F.length(g).alias("g"), v.alias("v")))
+
+    def step(at, x):
+        start, end = at + x["g"], at + x["g"] + F.length(x["v"])
+        return F.coalesce(end, at), x["v"].isNotNull(), F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))
+
+    spans = emitting(steps, F.lit(0), step, _SPAN)
+    none = F.array().cast(f"array<{_SPAN}>")
+    return spans if needs is None else F.when(F.contains(text, F.lit(needs)), spans).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -112,38 +109,55 @@ def _terms(text: str) -> Column:
 def disclosing_terms(
     docs: DataFrame, held: DataFrame, generalise_at: float = GENERALISE_AT, support: int = SUPPORT
 ) -> tuple[DataFrame, DataFrame]:
-    """((entity, term, disclosure), (key, entity)) of terms that give recurring entities away.
+    """((entity, term, disclosure), (key, text_hash, entity, term)): terms that give recurring entities away, and
+    where they may stand.
 
     ``docs`` (text) is the corpus, ``held`` (key, text_hash, text, entities) its documents with entities.
     """
     each = held.select("key", "text_hash", F.explode(F.array_distinct("entities")).alias("entity"))
-    often = each.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("text_hash").alias("a"), F.max("text_hash").alias("z"))
-    often = materialise(often.where((F.col("n_e") >= support) & (F.col("a") < F.col("z"))).select("entity", "n_e"), "pii-entities")
-    of = materialise(each.join(often.select("entity"), "entity", "left_semi"), "pii-held")
-    pairs = _pairs(of, held)
+    mark = F.xxhash64("key")
+    often = each.groupBy("entity").agg(
+        F.count("*").alias("n_e"), F.min("text_hash").alias("a"), F.max("text_hash").alias("z"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s")
+    )
+    often = often.where((F.col("n_e") >= support) & (F.col("a") < F.col("z")))
+    # entities of the very same documents are one, told by the least
+    often = often.groupBy("n_e", "x", "s").agg(F.min("entity").alias("entity"))
+    n = docs.count()
+    # PMI / IC reaches the threshold only for terms in so few documents
+    most = F.lit(float(n)) ** (1.0 - generalise_at) * F.col("n_e") ** generalise_at + 1e-6
+    often = materialise(often.select("entity", "n_e", most.alias("most")), "pii-entities")
+    of = materialise(each.join(often, "entity"), "pii-held")
+    pairs = _pairs(of, held, support)
     met = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.min("text_hash").alias("a"), F.max("text_hash").alias("z"))
-    met = materialise(met.where((F.col("n_te") >= support) & (F.col("a") < F.col("z"))).select("entity", "term", "n_te"), "pii-pairs")
+    met = materialise(met.where((F.col("n_te") >= support) & (F.col("a") < F.col("z"))).select("entity", "term", "n_te"), "pii-met")
     # how often those terms occur in the whole corpus; a filter of fixed size keeps other words in their task
     filt = membership_filter(met, "term", "pii-filter")
     words = docs.select(F.explode(_terms("text")).alias("term"))
     n_t = possible_members(words, F.col("term"), filt).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = docs.count()
     scored = met.join(often, "entity").join(materialise(n_t, "pii-terms"), "term")
     pmi = F.log(F.col("n_te") * float(n) / (F.col("n_t") * F.col("n_e").cast("double")))
     scored = scored.withColumn("disclosure", F.when(F.col("n_e") < n, pmi / F.log(F.lit(float(n)) / F.col("n_e"))))
-    return materialise(scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure"), "pii-reveals"), of
+    reveals = materialise(scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure"), "pii-reveals")
+    release(of, met, filt.rows)
+    return reveals, pairs
 
 
-def _pairs(of: DataFrame, held: DataFrame) -> DataFrame:
-    """(key, text_hash, entity, term): the terms of each document with each of its entities."""
-    texts = held.select("key", "text")
-    return of.join(texts, "key").select("key", "text_hash", "entity", F.explode(_terms("text")).alias("term"))
+def _pairs(of: DataFrame, held: DataFrame, support: int) -> DataFrame:
+    """(key, text_hash, entity, term) of the terms of each document that can give one of its entities away: in
+    ``support`` documents with entities at least, and in no more than ``of.most``."""
+    keys = of.select("key").distinct()
+    terms = materialise(held.join(keys, "key", "left_semi").select("key", F.explode(_terms("text")).alias("term")), "pii-words")
+    df = materialise(terms.groupBy("term").agg(F.count("*").alias("n_h")).where(F.col("n_h") >= support), "pii-word-counts")
+    few = terms.join(df, "term")
+    pairs = materialise(of.join(few, "key").where(F.col("n_h") <= F.col("most")).select("key", "text_hash", "entity", "term"), "pii-pairs")
+    release(terms, df)
+    return pairs
 
 
 def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """One row per document: doc_id, a column of spans per kind, and ``terms``
     (array<struct<s, e, v, action>>) that disclose its entities."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
     entities = F.concat(*[F.transform(k, lambda x: F.concat(F.lit(f"{k}:"), F.lower(x["v"]))) for k in KINDS])
     base = base_spans(docs).select(
         "doc_id",
@@ -158,10 +172,10 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", genera
     # rows equal in id and text are one document here
     held = base.where(F.size("entities") > 0).select("key", "text_hash", "text", "entities").dropDuplicates(["key"])
     held = materialise(held, "pii-documents")
-    reveals, of = disclosing_terms(docs, held, generalise_at)
+    reveals, pairs = disclosing_terms(docs, held, generalise_at)
 
     filt = membership_filter(reveals.select(F.struct("entity", "term").alias("et")), "et", "pii-reveal-filter")
-    told = possible_members(_pairs(of, held), F.struct("entity", "term"), filt).join(reveals, ["entity", "term"])
+    told = possible_members(pairs, F.struct("entity", "term"), filt).join(reveals, ["entity", "term"])
     told = told.groupBy("key", "term").agg(F.max("disclosure").alias("d"))
     told = told.groupBy("key").agg(
         F.array_sort(F.collect_list("term")).alias("all_terms"),
@@ -193,8 +207,8 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
         F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["action"] == "remove", "").otherwise("<term>").alias("r")))
     )
     edits = F.array_sort(F.concat(*each))
-    body = F.coalesce(F.col(text), F.lit(""))
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    body = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+    src = docs.select(F.col(quoted(doc_id)).alias("doc_id"), body.alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = found.select("doc_id", "text_hash", edits.alias("edits")).dropDuplicates(["doc_id", "text_hash"])
     found = found.withColumnsRenamed({"doc_id": "__d", "text_hash": "__t"})
     joined = src.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")), "left")

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from scrivia.llm.common import materialise, small_arrow_batches, table
+from scrivia.llm.common import materialise, quoted, table
 
 #: At most so many labelled rows are collected to grow the trees.
 TRAIN_ROWS = 20_000
@@ -142,15 +143,14 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
 
 def document_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, x: array<double>) of every whole text."""
-    small_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id long, x array<double>")
+    src = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("binary").alias("text"))
+    return src.mapInArrow(run, StructType([src.schema["doc_id"], StructField("x", ArrayType(DoubleType()))]))
 
 
 def fold(doc_id: str = "doc_id", of: int = 4):
@@ -158,15 +158,18 @@ def fold(doc_id: str = "doc_id", of: int = 4):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of, F.lit(0))
 
 
-def label_sample(labels: DataFrame, label: str, train, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, y) of at most about ``rows`` labelled training rows, half of each class where there are
-    enough, chosen by a hash of the id."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    own = own.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
+def label_sample(labels: DataFrame, label: str, train, rows: int = TRAIN_ROWS, balanced: bool = False) -> DataFrame:
+    """(doc_id: string, y) of at most about ``rows`` labelled training rows, chosen by a hash of the id: all classes
+    at one rate, or (``balanced``) half of each where there are enough."""
+    own = labels.select("doc_id", F.col(label).cast("int").alias("y"))
+    own = own.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(train).select(F.col("doc_id").cast("string").alias("doc_id"), "y")
     count = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    least = min(count.values(), default=0) if len(count) == 2 else 0
-    small = min(least, rows // 2)
-    most = {y: (small if n == least else rows - small) for y, n in count.items()}
+    if balanced:
+        least = min(count.values(), default=0) if len(count) == 2 else 0
+        small = min(least, rows // 2)
+        most = {y: (small if n == least else rows - small) for y, n in count.items()}
+    else:
+        most = {y: rows * n / sum(count.values()) for y, n in count.items()}
     unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1e6
     keep = F.lit(False)
     for y, n in count.items():
@@ -175,16 +178,17 @@ def label_sample(labels: DataFrame, label: str, train, rows: int = TRAIN_ROWS) -
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", held_out: int = 2, folds: int = 4, rows: int = TRAIN_ROWS) -> Forest:
-    sample = label_sample(labels, label, fold(of=folds) != held_out, rows)
-    # the sample is bounded by ``rows``
-    got = stats.join(F.broadcast(sample), "doc_id").orderBy("doc_id").limit(2 * rows).collect()
+    sample = label_sample(labels, label, fold(of=folds) != held_out, rows).select(F.col("doc_id").alias("label_id"), "y")
+    # the sample is bounded by ``rows``; of documents that repeat an id one counts
+    met = stats.join(F.broadcast(sample), F.col("doc_id").cast("string") == F.col("label_id"))
+    got = sorted(met.groupBy("label_id", "y").agg(F.min("x").alias("x")).collect(), key=lambda r: (r["label_id"], r["y"]))
     x = np.array([r["x"] for r in got], dtype=np.float64).reshape(len(got), len(FEATURES))
     return grow(x, np.array([r["y"] for r in got], dtype=np.float64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    stats = materialise(document_statistics(docs, text, doc_id), "quality-statistics")
+    stats = materialise(document_statistics(docs, text, doc_id), "quality-statistics", batch=256)
     forest = fit(stats, labels, rows=rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +196,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forest.score(x))], ["doc_id", "score"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(run, StructType([stats.schema["doc_id"], StructField("score", DoubleType())]))
     return scored.select(
         "doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )

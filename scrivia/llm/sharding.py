@@ -10,25 +10,25 @@ the limit) goes to overflow pages, numbered along the bucket's running bytes.
 
 Edge cases: null ids hash as the empty string, and repeated ids share a hash
 and so a shard, or its overflow pages; null and empty texts have 0 bytes and still
-get a shard; a document larger than the limit has a page of its own; extra columns
-are not read; an empty table is empty.
+get a shard; a document larger than the limit has a page of its own; ids are of any
+type; columns not in ``keep`` are not read; an empty table is empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import materialise, table
+from scrivia.llm.common import materialise, quoted, release, running, table, unused
 
 SHARD_BYTES = 16 << 20
 HASH_BITS = 60
 _STEP = 12
 
 
-def place(doc_id: str):
+def place(doc_id: Column):
     """The leading 60 bits of MD5 of the id's text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def _prefix(h, bits):
@@ -69,15 +69,38 @@ def directory(sizes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
         low, top = top + 1, top + _STEP
 
 
+def paged(over: DataFrame, limit: int) -> DataFrame:
+    """(row, page, page_bytes) of the rows (row, depth, prefix, bytes) of buckets that no bit can split.
+
+    Pages of half the limit by running bytes; what is above half the limit itself gets a
+    page a row, numbered downwards.
+    """
+    half = max(1, limit // 2)
+    big = F.col("bytes") > half
+    over = materialise(over.withColumn("big", big).withColumn("one", F.lit(1)), "shard-over")
+    run = running(over, ["depth", "prefix", "big"], [F.col("bytes"), F.col("row")], "bytes", "before", "shard-pages")
+    count = running(over, ["depth", "prefix", "big"], [F.col("bytes"), F.col("row")], "one", "k", "shard-large").select(F.col("row").alias("r"), "k")
+    page = F.when(F.col("big"), -F.col("k") - 1).otherwise(F.floor(F.greatest(F.lit(0), F.col("before") + F.col("bytes") - 1) / half))
+    at = run.join(count, F.col("row") == F.col("r")).select("row", "depth", "prefix", "bytes", page.cast("long").alias("page"))
+    at = materialise(at, "shard-pages")
+    sums = materialise(at.groupBy("depth", "prefix", "page").agg(F.sum("bytes").alias("page_bytes")), "shard-page-bytes")
+    return materialise(at.join(sums, ["depth", "prefix", "page"]).select("row", "page", "page_bytes"), "shard-paged")
+
+
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id by default) with bytes, shard (bits and page), depth, shard_bytes."""
-    keep = keep or [doc_id]
+    """``keep`` columns (doc_id by default) with bytes, shard (bits and page), depth, shard_bytes; where a kept
+    column has one of these names, the new one gets an underscore."""
+    keep = [doc_id] if keep is None else keep
+    names = unused(keep, "bytes", "shard", "depth", "shard_bytes")
+    mine = [f"k{i}" for i in range(len(keep))]
     base = docs.select(
-        *[F.col(c).alias(f"k_{c}") for c in keep],
-        place(doc_id).alias("h"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
+        *[F.col(quoted(c)).alias(k) for c, k in zip(keep, mine)],
+        place(F.col(quoted(doc_id))).alias("h"),
+        F.coalesce(F.octet_length(F.col(quoted(text)).cast("string")), F.lit(0)).cast("long").alias("bytes"),
     )
-    levels = directory(materialise(base.select("h", "bytes"), "shard-sizes"), limit)
+    sizes = materialise(base.select("h", "bytes"), "shard-sizes")
+    levels = directory(sizes, limit)
+    release(sizes)
     out, rest = None, base
     for i, (top, cells) in enumerate(levels):
         at = rest.withColumn("cell", _prefix(F.col("h"), top))
@@ -85,28 +108,20 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, text: str = "text", doc_id:
         out = part if out is None else out.unionByName(part)
         if i + 1 < len(levels):
             rest = at.join(cells, "cell", "left_anti").drop("cell")
-    over = levels[-1][1].where(F.col("shard_bytes") > limit).select("depth", "prefix").distinct()
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth").cast("int"), F.lit("0")))
-    if over.isEmpty():
-        paged = out.withColumn("page", F.lit(0).cast("long"))
-    else:
-        # pages of half the limit by running bytes; what is above half the limit itself is counted apart, a page a row
-        half = max(1, limit // 2)
-        run = Window.partitionBy("depth", "prefix", F.col("bytes") > half).orderBy("bytes").rowsBetween(Window.unboundedPreceding, 0)
-        inside = out.join(over, ["depth", "prefix"], "left_semi")
-        page = F.when(F.col("bytes") > half, -F.row_number().over(run.orderBy("bytes"))).otherwise(
-            F.floor(F.greatest(F.lit(0), F.sum("bytes").over(run) - 1) / half)
-        )
-        paged = inside.withColumn("page", page.cast("long"))
-        paged = out.join(over, ["depth", "prefix"], "left_anti").withColumn("page", F.lit(0).cast("long")).unionByName(paged)
-        paged = paged.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("depth", "prefix", "page")))
-    return paged.select(
-        *[F.col(f"k_{c}").alias(c) for c in keep],
-        "bytes",
-        F.concat(F.lit("s"), bits, F.when(F.col("page") != 0, F.concat(F.lit("."), F.col("page").cast("string"))).otherwise("")).alias("shard"),
-        F.col("depth").cast("long").alias("depth"),
-        F.col("shard_bytes").cast("long").alias("shard_bytes"),
-    )
+
+    def named(rows: DataFrame, page, size) -> DataFrame:
+        label = F.concat(F.lit("s"), bits, F.when(page != 0, F.concat(F.lit("."), page.cast("string"))).otherwise(""))
+        new = (F.col("bytes"), label, F.col("depth").cast("long"), size.cast("long"))
+        return rows.select(*[F.col(k).alias(c) for k, c in zip(mine, keep)], *[x.alias(n) for x, n in zip(new, names)])
+
+    # only buckets at the last bit can be over the limit
+    if levels[-1][1].where(F.col("shard_bytes") > limit).isEmpty():
+        return named(out, F.lit(0), F.col("shard_bytes"))
+    over = materialise(out.where(F.col("shard_bytes") > limit).withColumn("row", F.monotonically_increasing_id()), "shard-overflow")
+    pages = paged(over.select("row", "depth", "prefix", "bytes"), limit).withColumnRenamed("row", "r")
+    split = named(over.join(pages, F.col("row") == F.col("r")), F.col("page"), F.col("page_bytes"))
+    return named(out.where(F.col("shard_bytes") <= limit), F.lit(0), F.col("shard_bytes")).unionByName(split)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

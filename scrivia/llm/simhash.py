@@ -21,7 +21,7 @@ Equal fingerprints are folded to one node first, so copies never make pairs.
 Edge cases: a null or blank text has no words and fingerprint zero, linked like
 any other; fewer words than a shingle make one shingle of them all; null doc_ids
 take part but never name a component unless all of its ids are null; repeated
-rows each get a row; extra columns are not read.
+rows each get a row; ids are of any type; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from scrivia.llm.common import components, materialise, membership_filter, possible_members, small_arrow_batches, table
+from scrivia.llm.common import components, materialise, membership_filter, possible_members, quoted, table
 
 #: Up to so many fingerprints at a variant, their pairs are compared one by one.  A fingerprint
 #: has 66 half-variants: with up to 63 at each, its pairs (66 x 31) are never more than its 2,081 variants.
@@ -74,15 +75,14 @@ def simhash(text: bytes | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp: long, the 64 bits as a signed number) of every whole text."""
-    small_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("binary").alias("text"))
+    return src.mapInArrow(run, StructType([src.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def ball(bits: int, radius: int, shift: int = 0) -> list[int]:
@@ -163,7 +163,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 2, crowded: int = CRO
 
 def near_classes(fps: DataFrame, radius: int = 4, blocks: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``fps`` (doc_id, fp)."""
-    fps = materialise(fps, "simhash-rows")
+    fps = materialise(fps, "simhash-rows", batch=256)
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(materialise(links(nodes.select("fp"), radius, blocks), "simhash-links"), "simhash-cc")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

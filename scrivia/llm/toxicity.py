@@ -1,12 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read as clauses of token classes: insult, threat, target, negation,
-reported speech, other.  Three transducers rewrite the stream and weigh it:
-negation weakens an insult or threat shortly after it, reported speech weakens
-those that follow in its clause, and a target near one strengthens it.  They are
-composed once into a single table of states, which each clause with an insult or
-threat runs through; a clause scores the sum of its lexical weights times the
-composed factor.  The document's score is a logistic of its clause scores.
+A text is read as clauses of token classes: abuse, harm, target, negation, reported
+speech, intent, other.  Five transducers rewrite that stream one after the other, each
+reading what the one before wrote, and weigh what they rewrite:
+
+* insult: abuse becomes an INSULT, heavier where it is heaped up;
+* threat: harm with intent before it, or that opens its clause, becomes a THREAT, other
+  harm a mere MENTION;
+* target: an insult or threat near a target becomes AIMED; a threat at nobody weighs less;
+* negation: an insult, threat or mention shortly after one becomes DENIED;
+* reported speech: what follows it in the clause becomes QUOTED.
+
+They are composed once into a single table of states, which each clause with abuse or
+harm runs through; a clause scores the sum of its lexical weights times the composed
+factors.  The document's score is a logistic of its clause scores.
 
 Lexical weights are learned: log odds of words and word beginnings between toxic and
 other labelled rows of a bounded sample (``TRAIN_ROWS``), over one row of each
@@ -14,7 +21,8 @@ family of near copies; the fixed word lists below only start them off.
 
 Edge cases: null and empty texts have no clauses and get the score of a text
 without any; rows that repeat each get a row; without labels the fixed
-lists alone decide; extra columns are not read; an empty table is empty.
+lists alone decide; ids are of any type; extra columns are kept (``keep``) whatever
+their names, or not read; an empty table is empty.
 """
 
 from __future__ import annotations
@@ -22,16 +30,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from scrivia.llm.common import materialise, small_arrow_batches, table
+from scrivia.llm.common import arrow_batches, materialise, quoted, table, unused
 from scrivia.llm.quality import fold, label_sample
 
 TRAIN_ROWS = 20_000
@@ -42,14 +52,17 @@ INSULTS = "bastard clown disgusting dumb fool idiot imbecile loser moron patheti
 THREATS = "beat burn crush destroy die hang harm hurt kill murder punish shoot stab strangle"
 TARGETS = "he her him she them they u you your yours du dich euch ihr sie te toi tu usted vous vosotros"
 NEGATIONS = "aint cannot isnt kein keine never nicht nie no none nor not nunca pas sans sin without"
+INTENTS = "gonna must shall should vais vamos vas voy want werde werden will wirst"
 REPORTS = "according alleged called claimed dijo dit quoted reported sagte said says tweeted wrote"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-_CLASS = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws.split()}
+#: What tokens are, and what the transducers make of them.
+OTHER, ABUSE, HARM, TARGET, NEGATION, REPORT, INTENT = range(7)
+INSULT, THREAT, MENTION, AIMED_INSULT, AIMED_THREAT, DENIED, QUOTED = range(7, 14)
+_CLASS = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENT, INTENTS)) for w in ws.split()}
 PRIOR = {**dict.fromkeys(INSULTS.split(), 2.0), **dict.fromkeys(THREATS.split(), 0.75)}
 _THREAT = frozenset(THREATS.split())
-#: A target counts so many tokens after it, a negation so many.
-TARGET_REACH, NEGATION_REACH = 4, 3
+#: So many tokens after it, a target, a negation, an intent and an insult count.
+TARGET_REACH, NEGATION_REACH, INTENT_REACH, HEAP_REACH = 4, 3, 3, 2
 
 
 class Transducer:
@@ -58,7 +71,18 @@ class Transducer:
     def __init__(self, start, step):
         self.start, self.step = start, step
 
+    def run(self, symbols: Iterable[int]) -> tuple[list[int], list[float]]:
+        """The symbols rewritten, and their factors."""
+        state, out, factors = self.start, [], []
+        for s in symbols:
+            state, to, factor = self.step(state, s)
+            out.append(to)
+            factors.append(factor)
+        return out, factors
+
     def compose(self, other: Transducer) -> Transducer:
+        """Reads what this reads and writes what ``other`` makes of what this writes."""
+
         def step(state, symbol):
             a, mid, f = self.step(state[0], symbol)
             b, out, g = other.step(state[1], mid)
@@ -66,40 +90,61 @@ class Transducer:
 
         return Transducer((self.start, other.start), step)
 
-    def compile(self, symbols: int = 6) -> list[list[tuple[int, float]]]:
-        """Rows by state number of (next state, factor) by symbol."""
+    def compile(self, symbols: int = INSULT) -> list[list[tuple[int, int, float]]]:
+        """Rows by state number of (next state, symbol out, factor) by symbol in."""
         number, rows, todo = {self.start: 0}, [], deque([self.start])
         while todo:
             state, row = todo.popleft(), []
             for s in range(symbols):
-                to, _, factor = self.step(state, s)
+                to, out, factor = self.step(state, s)
                 if to not in number:
                     number[to] = len(number)
                     todo.append(to)
-                row.append((number[to], factor))
+                row.append((number[to], out, factor))
             rows.append(row)
         return rows
 
 
-def _negation(left: int, s: int):
-    if s == NEGATION:
-        return NEGATION_REACH, s, 1.0
-    return max(0, left - 1), s, 0.6 if left and s in (INSULT, THREAT) else 1.0
+def _insult(left: int, s: int):
+    if s == ABUSE:
+        return HEAP_REACH, INSULT, 1.1 if left else 1.0
+    return max(0, left - 1), s, 1.0
 
 
-def _report(on: int, s: int):
-    return int(on or s == REPORT), s, 0.6 if on and s in (INSULT, THREAT) else 1.0
+def _threat(left: int, s: int):
+    """State -1: at the start of the clause."""
+    if s == INTENT:
+        return INTENT_REACH, OTHER, 1.0
+    if s == HARM:
+        return (max(0, left), THREAT, 1.0) if left else (0, MENTION, 0.5)
+    return max(0, left - 1), s, 1.0
 
 
 def _target(left: int, s: int):
     if s == TARGET:
-        return TARGET_REACH, s, 1.0
+        return TARGET_REACH, OTHER, 1.0
+    left_after = max(0, left - 1)
+    if s == INSULT and left:
+        return left_after, AIMED_INSULT, 1.25
     if s == THREAT:  # a threat without a target says little
-        return max(0, left - 1), s, 1.5 if left else 0.25
-    return max(0, left - 1), s, 1.25 if left and s == INSULT else 1.0
+        return (left_after, AIMED_THREAT, 1.5) if left else (left_after, THREAT, 0.25)
+    return left_after, s, 0.5 if s == MENTION and not left else 1.0
 
 
-GRAMMAR = Transducer(0, _negation).compose(Transducer(0, _report)).compose(Transducer(0, _target)).compile()
+def _negation(left: int, s: int):
+    if s == NEGATION:
+        return NEGATION_REACH, OTHER, 1.0
+    return (max(0, left - 1), DENIED, 0.6) if left and s >= INSULT else (max(0, left - 1), s, 1.0)
+
+
+def _report(on: int, s: int):
+    if s == REPORT:
+        return 1, OTHER, 1.0
+    return (on, QUOTED, 0.6) if on and s >= INSULT else (on, s, 1.0)
+
+
+TRANSDUCERS = (Transducer(0, _insult), Transducer(-1, _threat), Transducer(0, _target), Transducer(0, _negation), Transducer(0, _report))
+GRAMMAR = reduce(Transducer.compose, TRANSDUCERS).compile()
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 _BREAKS = frozenset(".!?;\n")
 _BEGIN = range(4, 9)
@@ -122,8 +167,15 @@ class Lexicon:
         return best
 
 
-def clause_scores(text: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, int, float]], int]:
-    """((start, end, score) of matched clauses, in tokens; number of tokens)."""
+def symbol(token: str, weight: float) -> int:
+    """The class of a token that has this lexical weight."""
+    if weight > 0.0:
+        return HARM if token in _THREAT else ABUSE
+    return _CLASS.get(token, OTHER)
+
+
+def clause_scores(text: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, int, list[int], float]], int]:
+    """((start, end, what its abuse and harm became, score) of matched clauses, in tokens; number of tokens)."""
     if not text:
         return [], 0
     tokens = _TOKEN.findall(text.lower())
@@ -135,31 +187,32 @@ def clause_scores(text: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, i
             w = known[t] = lexicon.weight(t)
         if w > 0.0:
             hits.append(i)
-    out, done = [], -1
+    found, done = [], -1
     for i in hits:
         if i < done:
             continue
         start = i
         while start > 0 and tokens[start - 1] not in _BREAKS:
             start -= 1
-        state, score, end = 0, 0.0, start
+        state, score, end, became = 0, 0.0, start, []
         while end < len(tokens) and tokens[end] not in _BREAKS:
             t = tokens[end]
             w = known[t]
-            s = (THREAT if t in _THREAT else INSULT) if w > 0.0 else _CLASS.get(t, OTHER)
-            state, factor = GRAMMAR[state][s]
-            score += w * factor
+            state, out, factor = GRAMMAR[state][symbol(t, w)]
+            if w > 0.0:
+                score += w * factor
+                became.append(out)
             end += 1
         done = end
-        out.append((start, end, score))
-    return out, len(tokens)
+        found.append((start, end, became, score))
+    return found, len(tokens)
 
 
 def _features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     found, n = clause_scores(text, lexicon)
     if not found:
         return 0.0, 0.0, 0.0
-    scores = [s for _, _, s in found]
+    scores = [x[3] for x in found]
     return max(scores), math.log1p(sum(scores)), 100.0 * sum(scores) / max(1, n)
 
 
@@ -213,7 +266,8 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.01, least_rows: int
                 ["kind", "term", "t", "c"],
             )
 
-    one = sample.mapInArrow(families, "doc_id long, y int, family long").groupBy("family", "y").agg(F.min("doc_id").alias("doc_id"))
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    one = sample.mapInArrow(families, f"doc_id {kind}, y int, family long").groupBy("family", "y").agg(F.min("doc_id").alias("doc_id"))
     one = materialise(one.select("doc_id").distinct(), "toxic-families")
     # bounded by the sample
     rows = sample.join(F.broadcast(one), "doc_id")
@@ -254,18 +308,20 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) ->
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, folds: int = 5, rows: int = TRAIN_ROWS) -> Model:
     """``docs`` (doc_id, text); ``held_out`` is the fold whose labels are not read."""
     train = F.lit(True) if held_out is None else fold(of=folds) != held_out
-    small_arrow_batches(docs.sparkSession)
-    chosen = label_sample(labels, "toxic", train, rows)
+    chosen = label_sample(labels, "toxic", train, rows, balanced=True)
     # bounded by ``rows``
-    sample = materialise(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "toxic-sample")
-    lexicon = learn_lexicon(sample)
+    same = docs.doc_id.cast("string") == F.col("label_id")
+    sample = materialise(docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "label_id")), same).select("label_id", "text", "y"), "toxic-sample")
+    sample = sample.withColumnRenamed("label_id", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [_features(t, lexicon) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in f], pa.float64()) for i in range(3)), b.column(2)], ["a", "b", "c", "y"])
 
-    got = sample.mapInArrow(run, "a double, b double, c double, y int").collect()
+    with arrow_batches(docs.sparkSession, 256):
+        lexicon = learn_lexicon(sample)
+        got = sample.mapInArrow(run, "a double, b double, c double, y int").collect()
     x = np.array([[r["a"], r["b"], r["c"]] for r in got], dtype=float).reshape(len(got), 3)
     y = np.array([r["y"] for r in got], dtype=float)
     if len(set(y)) < 2:
@@ -276,20 +332,20 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, folds: int
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out: int | None = 0, keep: list[str] | None = None
 ) -> DataFrame:
-    """``keep`` columns (doc_id by default) and the score of every whole text."""
-    keep = keep or [doc_id]
-    model = fit(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), labels, held_out)
-    small_arrow_batches(docs.sparkSession)
-    src = docs.select(*keep) if text in keep else docs.select(*keep, text)
-    at = src.columns.index(text)
+    """``keep`` columns (doc_id by default) and, last, the score of every whole text: toxicity_score, with
+    underscores added where a kept column has that name."""
+    keep = [doc_id] if keep is None else keep
+    (name,) = unused(keep, "toxicity_score")
+    own = F.col(quoted(text)).cast("string")
+    model = fit(docs.select(F.col(quoted(doc_id)).alias("doc_id"), own.alias("text")), labels, held_out)
+    src = docs.select(*[F.col(quoted(c)) for c in keep], own.alias(unused(keep, "t")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], [*keep, "toxicity_score"])
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            scores = pa.array([model.score(t) for t in b.column(len(keep)).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], [*keep, name])
 
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    return src.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "toxicity_score double"]))
+    return src.mapInArrow(run, StructType([*src.schema.fields[:-1], StructField(name, DoubleType())]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,5 +354,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (fold(of=5) == 0).alias("held_out"),
         F.col("toxicity_score").alias("score"),
-        (F.col("toxicity_score") >= CUT).cast("int").alias("predicted")
+        (F.col("toxicity_score") >= CUT).cast("int").alias("predicted"),
     )

@@ -1,11 +1,12 @@
 """WARC archives: a writer, and a reader that salvages what it can.
 
 Writer: one record per page, uncompressed, through Spark's text sink (any store
-Spark writes to); each file is a whole archive of a bounded number of records.
+Spark writes to); each file is a whole archive of a bounded number of records and bytes.
 Reader: every record is checked (version line, header, length, end marks, payload
-digest).  After a failed check it looks for the next version line or gzip member,
-goes on from there, and reports the bytes between as a quarantined gap.  Plain and
-gzip-member archives are both read.
+digest).  After a failed check it looks for the next version line or gzip member and
+goes on from there, also inside a member: what a member yields before it breaks off or
+fails is searched like an archive of its own.  The bytes between are quarantined as gaps,
+which ``quarantine`` writes to a table and logs.  Plain and gzip-member archives are both read.
 
 Edge cases: null and empty html give an empty payload; a null url is left out and
 blanks in one are percent-encoded; rows that repeat a page_id get a record each,
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import materialise, membership_filter, new_path, possible_members, small_arrow_batches, table
+from scrivia.llm.common import arrow_batches, delete, materialise, membership_filter, new_path, possible_members, release, table
 
-RECORDS_PER_ARCHIVE = 1000
+#: An archive holds at most so many records, and payloads of at most so many bytes unless it is one record.
+RECORDS_PER_ARCHIVE, ARCHIVE_BYTES = 1000, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 #: What a record or a gzip member starts with; bytes a decompressor is given at a time.
-_START = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
+_START = re.compile(rb"WARC/\d\.\d\r\n|\x1f\x8b\x08")
+_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 _STEP = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -125,56 +129,86 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member's content and the place after it; reads no further than a step beyond its end."""
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """(what the member at ``at`` yields, the place after it or None if it is damaged, why)."""
     d, out, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
-    try:
-        while not d.eof and pos < len(data):
+    while not d.eof and pos < len(data):
+        before = d.copy()
+        try:
             out.append(d.decompress(view[pos : pos + _STEP]))
-            pos = min(pos + _STEP, len(data))
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
+        except zlib.error as e:
+            for i in range(pos, min(pos + _STEP, len(data))):  # all of the step that can still be read
+                try:
+                    out.append(before.decompress(view[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None, f"gzip: {e}"
+        pos = min(pos + _STEP, len(data))
     if not d.eof:
-        raise Damaged("gzip member without end")
-    return b"".join(out), pos - len(d.unused_data)
+        return b"".join(out), None, "gzip member without end"
+    return b"".join(out), pos - len(d.unused_data), ""
 
 
-def _next(data: bytes, at: int) -> int:
-    found = _START.search(data, at)
+def _next(data: bytes, at: int, start: re.Pattern = _START) -> int:
+    found = start.search(data, at)
     return found.start() if found else len(data)
 
 
+def _inside(inner: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """(from, to, record, or the reason of a gap) of a member's content."""
+    at, n = 0, len(inner)
+    while at < n:
+        try:
+            one, after = _parse(inner, at)
+        except Damaged as e:
+            after, one = _next(inner, at + 1, _LINE), str(e)
+        yield at, after, one
+        at = after
+
+
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and quarantined gaps of an archive, in order of offset; every byte is in one of them."""
+    """Records and quarantined gaps of an archive, in order of offset.
+
+    ``offset`` and ``length`` are the archive's bytes, of a compressed record or gap its member's;
+    ``inner`` is then the place in the member's content, of ``inner_length`` bytes.  Every byte of an
+    archive, and of what a member yields, is in one of them.
+    """
     at, n, bad, why = 0, len(data), None, ""
     while at < n:
-        try:
-            if data.startswith(b"\x1f\x8b", at):
-                inner, after = _member(data, at)
-                found, pos = [], 0
-                while pos < len(inner):
-                    one, pos = _parse(inner, pos)
-                    found.append(one)
-            else:
+        packed = data.startswith(b"\x1f\x8b\x08", at)
+        parts: list[dict] = []
+        if packed:
+            inner, after, reason = _member(data, at)
+            end = _next(data, at + 1) if after is None else after
+            for i, j, one in _inside(inner):
+                place = {"offset": at, "length": end - at, "inner": i, "inner_length": j - i}
+                if isinstance(one, str):
+                    parts.append({"kind": "gap", "reason": f"in a member: {one}", **place})
+                else:
+                    parts.append({"kind": "record", "reason": None, **place, **one})
+            if after is None and not any(p["kind"] == "record" for p in parts):
+                parts = []  # nothing but damage: a plain gap
+        else:
+            try:
                 one, after = _parse(data, at)
-                found = [one]
-        except Damaged as e:
-            if bad is None:
-                bad, why = at, str(e)
-            at = _next(data, at + 1)
-            continue
-        if bad is not None:
+                parts = [{"kind": "record", "offset": at, "length": after - at, "reason": None, **one}]
+            except Damaged as e:
+                after, reason = None, str(e)
+        if parts and bad is not None:
             yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": why}
             bad = None
-        for one in found:
-            yield {"kind": "record", "offset": at, "length": after - at, "reason": None, **one}
+        yield from parts
+        if after is None:
+            if bad is None:
+                bad, why = at, reason
+            after = _next(data, at + 1)
         at = after
     if bad is not None:
         yield {"kind": "gap", "offset": bad, "length": n - bad, "reason": why}
 
 
 _READ = (
-    "archive string, kind string, offset long, length long, reason string, record_type string, page_id long, "
+    "archive string, kind string, offset long, length long, inner long, inner_length long, reason string, record_type string, page_id long, "
     "refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"
 )
 
@@ -200,20 +234,33 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(run, _READ)
 
 
-def write_archives(pages: DataFrame, path: str, per_archive: int = RECORDS_PER_ARCHIVE) -> None:
+def quarantine(found: DataFrame) -> DataFrame:
+    """The gaps of ``read_archives``, written to a table of their own and logged."""
+    gaps = materialise(found.where("kind = 'gap'").select("archive", "offset", "length", "inner", "inner_length", "reason"), "warc-gaps")
+    n, size = gaps.agg(F.count("*"), F.sum(F.coalesce("inner_length", "length"))).first()
+    if n:
+        logging.getLogger(__name__).warning("%d byte gaps of %d bytes quarantined in %s", n, size, gaps.scratch_path)
+    return gaps
+
+
+def write_archives(pages: DataFrame, path: str, per_archive: int = RECORDS_PER_ARCHIVE, most_bytes: int = ARCHIVE_BYTES) -> None:
     """One record per page (page_id, url, html) under ``path``; the first of equal payloads, by
     largest page_id, is a response and the others revisit it."""
     spark = pages.sparkSession
     pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    groups = pages.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    groups = materialise(groups.where("n > 1 and top is not null").select("digest", "top"), "warc-groups")
+    # pages of one power of two of bytes go to archives of their own, of as many records as then fit
+    common = max(1, most_bytes // per_archive)
+    power = F.ceil(F.log2(F.greatest(F.length("payload"), F.lit(common)).cast("double"))).cast("int")
+    summed = pages.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"), F.max(power).alias("power"))
+    summed = materialise(summed.select("digest", "top", "n", "power"), "warc-digests")
+    powers = sorted(r[0] for r in summed.select("power").distinct().collect())  # at most 31
+    groups = materialise(summed.where("n > 1 and top is not null").select("digest", "top"), "warc-groups")
     filt = membership_filter(groups, "digest", "warc-filter")
     # only payloads that may recur leave their task
     again = possible_members(pages, F.col("digest"), filt).join(groups, "digest", "left")
@@ -225,18 +272,24 @@ def write_archives(pages: DataFrame, path: str, per_archive: int = RECORDS_PER_A
             page, url, payload, ref = (c.to_pylist() for c in b.columns)
             yield pa.RecordBatch.from_arrays([pa.array(map(write_record, page, url, payload, ref), pa.binary())], ["value"])
 
-    small_arrow_batches(spark, 100)
     rows = again.select("page_id", "url", "payload", "top").unionByName(alone.select("page_id", "url", "payload", "top"))
-    records = rows.select("page_id", "url", "payload", refers.alias("ref")).mapInArrow(run, "value binary")
-    # a record ends with two line ends, which are this sink's line separator
-    (
-        records.select(F.col("value").cast("string").alias("value"))
-        .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_archive).text(path)
-    )
+    for p in powers or [0]:
+        mine = rows.where(power == p) if len(powers) > 1 else rows
+        records = mine.select("page_id", "url", "payload", refers.alias("ref")).mapInArrow(run, "value binary")
+        fits = max(1, min(per_archive, most_bytes >> p))
+        # a record ends with two line ends, which are this sink's line separator
+        with arrow_batches(spark, min(100, fits)):
+            (
+                records.select(F.col("value").cast("string").alias("value"))
+                .write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", fits).text(path)
+            )
+    release(summed, groups, filt.rows)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path, payloads=False).where("kind = 'record'")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = materialise(read_archives(spark, path, payloads=False), "warc-read")
+    quarantine(found)
+    delete(spark, path)
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
