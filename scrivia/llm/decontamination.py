@@ -88,19 +88,21 @@ def verified(texts: DataFrame, pairs: DataFrame, sketches: DataFrame, threshold:
     """(text_hash, digest, item_id, shared, item_shingles, containment) of the candidate ``pairs`` that hold ``threshold`` of the item."""
     filt = membership_filter(materialise(pairs.select("text_hash").distinct(), "bench-texts"), "text_hash", "bench-texts-filter")
     asked = possible_members(texts, F.col("text_hash"), filt).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    # each text once, however many copies it has
-    asked = asked.groupBy("text_hash", "digest").agg(F.min("text").alias("text"))
+    # each text once, however many copies it has; written, so that no plan splits it into words once a shingle
+    asked = asked.groupBy("text_hash", "digest").agg(F.min("text").alias("text")).select("text_hash", "digest", words_of(F.col("text")).alias("words"))
+    asked = materialise(asked, "bench-words")
     whole = sketches.groupBy("item", "item_id", "width", "n").agg(F.collect_list("shingle").alias("shingles"))
-    both = pairs.join(asked, "text_hash").join(whole, "item").withColumn("words", words_of(F.col("text")))
+    both = pairs.join(asked, "text_hash").join(whole, "item")
     own = F.transform(_starts(F.col("width")), lambda p: F.array_join(F.slice("words", p + 1, F.col("width")), " "))
     shared = F.size(F.array_intersect("shingles", F.when(F.size("words") >= F.col("width"), own).otherwise(F.array().cast("array<string>"))))
-    sized = both.select("text_hash", "digest", "item_id", "n", shared.cast("long").alias("shared")).where(F.col("shared") >= F.col("n") * F.lit(threshold))
+    counted = materialise(both.select("text_hash", "digest", "item_id", "n", shared.cast("long").alias("shared")), "bench-counted")
+    sized = counted.where(F.col("shared") >= F.col("n") * F.lit(threshold))
     best = sized.groupBy("text_hash", "digest", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "shared", "n")).alias("b"))
     best = best.select(
         "text_hash", "digest", "item_id", F.col("b.shared").alias("shared"), F.col("b.n").alias("item_shingles"), F.round("b.containment", 6).alias("containment")
     )
     out = materialise(best, "bench-found")
-    release(filt.rows)
+    release(filt.rows, asked, counted)
     return out
 
 
