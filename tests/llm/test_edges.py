@@ -35,8 +35,7 @@ KEEPING = {  # operators that give rows of documents back, and which ids stay
 }
 
 
-@pytest.mark.parametrize("kind", ["string", "long"])
-@pytest.mark.parametrize("name", sorted(KEEPING))
+@pytest.mark.parametrize("name, kind", [(n, "string") for n in sorted(KEEPING)] + [("shard", "long"), ("mixed", "long")])
 def test_any_columns_and_ids(spark, name, kind):
     run, ids = KEEPING[name]
     docs = _docs(spark, kind)
