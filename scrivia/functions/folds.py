@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PART = 256
+PART = 32
 
 
 def emitting(items: Column | str, state: Column, step: Callable, kind: str, last: Callable | None = None) -> Column:
