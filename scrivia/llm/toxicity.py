@@ -338,14 +338,16 @@ def score_toxicity(
     (name,) = unused(keep, "toxicity_score")
     own = F.col(quoted(text)).cast("string")
     model = fit(docs.select(F.col(quoted(doc_id)).alias("doc_id"), own.alias("text")), labels, held_out)
-    src = docs.select(*[F.col(quoted(c)) for c in keep], own.alias(unused(keep, "t")[0]))
+    # plain names meanwhile: mapInArrow takes none with dots
+    plain = [f"c{i}" for i in range(len(keep))]
+    src = docs.select(*[F.col(quoted(c)).alias(p) for c, p in zip(keep, plain)], own.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-            scores = pa.array([model.score(t) for t in b.column(len(keep)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], [*keep, name])
+            scores = pa.array([model.score(t) for t in b.column(len(plain)).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(plain)], scores], [*plain, "score"])
 
-    return src.mapInArrow(run, StructType([*src.schema.fields[:-1], StructField(name, DoubleType())]))
+    return src.mapInArrow(run, StructType([*src.schema.fields[:-1], StructField("score", DoubleType())])).toDF(*keep, name)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
