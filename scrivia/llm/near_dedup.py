@@ -3,10 +3,14 @@
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity
 of at least 0.8.  One document of each group, the one of least id, stays.
 
-Large families of copies are folded first, as all their pairs would be too many: where
-more than ``FAMILY`` texts share a half of a SimHash over distinct words (``TABLES``
-fingerprints, eight keys a text), each is compared with the key's least text only and is
-folded if it is similar, round by round while that folds many.
+SimHash comes first, as in op7: fingerprints within ``RADIUS`` bits are found exactly by
+meet-in-the-middle ball hashing (``simhash.links``), and each text is compared with the
+least text it is linked to and is folded if it is similar.
+
+Large families of copies beyond that radius are folded next, as all their pairs would be too
+many: where more than ``FAMILY`` texts share a half of a SimHash over distinct words
+(``TABLES`` fingerprints, eight keys a text), each is compared with the key's least text only
+and is folded if it is similar, round by round while that folds many.
 
 Then all texts, folded ones too, are paired by prefix filtering: with shingles in one
 order for all, two similar sets share one of their first n - ceil(0.8 n) + 1.  Any order
@@ -35,8 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivia.llm.common import BLANK, components, materialise, membership_filter, possible_members, quoted, release, unused
-from scrivia.llm.simhash import fold_bits, shingle_hashes
+from scrivia.llm.simhash import fold_bits, links, shingle_hashes, simhash
 
+#: Bits by which linked fingerprints differ at most, as in op7.
+RADIUS = 4
 TABLES, WIDTH, SIMILARITY, FAMILY, HEADS = 4, 5, 0.8, 16, 16
 #: One text in so many is counted to tell common shingles; their levels are kept by slots of the hash.
 SAMPLE, SLOTS = 8, 1 << 22
@@ -77,7 +83,7 @@ def marks(h: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, tables: int, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, f0, f1, ..., n: distinct shingles, p: the first ones, m0, m1, ...: their bitmap)."""
+    """(doc_id, text_hash, fp: SimHash, f0, f1, ... over distinct words, n: distinct shingles, p: the first ones, m0, m1, ...: their bitmap)."""
     levels = docs.sparkSession.sparkContext.broadcast(_levels(docs))
     names = [f"f{t}" for t in range(tables)]
 
@@ -86,16 +92,17 @@ def _rows(docs: DataFrame, tables: int, similarity: float) -> DataFrame:
             texts = b.column(2).to_pylist()
             fps = np.array([word_fingerprints(t, tables) for t in texts], dtype=np.uint64).reshape(b.num_rows, tables)
             cols = [pa.array(np.ascontiguousarray(fps[:, t]).view(np.int64)) for t in range(tables)]
+            fp = pa.array(np.array([simhash(t) for t in texts], dtype=np.uint64).view(np.int64))
             sets = [np.unique(shingle_hashes(t, WIDTH)) for t in texts]
             n = pa.array([len(h) for h in sets], pa.int32())
             p = pa.array([prefix(h, levels.value, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
             bits = np.array([marks(h) for h in sets], dtype=np.int64).reshape(b.num_rows, MARKS)
             m = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(MARKS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, n, p, *m], ["doc_id", "text_hash", *names, "n", "p", *_MARKS])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, *cols, n, p, *m], ["doc_id", "text_hash", "fp", *names, "n", "p", *_MARKS])
 
     src = docs.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
     longs = lambda cols: "".join(f", {c} long" for c in cols)
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long{longs(names)}, n int, p array<bigint>{longs(_MARKS)}"
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long{longs(names)}, n int, p array<bigint>{longs(_MARKS)}"
     return materialise(src.mapInArrow(run, schema), "near-rows", batch=256)
 
 
@@ -132,6 +139,19 @@ def _meeting(rows: DataFrame, keys: DataFrame, label: str) -> DataFrame:
     return met
 
 
+def _balled(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b): each text with the least text whose fingerprint is within ``radius`` bits, found by ball hashing."""
+    texts = rows.select("fp", "text_hash").distinct()
+    least = materialise(texts.groupBy("fp").agg(F.min("text_hash").alias("least")), "near-prints")
+    near = materialise(links(least.select("fp"), radius), "near-balls")
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(n)).hint("merge") for c, n in (("a", "x"), ("b", "y")))
+    across = near.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = texts.join(least.hint("merge"), "fp").where("text_hash <> least").select(F.col("least").alias("a"), F.col("text_hash").alias("b"))
+    pairs = materialise(_ordered(across.unionAll(equal)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-pairs")
+    release(least, near)
+    return pairs
+
+
 def _families(nodes: DataFrame, tables: int) -> DataFrame:
     """(key, node) of the half fingerprints that more than ``FAMILY`` texts share."""
     halves = []
@@ -249,7 +269,7 @@ def _across(met: DataFrame, most: DataFrame, similarity: float) -> DataFrame:
     return materialise(pairs, "near-pairs")
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """((doc_id, text_hash) rows, (node, root) of grouped texts) for ``docs`` (doc_id, text_hash, text)."""
     rows = _rows(docs, tables, similarity)
     names = [f"f{t}" for t in range(tables)]
@@ -259,17 +279,22 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = T
     def edges() -> DataFrame:
         return reduce(DataFrame.unionAll, parts)
 
-    while True:
-        met = _families(active, tables)
-        pairs = _led(met)
+    def folded(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The active texts without those that prove similar to a lesser one, which has it, or one below it, to stand for it."""
         found = _verified(pairs, docs, similarity)
         parts.append(found)
-        # whoever is linked to a lesser text has it, or one below it, to stand for it
         gone = found.select(F.col("b").alias("text_hash")).distinct()
         left = materialise(active.join(gone, "text_hash", "left_anti"), "near-nodes")
-        few = gone.count() * 10 <= met.select("node").distinct().count()
-        release(met, pairs, active)
-        active = left
+        n = gone.count()
+        release(pairs, active)
+        return left, n
+
+    active, _ = folded(_balled(rows, radius))
+    while True:
+        met = _families(active, tables)
+        active, gone = folded(_led(met))
+        few = gone * 10 <= met.select("node").distinct().count()
+        release(met)
         if few:
             break
     release(active)

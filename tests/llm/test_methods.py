@@ -311,3 +311,27 @@ def test_marks_bound_differences():
         differ = len(np.setxor1d(a, b))
         x, y = near_dedup.marks(a), near_dedup.marks(b)
         assert sum(bin(int(p) & (2**64 - 1)).count("1") for p in x ^ y) <= differ
+
+
+def _rows_of(spark, texts):
+    return spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_hash long, text string")
+
+
+def test_near_copies_come_from_ball_hashing(spark, monkeypatch):
+    """Texts whose fingerprints are near, and in no half equal, are linked by op7's search."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for f in range(40):
+        base = list(rng.choice(words, 400))
+        texts.append(" ".join(base))
+        base[int(rng.integers(0, 400))] = f"new{f}"
+        texts.append(" ".join(base))
+    prints = [simhash.simhash(t.encode()) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (prints[a] ^ prints[b]).bit_count() <= near_dedup.RADIUS}
+    assert any((prints[a] ^ prints[b]) & 0xFFFFFFFF and (prints[a] ^ prints[b]) >> 32 for a, b in want)
+    asked = []
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest, do=near_dedup._verified: (asked.append({(r.a, r.b) for r in pairs.collect()}), do(pairs, *rest))[1])
+    _, roots = near_dedup.near_groups(_rows_of(spark, texts))
+    assert asked[0] == want
+    assert {(r.root, r.node) for r in roots.collect()} >= want
