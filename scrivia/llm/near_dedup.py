@@ -19,7 +19,8 @@ meet.  Texts of one group already need no comparing: at each shingle the group w
 texts there is compared with all the rest.  Where that would cost more, at shingles of more
 than ``FAMILY`` texts each is compared first with ``HEADS`` of the least edited ones, round by
 round while that links many.  So work follows the size of a family, not its square.  All
-that is compared is verified on the whole sets.
+that is compared is verified on the whole sets, but for pairs whose parities already differ
+in more bits than sets of that similarity do in shingles.
 
 Edge cases: null, empty and blank texts are one text; equal texts are folded before the
 search; rows equal in id and text are copies of each other; a null id stays only
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import BLANK, components, materialise, membership_filter, possible_members, quoted, release, unused
+from scrivia.llm.common import BLANK, Filter, components, materialise, membership_filter, possible_members, quoted, release, unused
 from scrivia.llm.simhash import fold_bits, links, shingle_hashes, simhash
 
 #: Bits by which linked fingerprints differ at most, as in op7.
@@ -82,8 +83,19 @@ def marks(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Two to four bits a shingle, each flipped by every shingle that falls on it.
+
+    Sets differ in no fewer shingles than these in bits, also with the longer folded to the
+    shorter's length by xor of its halves.
+    """
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _rows(docs: DataFrame, tables: int, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, fp: SimHash, f0, f1, ... over distinct words, n: distinct shingles, p: the first ones, m0, m1, ...: their bitmap)."""
+    """(doc_id, text_hash, fp: SimHash, f0, f1, ... over distinct words, n: distinct shingles, p: the first ones, w: parities, m0, m1, ...: bitmap)."""
     levels = docs.sparkSession.sparkContext.broadcast(_levels(docs))
     names = [f"f{t}" for t in range(tables)]
 
@@ -96,13 +108,14 @@ def _rows(docs: DataFrame, tables: int, similarity: float) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, WIDTH)) for t in texts]
             n = pa.array([len(h) for h in sets], pa.int32())
             p = pa.array([prefix(h, levels.value, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            w = pa.array([parities(h) for h in sets], pa.list_(pa.int64()))
             bits = np.array([marks(h) for h in sets], dtype=np.int64).reshape(b.num_rows, MARKS)
             m = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(MARKS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, *cols, n, p, *m], ["doc_id", "text_hash", "fp", *names, "n", "p", *_MARKS])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, *cols, n, p, w, *m], ["doc_id", "text_hash", "fp", *names, "n", "p", "w", *_MARKS])
 
     src = docs.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"))
     longs = lambda cols: "".join(f", {c} long" for c in cols)
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long{longs(names)}, n int, p array<bigint>{longs(_MARKS)}"
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long{longs(names)}, n int, p array<bigint>, w array<bigint>{longs(_MARKS)}"
     return materialise(src.mapInArrow(run, schema), "near-rows", batch=256)
 
 
@@ -134,7 +147,8 @@ def _meeting(rows: DataFrame, keys: DataFrame, label: str) -> DataFrame:
     """The rows (key, ...) of the keys, written; a filter of the keys goes first, so other rows never leave their task."""
     keys = materialise(keys, f"{label}-keys")
     filt = membership_filter(keys, "key", f"{label}-filter")
-    met = materialise(possible_members(rows, F.col("key"), filt).join(keys.hint("merge"), "key", "left_semi"), label)
+    # keys are distinct; an inner join, as Spark moves a semi join below the filter and then shuffles every row
+    met = materialise(possible_members(rows, F.col("key"), filt).join(keys.hint("merge"), "key"), label)
     release(keys, filt.rows)
     return met
 
@@ -171,29 +185,54 @@ def _led(met: DataFrame) -> DataFrame:
     return led
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
-    """(text_hash, s): the shingle sets of the texts in ``pairs`` (a, b)."""
+def _ends(pairs: DataFrame, parts: int) -> Filter:
+    """A filter of the texts in ``pairs`` (a, b)."""
     ends = pairs.select(F.col("a").alias("text_hash")).unionAll(pairs.select("b")).distinct()
     ends = materialise(ends, "near-ends", parts=parts)
     filt = membership_filter(ends, "text_hash", "near-ends-filter")
-    texts = possible_members(docs.select("text_hash", "text"), F.col("text_hash"), filt)
-    sets = materialise(_shingle_sets(texts.groupBy("text_hash").agg(F.min("text").alias("text"))), "near-sets", batch=256, parts=parts)
-    release(ends, filt.rows)
-    return sets
+    release(ends)
+    return filt
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _both(pairs: DataFrame, texts: DataFrame, **columns: str) -> DataFrame:
+    """``pairs`` with the named columns of both texts, as name + a and name + b."""
+    for end in "ab":
+        side = texts.select(F.col("text_hash").alias(end), *[F.col(c).alias(f"{n}{end}") for n, c in columns.items()])
+        pairs = pairs.join(side.hint("merge"), end)
+    return pairs
+
+
+def _likely(pairs: DataFrame, rows: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """The pairs (a, b) but those whose parities show that they are not similar."""
+    filt = _ends(pairs, parts)
+    wide = possible_members(rows.select("text_hash", "n", "w"), F.col("text_hash"), filt)
+    wide = materialise(wide.groupBy("text_hash").agg(F.min("n").alias("n"), F.min("w").alias("w")), "near-parities", parts=parts)
+    joined = _both(pairs, wide, n="n", w="w").withColumn("k", F.least(F.size("wa"), F.size("wb")))
+    halves = lambda w: F.zip_with(F.slice(w, 1, F.col("k")), F.slice(w, F.col("k") + 1, F.col("k")), lambda p, q: p.bitwiseXOR(q))
+    # sets of that similarity are of one length or of two neighbouring ones
+    wa, wb = (F.when(F.size(w) > F.col("k"), halves(w)).otherwise(F.col(w)) for w in ("wa", "wb"))
+    differ = F.aggregate(F.zip_with(wa, wb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+    n = F.col("na") + F.col("nb")
+    near = joined.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
+    near = near.where(differ <= n * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
+    near = materialise(near.select("a", "b"), "near-likely", parts=parts)
+    release(filt.rows, wide)
+    return near
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar."""
+    pairs = _likely(pairs, rows, similarity, 1 + pairs.count() // PART_PAIRS)
     parts = 1 + pairs.count() // PART_PAIRS
-    sets = _sets_of(pairs, docs, parts)
+    filt = _ends(pairs, parts)
+    texts = possible_members(docs.select("text_hash", "text"), F.col("text_hash"), filt)
+    sets = materialise(_shingle_sets(texts.groupBy("text_hash").agg(F.min("text").alias("text"))), "near-sets", batch=256, parts=parts)
     n, m = F.size("sa"), F.size("sb")
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(
-        sets.select(F.col("text_hash").alias("b"), F.col("s").alias("sb")).hint("merge"), "b"
-    )
+    joined = _both(pairs, sets, s="s")
     near = joined.where((F.least(n, m) >= F.greatest(n, m) * similarity)).where(both >= (n + m - both) * F.lit(similarity))
     near = materialise(near.select("a", "b"), "near-edges", parts=parts)
-    release(sets)
+    release(pairs, filt.rows, sets)
     return near
 
 
@@ -281,7 +320,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = T
 
     def folded(pairs: DataFrame) -> tuple[DataFrame, int]:
         """The active texts without those that prove similar to a lesser one, which has it, or one below it, to stand for it."""
-        found = _verified(pairs, docs, similarity)
+        found = _verified(pairs, docs, rows, similarity)
         parts.append(found)
         gone = found.select(F.col("b").alias("text_hash")).distinct()
         left = materialise(active.join(gone, "text_hash", "left_anti"), "near-nodes")
@@ -308,7 +347,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = T
         pairs, shared = most.agg(F.sum(F.expr("(n - m) * n")), F.sum("n")).first()
         last = not linked or (pairs or 0) <= HEADS * (shared or 0)
         pairs = _across(teamed, most, similarity) if last else _starred(teamed, similarity, turn)
-        found = _verified(pairs, docs, similarity)
+        found = _verified(pairs, docs, rows, similarity)
         parts.append(found)
         linked = not last and found.count() * 10 > pairs.count()
         release(teamed, most, pairs, roots)

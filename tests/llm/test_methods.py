@@ -313,6 +313,18 @@ def test_marks_bound_differences():
         assert sum(bin(int(p) & (2**64 - 1)).count("1") for p in x ^ y) <= differ
 
 
+def test_parities_bound_differences():
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 0), (5, 5), (120, 130), (1000, 1000), (1000, 1100)):
+        a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, m))
+        b[: n // 2] = a[: n // 2]
+        x, y = sorted((near_dedup.parities(a), near_dedup.parities(b)), key=len)
+        if len(y) > len(x):
+            y = y[: len(x)] ^ y[len(x) :]
+        differ, bits = len(np.setxor1d(a, b)), sum(bin(int(p) & (2**64 - 1)).count("1") for p in x ^ y)
+        assert bits <= differ and bits >= 0.6 * differ
+
+
 def _rows_of(spark, texts):
     return spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_hash long, text string")
 
@@ -335,3 +347,19 @@ def test_near_copies_come_from_ball_hashing(spark, monkeypatch):
     _, roots = near_dedup.near_groups(_rows_of(spark, texts))
     assert asked[0] == want
     assert {(r.root, r.node) for r in roots.collect()} >= want
+
+
+def test_rows_without_a_shared_key_stay_in_their_task(spark, monkeypatch):
+    """Only what may share a shingle is shuffled: the filter of the keys comes before their join."""
+    plans = []
+
+    def written(df, label, *a, do=near_dedup.materialise, **k):
+        if label == "near-shared":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return do(df, label, *a, **k)
+
+    monkeypatch.setattr(near_dedup, "materialise", written)
+    texts = [" ".join(f"w{(i // 2) * 50 + j}" for j in range(40)) + f" end{i}" for i in range(6)]
+    near_dedup.near_groups(_rows_of(spark, texts))
+    (plan,) = plans
+    assert plan.index("SortMergeJoin") < plan.index("Exchange") < plan.index("BroadcastHashJoin")
