@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivia.llm import decontamination, exact_dedup, line_dedup, mixing, pii, quality, sharding, simhash, toxicity, warc
+from scrivia.llm import decontamination, exact_dedup, line_dedup, mixing, pii, quality, sharding, simhash, toxicity, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,11 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-#: op1 and op3 learn, op2 writes and reads files, op7 hashes with XXH64 and op9 searches
-#: with look-behind: no SQL here, but brute-force versions in the tests.
+#: op1 and op3 learn, op2 writes and reads files, op7 hashes with XXH64, op9 searches
+#: with look-behind and op13 takes eigenvectors: no SQL here, but brute-force versions in the tests.
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
