@@ -11,13 +11,16 @@ each direction keeps one array of its segment's projections, sorted, with the ve
 places.  Nothing is fitted.  Equal vectors are one node with its least ids.
 
 **Search.**  Around a query's projection each array opens a window of half-width
-``WINDOW * R``.  Virtual rehashing widens R: only what a window newly exposes is counted.  A
+``WINDOW * R``.  Virtual rehashing widens R.  Where windows expose few new entries these are
+listed and counted; where they expose many, every vector's rank in the array is held against
+the window's two ends, which counts the same.  A
 vector collides in a window with a known probability if it is within R of the query, so
 ``THRESHOLD`` of the windows hold it with probability ``REACH`` or more, and vectors counted
 that often are verified by their inner product.  The search of a segment ends when R
 passes the distance of the k-th best that is known for the query: whatever is nearer was
 verified with that probability, so this is the expected recall, or more, on any data.
-R grows up to the whole segment where fewer than k are known.  No cap on candidates.
+R starts at that distance where k are known from segments before, and
+grows up to the whole segment where fewer than k are known.  No cap on candidates.
 
 Segments are searched in waves of 1, 3, 12, ... (greatest norms first), each wave starting
 from the k-th best scores of those before; a segment whose greatest possible score is
@@ -43,10 +46,12 @@ from pyspark.sql import functions as F
 from scrivia.llm.common import materialise, quoted, release, table
 
 PROJECTIONS, WINDOW, REACH, SEED = 96, 1.36, 0.97, 7
-#: Rows a segment holds on average and a block of queries at most; segments a wave has for each one before it.
+#: Rows a segment holds on average (ranks are 16 bits wide) and a block of queries at most; segments a wave has for each one before it.
 SEGMENT_ROWS, QUERY_ROWS, WAVE = 8192, 1024, 3
+#: Windows that newly expose less than this share of the arrays are listed entry by entry; others compare ranks.
+LISTED = 1 / 32
 #: The first R, and how much wider each next one is.
-FIRST, WIDER = 0.25, 1.5
+FIRST, WIDER = 0.25, 2.0
 _LAST_ID = (1 << 63) - 1
 
 
@@ -94,7 +99,7 @@ def _least(k: int) -> Column:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments' sorted arrays: (least ids, nodes, vectors, sorted projections, places) end to end."""
+    """Segments' sorted arrays: (least ids, nodes, vectors, sorted projections, places, ranks) end to end."""
     for b in batches:
         for r in b.to_pylist():
             n, d = len(r["nodes"]), r["dim"]
@@ -104,7 +109,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             projected = np.ascontiguousarray((lifted @ directions(d)).T, dtype=np.float32)
             places = np.argsort(projected, axis=1, kind="stable")
             ordered = np.take_along_axis(projected, places, axis=1)
-            data = b"".join(a.tobytes() for a in (np.array(r["least"], dtype=np.int64), np.array(r["nodes"], dtype=np.int64), v, ordered, places.astype(np.int32)))
+            ranks = np.empty(places.shape, dtype=np.uint16)
+            np.put_along_axis(ranks, places, np.arange(n, dtype=np.uint16)[None, :], axis=1)
+            data = b"".join(a.tobytes() for a in (np.array(r["least"], dtype=np.int64), np.array(r["nodes"], dtype=np.int64), v, ordered, places.astype(np.uint16), ranks))
             one = {"segment": [r["segment"]], "dim": [d], "at": [r["at"]], "top": [r["top"]], "rows": [n], "data": [data]}
             yield pa.RecordBatch.from_pydict(one, schema=_SEGMENT)
 
@@ -114,6 +121,8 @@ _SEGMENT = pa.schema([("segment", pa.int64()), ("dim", pa.int32()), ("at", pa.in
 
 def build_index(rows: DataFrame, k: int, segment_rows: int = SEGMENT_ROWS) -> Index:
     """Index every row of ``usable`` rows for searches of up to ``k``."""
+    if segment_rows > 1 << 15:
+        raise ValueError("a segment holds 32,768 rows on average at most")
     first = rows.withColumn("z", F.col("vec_id").isNull()).withColumn("of", _least(k)).where("of")
     ids = F.array_sort(F.collect_list(F.struct("z", "vec_id", "row")))
     band = F.floor(F.log2("norm") * 4 + 0.5)
@@ -147,12 +156,20 @@ class _Segment:
         m, self.dim, self.top, self.rows = PROJECTIONS, dim, top, rows
         at = 0
         out = []
-        for dtype, count in ((np.int64, rows), (np.int64, rows), (np.float64, rows * dim), (np.float32, m * rows), (np.int32, m * rows)):
+        for dtype, count in ((np.int64, rows), (np.int64, rows), (np.float64, rows * dim), (np.float32, m * rows), (np.uint16, m * rows), (np.uint16, m * rows)):
             out.append(np.frombuffer(data, dtype, count, at))
             at += np.dtype(dtype).itemsize * count
         self.least, self.nodes = out[0], out[1]
         self.vectors = out[2].reshape(rows, dim)
-        self.sorted, self.places = out[3].reshape(m, rows), out[4].reshape(m, rows).astype(np.intp)
+        self.sorted, self.places, self.ranks = (a.reshape(m, rows) for a in out[3:])
+        self._off, self._in = np.empty((m, rows), dtype=np.uint16), np.empty((m, rows), dtype=bool)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of each vector: the windows [low, high) of ranks that hold it."""
+        # below the window the difference wraps round, beyond its width too
+        np.subtract(self.ranks, low.astype(np.uint16)[:, None], out=self._off)
+        np.less(self._off, (high - low).astype(np.uint16)[:, None], out=self._in)
+        return np.add.reduce(self._in.view(np.uint8), axis=0, dtype=np.uint8)
 
     def distance(self, score, norm):
         """Distance of lifted vectors at a score."""
@@ -174,31 +191,33 @@ def search_segment(seg: _Segment, queries: np.ndarray, norms: np.ndarray, known:
     # lifted queries have a last coordinate of zero
     projected = (queries / norms[:, None]) @ directions(seg.dim)[:-1]
     active = np.flatnonzero(norms * seg.top * (1 + 1e-12) >= known)
-    counts = np.zeros((len(queries), seg.rows), dtype=np.int16)
+    counts = np.zeros((len(queries), seg.rows), dtype=np.uint8)
     done = np.zeros((len(queries), seg.rows), dtype=bool)
     low, high = np.zeros((2, len(queries), m), dtype=np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.intp), np.empty(0))] * len(queries)
     # the distance from which on nothing is wanted: of the k-th best known, here or before
     stop = np.where(np.isfinite(known), seg.distance(known, norms), np.inf)
-    radius = np.minimum(FIRST, stop)
-    first = True
+    radius = np.where(np.isfinite(stop), stop, FIRST)
     while len(active):
         whole = radius[active] >= 2.0
         lo, hi = _windows(seg, projected[active], radius[active])
         lo[whole], hi[whole] = 0, seg.rows
+        exposed = ((hi - lo) - (high[active] - low[active])).sum(axis=1)
         left = []
         for row, q in enumerate(active):
-            if first:
-                slices = [seg.places[j, lo[row, j] : hi[row, j]] for j in range(m)]
+            if exposed[row] > LISTED * m * seg.rows:
+                counts[q] = seg.collisions(lo[row], hi[row])
             else:
-                slices = [seg.places[j, a:b] for j in range(m) for a, b in ((lo[row, j], low[q, j]), (high[q, j], hi[row, j])) if a < b]
-            if slices:
-                counts[q] += np.bincount(np.concatenate(slices), minlength=seg.rows).astype(np.int16)
+                for j in range(m):
+                    if low[q, j] == high[q, j]:  # nothing exposed so far
+                        counts[q, seg.places[j, lo[row, j] : hi[row, j]]] += 1
+                    else:
+                        counts[q, seg.places[j, lo[row, j] : low[q, j]]] += 1
+                        counts[q, seg.places[j, high[q, j] : hi[row, j]]] += 1
             new = np.flatnonzero((counts[q] >= need) & ~done[q])
             if len(new):
                 done[q, new] = True
-                # row by row in one order of summing, so that equal vectors score equally
-                score = (seg.vectors[new] * queries[q]).sum(axis=1)
+                score = seg.vectors[new] @ queries[q]
                 places, scores = np.concatenate([found[q][0], new]), np.concatenate([found[q][1], score])
                 best = np.lexsort((seg.least[places], -scores))[:k]
                 found[q] = places[best], scores[best]
@@ -207,7 +226,7 @@ def search_segment(seg: _Segment, queries: np.ndarray, norms: np.ndarray, known:
             if radius[q] < min(stop[q], 2.0):
                 left.append(q)
         low[active], high[active] = lo, hi
-        active, first = np.array(left, dtype=np.intp), False
+        active = np.array(left, dtype=np.intp)
         radius[active] = np.minimum(radius[active] * WIDER, np.minimum(stop[active], 2.0))
     for q in range(len(queries)):
         places, scores = found[q]
