@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivia.llm import decontamination, exact_dedup, line_dedup, mixing, pii, quality, sharding, simhash, toxicity, warc, whitening
+from scrivia.llm import decontamination, exact_dedup, line_dedup, mixing, neighbours, pii, quality, sharding, simhash, spelling, toxicity, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,15 +15,18 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_neighbours": neighbours.op12_neighbours,
     "op13_whitening": whitening.op13_whitening,
 }
 
 #: op1 and op3 learn, op2 writes and reads files, op7 hashes with XXH64, op9 searches
-#: with look-behind and op13 takes eigenvectors: no SQL here, but brute-force versions in the tests.
+#: with look-behind, op12 is approximate and op13 takes eigenvectors: no SQL here, but brute-force versions in the tests.
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_sharding": sharding.OP6_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
