@@ -6,9 +6,9 @@ A word's bigrams carry their positions and are ordered by how rare the bigram is
 all words (ties: the bigram, then its position; the order must not depend on positions, as an
 edit shifts them).  One edit touches at most two bigrams, so of the *three* rarest bigrams
 of either word at least one is met by the other's three, not more than one position off.  Only
-these are joined.  The join's key also holds the shorter word's length and the half of
-the word that one edit must leave alone, its first or its last letters: that loses no
-pair and parts a bigram's group into small ones.  Pairs met are verified by edit distance.
+these are joined.  The join's key also holds the shorter word's length and the two thirds of
+the word that one edit must leave alone, its first, its last or its outer letters: that loses
+no pair and parts a bigram's group into small ones.  Pairs met are verified by edit distance.
 
 A word's form is its most frequent near word, if that is ``RATIO`` times as frequent; roots
 follow forms to their end by doubling, as counts grow tenfold with each step.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scrivia.llm.common import materialise, quoted, release, table
 
-RUN = r"[A-Za-zÀ-ÿ]+"
+LETTER = "[A-Za-zÀ-ÿ]"
 LEAST_LENGTH, LEAST_COUNT, RATIO, NOISE = 7, 2, 10, 31
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One edit touches at most two bigrams: the three rarest cannot all be touched.
@@ -38,10 +38,10 @@ def lowered(run: Column) -> Column:
     return F.when(run.rlike(r"[À-ÿ]"), F.translate(run, _UPPER, _LOWER)).otherwise(F.lower(run))
 
 
-def runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id: string, run) of every run of every whole text."""
+def runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_length: int = 1) -> DataFrame:
+    """(doc_id: string, run) of every maximal run, of ``least_length`` letters or more, of every whole text."""
     src = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("string"), F.lit("")).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    return src.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run")).select("doc_id", lowered(F.col("run")).alias("run"))
+    return src.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"{LETTER}{{{least_length},}}"), F.lit(0))).alias("run")).select("doc_id", lowered(F.col("run")).alias("run"))
 
 
 def noisy_runs(found: DataFrame, every: int = NOISE) -> DataFrame:
@@ -58,32 +58,41 @@ def vocabulary(found: DataFrame, least_length: int = LEAST_LENGTH, least_count:
 
 
 def rare_bigrams(words: DataFrame, keep: int = PREFIX) -> DataFrame:
-    """(word, len, gram, pos): the ``keep`` rarest bigrams of each word with their positions."""
+    """(word, len, odd, gram, pos): the ``keep`` rarest bigrams of each word with their positions.
+
+    ``odd`` has a bit for each code point (modulo 64) that the word holds an odd number of times.
+    """
     letters = words.select("word", F.char_length("word").alias("len"), F.split("word", "").alias("c"))
+    odd = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x) % 64)))
     # over the array of letters: substring would read a word from its start for each position
     grams = F.transform(F.sequence(F.lit(0), F.col("len") - 2), lambda i: F.concat(F.get("c", i), F.get("c", i + 1)))
-    each = letters.where("len > 1").select("word", "len", F.posexplode(grams).alias("pos", "gram"))
+    each = letters.where("len > 1").select("word", "len", odd.alias("odd"), F.posexplode(grams).alias("pos", "gram"))
     # bigrams of an alphabet of 90 letters: 8,100 rows at most
     rarity = materialise(each.groupBy("gram").agg(F.count("*").alias("f")), "spelling-bigrams", parts=1)
     w = Window.partitionBy("word").orderBy("f", "gram", "pos")
     ranked = each.join(F.broadcast(rarity), "gram").withColumn("at", F.row_number().over(w))
-    return ranked.where(F.col("at") <= keep).select("word", "len", "gram", "pos")
+    return ranked.where(F.col("at") <= keep).select("word", "len", "odd", "gram", "pos")
+
+
+def _keyed(rare: DataFrame, lengths: list[Column]) -> DataFrame:
+    """Rows with ``key`` for each length in ``lengths`` that the shorter word of a pair may have, and each of its ends."""
+    each = rare.withColumn("short", F.explode(F.array(*lengths))).withColumn("c", F.expr("short div 3"))
+    # an edit in the first third of the shorter word leaves what follows, one in the last third what comes before, another both outer thirds
+    ends = F.array(F.expr("concat('<', left(word, short - c))"), F.expr("concat('>', right(word, short - c))"), F.expr("concat(left(word, c), '|', right(word, c))"))
+    return each.withColumn("end", F.explode(ends)).withColumn("key", F.xxhash64("gram", "short", "end"))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b) of the written ``words`` (word, at least three letters long) that differ by exactly one edit; each pair once."""
     rare = materialise(rare_bigrams(words), "spelling-rare")
-
-    # one edit leaves short // 2 letters at one end alone, short being the shorter word's length
-    first = F.concat(F.lit("<"), F.expr("left(word, cast(short / 2 as int))"))
-    last = F.concat(F.lit(">"), F.expr("right(word, cast(short / 2 as int))"))
-    shorter = rare.withColumn("short", F.col("len")).withColumn("half", F.explode(F.array(first, last)))
-    longer = rare.withColumn("short", F.explode(F.array("len", F.col("len") - 1))).withColumn("half", F.explode(F.array(first, last)))
-    a = shorter.select("gram", "short", "half", F.col("pos").alias("pa"), F.col("word").alias("a"))
-    b = longer.select("gram", "short", "half", F.col("pos").alias("pb"), F.col("word").alias("b"), F.col("len").alias("lb"))
-    met = a.join(b.hint("merge"), ["gram", "short", "half"]).where(F.abs(F.col("pa") - F.col("pb")) <= 1)
-    met = met.where((F.col("lb") > F.col("short")) | (F.col("a") < F.col("b")))
-    return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
+    a = _keyed(rare, [F.col("len")]).select("key", F.col("pos").alias("pa"), F.col("odd").alias("oa"), F.col("len").alias("la"), F.col("word").alias("a"))
+    b = _keyed(rare, [F.col("len"), F.col("len") - 1]).select("key", F.col("pos").alias("pb"), F.col("odd").alias("ob"), F.col("len").alias("lb"), F.col("word").alias("b"))
+    met = a.join(b.hint("merge"), "key").where(F.abs(F.col("pa") - F.col("pb")) <= 1)
+    # one edit changes how often at most two letters occur
+    met = met.where(F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2).where((F.col("lb") > F.col("la")) | (F.col("a") < F.col("b")))
+    pairs = materialise(met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct(), "spelling-pairs")
+    release(rare)
+    return pairs
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -100,7 +109,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of the written ``words`` (word, n)."""
-    pairs = materialise(near_pairs(words.select("word")), "spelling-pairs")
+    pairs = near_pairs(words.select("word"))
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionAll(pairs.select("b", "a")).join(counts, "near")
     # least: most occurrences, then first in code-point order
@@ -116,7 +125,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = materialise(vocabulary(noisy_runs(runs(table(spark, sf_dir, "documents")))), "spelling-words")
+    words = materialise(vocabulary(noisy_runs(runs(table(spark, sf_dir, "documents"), least_length=LEAST_LENGTH))), "spelling-words")
     return variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
