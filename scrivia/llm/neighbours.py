@@ -48,6 +48,8 @@ from scrivia.llm.common import materialise, quoted, release, table
 PROJECTIONS, WINDOW, REACH, SEED = 96, 1.36, 0.97, 7
 #: Rows a segment holds on average (ranks are 16 bits wide) and a block of queries at most; segments a wave has for each one before it.
 SEGMENT_ROWS, QUERY_ROWS, WAVE = 8192, 1024, 3
+#: Blocks of queries that a task searches a segment for, on average.
+BLOCKS_A_TASK = 8
 #: Windows that newly expose less than this share of the arrays are listed entry by entry; others compare ranks.
 LISTED = 1 / 32
 #: The first R, and how much wider each next one is.
@@ -279,9 +281,12 @@ def nearest_nodes(index: Index, queries: DataFrame, k: int, query_rows: int = QU
         # a row for each block and segment that has anything to give it
         sides = wave.select("segment", "dim", "top")
         tiles = blocks.select("block", "dim", "long", "least").join(sides, "dim").where(F.col("long") * F.col("top") * 1.000001 >= F.col("least"))
-        tiles = materialise(tiles.select("block", "segment", F.col("dim").alias("d")), "ann-tiles")
+        # a segment is sent out once for so many blocks: all queries meet in the first one
+        salt = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // BLOCKS_A_TASK) or 1))
+        tiles = materialise(tiles.select("block", "segment", F.col("dim").alias("d"), salt.alias("salt")), "ann-tiles")
+        wave = wave.join(tiles.select("segment", "salt").distinct(), "segment")
         posted = tiles.join(blocks.select("block", F.col("dim").alias("d"), "qs", "norms", "known", "vecs").hint("merge"), ["block", "d"]).drop("block", "d")
-        pairs = posted.join(wave.hint("merge"), "segment")
+        pairs = posted.join(wave.hint("merge"), ["segment", "salt"])
         hits = pairs.select("dim", "top", "rows", "data", "qs", "norms", "known", "vecs").mapInArrow(_searched(k), "q long, node long, least long, score double")
         hits = materialise(hits, "ann-hits", batch=1)
         was, all_hits = best, hits if best is None else hits.unionByName(best.drop("of"))

@@ -28,6 +28,8 @@ from scrivia.llm.common import materialise, quoted, release, table
 LETTER = "[A-Za-zÀ-ÿ]"
 LEAST_LENGTH, LEAST_COUNT, RATIO, NOISE = 7, 2, 10, 31
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that a task looks into on average.
+WORDS_A_TASK = 1 << 16
 #: One edit touches at most two bigrams: the three rarest cannot all be touched.
 PREFIX = 3
 
@@ -62,7 +64,9 @@ def rare_bigrams(words: DataFrame, keep: int = PREFIX) -> DataFrame:
 
     ``odd`` has a bit for each code point (modulo 64) that the word holds an odd number of times.
     """
-    letters = words.select("word", F.char_length("word").alias("len"), F.split("word", "").alias("c"))
+    # by word, and in parts that follow their number: the window below needs no other shuffle
+    dealt = words.repartition(1 + words.count() // WORDS_A_TASK, "word")
+    letters = dealt.select("word", F.char_length("word").alias("len"), F.split("word", "").alias("c"))
     odd = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x) % 64)))
     # over the array of letters: substring would read a word from its start for each position
     grams = F.transform(F.sequence(F.lit(0), F.col("len") - 2), lambda i: F.concat(F.get("c", i), F.get("c", i + 1)))
