@@ -99,8 +99,60 @@ def fragments(x) -> Column:
     )
 
 
+#: Letters that a pattern of ``lcs`` has at most: a sum of two such numbers stays within a long.
+PATTERN_MOST = 62
+
+
+def letters(x) -> Column:
+    """The code points of a string, one by one."""
+    return F.filter(F.split(_c(x), ""), lambda c: c != "")
+
+
+def letter_mask(x) -> Column:
+    """A bit for each letter (its number modulo 64) that a string holds."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(letters(x), F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", one, F.ascii(c) % 64)))
+
+
+def pattern(x) -> Column:
+    """A string of at most ``PATTERN_MOST`` letters as ``lcs`` takes it: its distinct letters, and the bits of their places."""
+    chars = letters(x)
+    places = F.transform(
+        F.array_distinct(chars),
+        lambda c: F.aggregate(chars, F.struct(F.lit(0).cast("long").alias("bits"), F.lit(1).cast("long").alias("at")),
+                              lambda s, y: F.struct(F.when(c == y, s["bits"].bitwiseOR(s["at"])).otherwise(s["bits"]).alias("bits"), F.shiftleft(s["at"], 1).alias("at")), lambda s: s["bits"]),
+    )
+    return F.struct(F.array_distinct(chars).alias("of"), places.alias("bits"), F.length(_c(x)).alias("n"))
+
+
+def lcs(p: Column, chars: Column) -> Column:
+    """Length of the longest common subsequence of a ``pattern`` and letters: a whole row of the table is one long.
+
+    A zero bit of ``v`` is a place where the row grows by one; each letter is a sum and some masks.
+    """
+    # what is carried out of the pattern's bits is cut off
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), p["n"]) - 1
+    start = F.struct(p["of"].alias("of"), p["bits"].alias("bits"), full.alias("full"), full.alias("v"))
+
+    def step(s, c):
+        v, m = s["v"], F.coalesce(F.get(s["bits"], (F.array_position(s["of"], c) - 1).cast("int")), F.lit(0).cast("long"))
+        row = (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(s["full"])
+        return F.struct(s["of"].alias("of"), s["bits"].alias("bits"), s["full"].alias("full"), row.alias("v"))
+
+    return p["n"] - F.aggregate(chars, start, step, lambda s: F.bit_count(s["v"]))
+
+
 def indel_ratio(a, b) -> Column:
-    """200 LCS / (|a| + |b|): 100 for equal strings.  One dynamic-programming row per character."""
+    """200 LCS / (|a| + |b|): 100 for equal strings."""
+    a, b = _c(a), _c(b)
+    short, long_ = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    total = F.length(a) + F.length(b)
+    found = F.when(F.length(short) <= PATTERN_MOST, lcs(pattern(short), letters(long_))).otherwise(lcs_of_long(a, b))
+    return F.when(total == 0, F.lit(100.0)).when(F.length(short) == 0, F.lit(0.0)).otherwise(found * F.lit(200.0) / total)
+
+
+def lcs_of_long(a, b) -> Column:
+    """The same of two strings too long for a pattern: a row of the table is an array."""
     a, b = _c(a), _c(b)
     bs = F.sequence(F.lit(1), F.length(b))
     zero = F.array_repeat(F.lit(0), F.length(b) + 1)
@@ -114,11 +166,7 @@ def indel_ratio(a, b) -> Column:
 
         return F.aggregate(bs, F.array(F.lit(0)), step)
 
-    lcs = F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(a)), zero, row), -1)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(
-        lcs * F.lit(200.0) / total
-    )
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(a)), zero, row), -1)
 
 
 def embed_text(doc_id, revision, title, section, text) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivia.functions.text import fragments, fuzzy_tokens, indel_ratio, normal_id, revision_key
+from scrivia.functions.text import PATTERN_MOST, fragments, fuzzy_tokens, lcs, lcs_of_long, letter_mask, letters, normal_id, pattern, revision_key
 
 THRESHOLD, FLOOR, TYPE_CAP = 75.0, 55.0, 88.0
 # Common names of the document types.
@@ -79,49 +79,95 @@ def filtered(c: DataFrame, doc_type: str | None = None, status: str | None = Non
 
 def id_score(query: Column, doc_id: Column, type_: Column) -> Column:
     """100 for the same identifier or a fragment of the same type and number, else 0."""
-    number = F.ltrim(F.split_part(doc_id, F.lit("-"), F.lit(-1)), F.lit("0"))
-    hit = F.exists(fragments(query), lambda f: (f["prefix"] == type_) & (f["number"] == number))
+    hit = F.exists(fragments(query), lambda f: (f["prefix"] == type_) & (f["number"] == _number(doc_id)))
     return F.when((normal_id(query) == normal_id(doc_id)) | hit, F.lit(100.0)).otherwise(F.lit(0.0))
 
 
-def token_scores(texts: DataFrame, query: str, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, score): length-weighted mean of each query token's best match among the text's tokens.
+def _number(doc_id: Column) -> Column:
+    return F.ltrim(F.split_part(doc_id, F.lit("-"), F.lit(-1)), F.lit("0"))
+
+
+def title_tokens(texts: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, t): the distinct tokens of each text."""
+    return texts.select(F.col(key).alias("key"), F.explode(F.array_distinct(fuzzy_tokens(text))).alias("t"))
+
+
+def near_tokens(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, t, r): tokens of queries (token) and of texts (t) whose similarity ``r`` is ``FLOOR`` or more.
+
+    Lengths and the letters that only one side has bound the common subsequence from above; only
+    pairs that these let pass, which loses none, are compared letter by letter.
+    """
+    asked = tokens.select("token").distinct().select("token", F.length("token").alias("n"), letter_mask("token").alias("m"), pattern("token").alias("p"))
+    held = vocabulary.select("t").distinct().select("t", F.length("t").alias("tn"), letter_mask("t").alias("tm"))
+    most = F.least(
+        F.col("n") - F.bit_count(F.col("m").bitwiseAND(F.bitwise_not("tm"))), F.col("tn") - F.bit_count(F.col("tm").bitwiseAND(F.bitwise_not("m")))
+    )
+    # the queries' tokens are the stated side; Spark decides by its size how it travels
+    met = held.crossJoin(asked).where(most * 200.0 >= FLOOR * (F.col("n") + F.col("tn")))
+    common = F.when(F.col("n") <= PATTERN_MOST, lcs(F.col("p"), letters("t"))).otherwise(lcs_of_long("token", "t"))
+    return met.select("token", "t", (common * F.lit(200.0) / (F.col("n") + F.col("tn"))).alias("r")).where(F.col("r") >= FLOOR)
+
 
-    Similarity is computed once per distinct token of all texts, not once per text.
+def batch_token_scores(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, key, score) of texts with any score: length-weighted mean of each query token's best match among a text's ``tokens`` (key, t).
+
+    Similarity is computed once for each distinct pair of tokens, not once a text or a query (q, query).
     """
-    spark = texts.sparkSession
-    q = spark.range(1).select(F.posexplode(fuzzy_tokens(F.lit(query), stop=True)).alias("i", "q"))
-    toks = texts.select(key, F.explode(F.array_distinct(fuzzy_tokens(text))).alias("t"))
-    # the query side is one string's tokens
-    vocab = toks.select("t").distinct().crossJoin(F.broadcast(q)).withColumn("r", indel_ratio("q", "t")).where(F.col("r") >= FLOOR)
-    best = toks.join(vocab, "t").groupBy(key, "i", "q").agg(F.max("r").alias("r"))
-    total = q.agg(F.sum(F.length("q")).alias("total"))
-    won = best.groupBy(key).agg(F.sum(F.length("q") * F.col("r")).alias("won")).crossJoin(F.broadcast(total))
-    got = won.select(key, (F.col("won") / F.col("total")).alias("score"))
+    asked = queries.select("q", F.posexplode(fuzzy_tokens("query", stop=True)).alias("i", "token"))
+    total = asked.groupBy("q").agg(F.sum(F.length("token")).alias("total"))
+    best = tokens.join(near_tokens(tokens, asked), "t").groupBy("key", "token").agg(F.max("r").alias("r"))
+    won = best.join(asked, "token").groupBy("q", "key").agg(F.sum(F.length("token") * F.col("r")).alias("won"))
+    return won.join(total, "q").select("q", "key", (F.col("won") / F.col("total")).alias("score"))
+
+
+def token_scores(texts: DataFrame, query: str, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, score) of every text for one query, 0 where nothing matches."""
+    got = batch_token_scores(title_tokens(texts, key, text), _one(texts, query)).select(F.col("key").alias(key), "score")
     return texts.select(key).distinct().join(got, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def scored(c: DataFrame, query: str) -> DataFrame:
-    """Adds ``score``: the best of identifier, title and (capped) type-name matches."""
-    spark = c.sparkSession
+def _one(df: DataFrame, query: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([(0, query)], "q long, query string")
+
+
+def matches(c: DataFrame, queries: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(q, doc_id, score) of chains with any score for ``queries`` (q, query): the best of identifier, title and (capped) type-name matches.
+
+    Every part is an equi-join: no chain is held against every query.  ``tokens``: the titles'
+    tokens where they are written down already, ((doc_id, text), t).
+    """
+    ids = c.select("doc_id", "type", _number(F.col("doc_id")).alias("number"))
+    whole = queries.select("q", normal_id("query").alias("id")).join(ids.select("doc_id", normal_id("doc_id").alias("id")), "id").select("q", "doc_id", F.lit(100.0).alias("score"))
+    parts = queries.select("q", F.inline(fragments("query"))).withColumnRenamed("prefix", "type").join(ids, ["type", "number"]).select("q", "doc_id", F.lit(100.0).alias("score"))
+    tokens = tokens_of(c) if tokens is None else tokens
+    by_title = batch_token_scores(tokens, queries).select("q", "key.doc_id", "score").join(c.select("doc_id"), "doc_id", "left_semi").select("q", "doc_id", "score")
+    names = c.sparkSession.createDataFrame(list(TYPE_NAMES.items()), "key string, text string")
+    by_type = batch_token_scores(title_tokens(names), queries).select("q", F.col("key").alias("type"), F.least("score", F.lit(TYPE_CAP)).alias("score"))
+    by_type = ids.join(by_type, "type").select("q", "doc_id", "score")
+    every = whole.unionAll(parts).unionAll(by_title).unionAll(by_type)
+    return every.groupBy("q", "doc_id").agg(F.max("score").alias("score"))
+
+
+def tokens_of(c: DataFrame) -> DataFrame:
+    """((doc_id, text), t): tokens of all revisions' titles, title by title."""
     titles = c.select("doc_id", F.explode(F.array_distinct(F.transform("revisions", lambda r: r["title"]))).alias("text"))
-    by_title = token_scores(titles.select(F.struct("doc_id", "text").alias("key"), "text"), query)
-    by_title = by_title.groupBy(F.col("key.doc_id").alias("doc_id")).agg(F.max("score").alias("title_score"))
-    names = spark.createDataFrame(list(TYPE_NAMES.items()), "key string, text string")
-    by_type = token_scores(names, query).select(F.col("key").alias("type"), F.least("score", F.lit(TYPE_CAP)).alias("type_score"))
-    out = c.join(by_title, "doc_id", "left").join(F.broadcast(by_type), "type", "left")
-    return out.withColumn(
-        "score",
-        F.greatest(id_score(F.lit(query), F.col("doc_id"), F.col("type")), F.coalesce("title_score", F.lit(0.0)), F.coalesce("type_score", F.lit(0.0))),
-    ).drop("title_score", "type_score")
-
-
-def search_catalog(documents: DataFrame, query: str | None = None, doc_type: str | None = None, status: str | None = None, sw_version: str | None = None) -> DataFrame:
+    return title_tokens(titles.select(F.struct("doc_id", "text").alias("key"), "text"))
+
+
+def scored(c: DataFrame, query: str) -> DataFrame:
+    """Every chain with ``score``, 0 where nothing matches."""
+    return c.join(matches(c, _one(c, query)).drop("q"), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def search_catalog(
+    documents: DataFrame, query: str | None = None, doc_type: str | None = None, status: str | None = None, sw_version: str | None = None, tokens: DataFrame | None = None
+) -> DataFrame:
     """All matches (doc_id, type, title, latest_current, revisions, match_score), never truncated."""
     c = filtered(chains(documents), doc_type, status, sw_version)
     if not query:
         return c.orderBy("doc_id")
-    hits = scored(c, query).where(F.col("score") >= THRESHOLD)
+    hits = c.join(matches(c, _one(c, query), tokens).where(F.col("score") >= THRESHOLD).drop("q"), "doc_id")
     return hits.withColumn("match_score", F.bround("score").cast("int")).orderBy(F.desc("score"), "doc_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivia.functions.text import embed_text, word_tokens
+from scrivia.operators import vectors
 from scrivia.operators.catalog import default_revisions
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -84,15 +85,17 @@ def l2_normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def similar(vectors: DataFrame, query: DataFrame, top_k: int | None = None, unit: bool = False) -> DataFrame:
-    """(vec_id, score): cosine with the one vector of ``query`` (q), the best ``top_k`` in order or all unordered.
+def semantic(index: vectors.VectorIndex, queries: DataFrame, chunks: DataFrame, documents: DataFrame, defaults: DataFrame, top_k: int = 10) -> DataFrame:
+    """The ``top_k`` chunks, two a document, nearest to each of ``queries`` (q, embedding), as ``assemble`` shows them, with q and rank.
 
-    ``unit``: the vectors have length one already, as those of the index do.
+    ``index`` holds the chunks that may be shown: ids are chunk ids, groups document ids.
     """
-    stored = F.col("embedding") if unit else l2_normalised(F.col("embedding"))
-    q = query.select(l2_normalised(F.col("q")).alias("q"))
-    out = vectors.crossJoin(F.broadcast(q)).select("vec_id", dot(stored, F.col("q")).alias("score"))
-    return out if top_k is None else out.orderBy(F.desc("score"), "vec_id").limit(top_k)
+    near = vectors.search(index, queries, top_k, cap=PER_DOC).select("q", "rank", F.col("id").alias("chunk_id"), (-F.col("score")).alias("score"))
+    rows = near.join(chunks, "chunk_id").join(documents.select("doc_id", "revision", "title"), ["doc_id", "revision"]).join(defaults, ["doc_id", "revision"], "left")
+    return rows.select(
+        "q", "rank", "chunk_id", "doc_id", "revision", "title", F.col("section_path").alias("section"), "kind",
+        F.coalesce("is_current", F.lit(False)).alias("is_current"), F.substring("text", 1, EXCERPT).alias("excerpt"), "score",
+    )
 
 
 def embed_backlog(chunks: DataFrame, documents: DataFrame, embedded: DataFrame) -> DataFrame:

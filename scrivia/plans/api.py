@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scrivia.functions.stemming import stem
 from scrivia.functions.text import normal_id
-from scrivia.operators import catalog, content, reading, references
+from scrivia.operators import catalog, content, early_stop, reading, references, vectors
 
 # The records' keys (error, note, closest_matches, no_current_revision, is_empty, too_large, truncated, ...).
 
@@ -40,20 +40,33 @@ class Tools:
         if mode == "semantic":
             if "embeddings" not in i or self.embed is None:
                 return {"error": "this index holds no vectors to compare with", "note": "run backfill_embeddings first, or search by keyword"}
-            q = i["documents"].sparkSession.createDataFrame([([float(x) for x in self.embed([query])[0]],)], "q array<double>")
-            scores = content.similar(i["embeddings"].withColumnRenamed("chunk_id", "vec_id"), q, unit=True)
-            scores = scores.select(F.col("vec_id").alias("chunk_id"), (-F.col("score")).alias("score"))
+            rows = self._nearest([float(x) for x in self.embed([query])[0]], top_k, include_superseded)
+            return {"count": len(rows), "mode": mode, "results": rows}
         elif mode == "keyword":
             terms = [stem(t.lower()) for t in re.findall(r"[A-Za-z0-9]+", query)]
             if not terms:
                 return {"error": "the query has no letters or digits to look for"}
-            scores = content.keyword_scores(i["postings"], i["figures"], terms)
+            asked = i["documents"].sparkSession.createDataFrame([(0, terms)], "q long, terms array<string>")
+            best = early_stop.top_k(early_stop.Blocks(i["directory"], i["blocks"]), i["figures"], asked, top_k, None if include_superseded else i["defaults"])
+            scores = best.select("chunk_id", "score")
         else:
             return {"error": f"mode is 'keyword' or 'semantic', not {mode!r}"}
         found = content.assemble(scores, i["chunks"], i["documents"], i["defaults"], top_k, include_superseded)
         rows = found.drop("score").collect()
         return {"count": len(rows), "mode": mode, "results": [r.asDict() for r in rows]}
 
+    def _nearest(self, vector: list[float], top_k: int, include_superseded: bool) -> list[dict]:
+        i = self.index
+        held = vectors.opened(i["vector_pivots"], i["vector_blocks"])
+        asked = i["documents"].sparkSession.createDataFrame([(0, vector)], "q long, embedding array<double>")
+        depth = 4 * top_k
+        while True:  # deeper into the order until what may be shown fills the answer
+            near = vectors.search(held, asked, depth).select(F.col("id").alias("chunk_id"), (-F.col("score")).alias("score"))
+            found = content.assemble(near, i["chunks"], i["documents"], i["defaults"], top_k, include_superseded).drop("score").collect()
+            if len(found) == top_k or near.count() < depth:
+                return [r.asDict() for r in found]
+            depth *= 8
+
     def read_document(self, doc_id: str, revision: str | None = None, section: str | None = None) -> dict:
         row = reading.locate(catalog.chains(self.index["documents"]), doc_id, revision).first()
         if row["outcome"] == "unknown":

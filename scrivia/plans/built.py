@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivia.functions.text import word_tokens
-from scrivia.operators import catalog, content, references
+from scrivia.operators import catalog, content, early_stop, references, vectors
 from scrivia.plans.index import stemmed
 from scrivia.sources import fixtures as fx
 from scrivia.storage import changed, materialise
 
 _BUILT: dict[tuple, dict[str, DataFrame]] = {}
+_VECTORS: dict[tuple, vectors.VectorIndex] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """documents, chunks, refs, defaults; postings and figures of plain and (stem_...) of stemmed tokens."""
+    """documents, chunks, refs, defaults, directory, titles (their tokens); postings, blocks and figures of plain and (stem_...) of stemmed tokens."""
     source = f"{sf_dir}/documents.parquet"
     key = (spark.sparkContext.applicationId, source, changed(spark, source))
     if key not in _BUILT:
@@ -31,16 +32,35 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "documents": documents,
         "chunks": chunks,
         "defaults": materialise(catalog.default_revisions(documents), "index-defaults"),
+        "titles": materialise(catalog.tokens_of(catalog.chains(documents)), "index-titles"),
+        "directory": materialise(early_stop.numbered(chunks), "index-directory"),
         "refs": materialise(references.extract_refs(chunks, references.mention_shape(list(fx.TYPES))), "index-refs"),
     }
     for name, tokens in (("", word_tokens), ("stem_", stemmed)):
         # a term filter reads few row groups
         post = content.postings(chunks, tokens).repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
         out[f"{name}postings"] = materialise(post, "index-postings")
+        out[f"{name}blocks"] = materialise(early_stop.blocked(out[f"{name}postings"], out["directory"]), "index-blocks")
         out[f"{name}figures"] = materialise(content.corpus_figures(chunks, tokens), "index-figures")
     return out
 
 
+def vectors_of(spark: SparkSession, sf_dir: str, shown: bool = False) -> vectors.VectorIndex:
+    """An index of all embeddings (ids: vec_id), or of those that stand for a chunk of a default revision (ids: chunk_id, groups: doc_id)."""
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings")]
+    key = (spark.sparkContext.applicationId, shown, *sources, *[changed(spark, s) for s in sources])
+    if key not in _VECTORS:
+        rows = fx.read(spark, sf_dir, "embeddings")
+        if shown:
+            i = index_of(spark, sf_dir)
+            of = embedded(i["chunks"], rows).join(i["chunks"].select("chunk_id", "doc_id", "revision"), "chunk_id").join(i["defaults"], ["doc_id", "revision"], "left_semi")
+            rows = of.join(rows, "vec_id").select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("group"), "embedding")
+        else:
+            rows = rows.select(F.col("vec_id").alias("id"), "embedding")
+        _VECTORS[key] = vectors.build(rows)
+    return _VECTORS[key]
+
+
 def embedded(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(chunk_id, vec_id) of the chunks that a vector of the driver's tables stands for."""
     return chunks.where("position = 0").select("chunk_id", F.col("id").alias("vec_id")).join(vectors.select("vec_id"), "vec_id", "left_semi")

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from scrivia.functions.stemming import stems
 from scrivia.functions.text import parse_filename, word_tokens
-from scrivia.operators import catalog, chunking, content, references
+from scrivia.operators import catalog, chunking, content, early_stop, references, vectors
 from scrivia.sources import docx
 from scrivia.sources.fixtures import DOCUMENT, chunks_of
 from scrivia.storage import delete, materialise, read_text, release, replace_text
 
-TABLES = ("documents", "chunks", "refs", "postings", "figures", "defaults", "files", "meta")
+TABLES = ("documents", "chunks", "refs", "directory", "postings", "blocks", "figures", "defaults", "files", "meta")
 POINTER = "CURRENT"
 
 
@@ -75,7 +75,9 @@ def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
     # document types are a column of the catalog, and a mention's shape lists them
     types = [r[0] for r in documents.select("type_prefix").distinct().collect()]
     put(references.extract_refs(chunks, references.mention_shape(types)).dropDuplicates(["from_doc", "from_rev", "to_doc"]), "refs")
+    put(early_stop.numbered(chunks), "directory")
     write_tables(documents, chunks, put)
+    put(early_stop.blocked(get("postings"), get("directory")), "blocks")
     put(spark.createDataFrame([("corpus_dir", corpus), ("chunk_max_chars", str(chunking.MAX_CHUNK_CHARS))], "key string, value string"), "meta")
     replace_text(spark, f"{path}/{POINTER}", json.dumps({name: f"{version}/{name}" for name in TABLES}))
     delete(spark, f"{path}/{version}/staged")
@@ -103,9 +105,15 @@ def pointer(spark: SparkSession, path: str) -> dict[str, str]:
 
 def put_table(spark: SparkSession, path: str, name: str, df: DataFrame) -> None:
     """Write one table anew and point to it."""
-    at = f"{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(f"{path}/{at}")
-    replace_text(spark, f"{path}/{POINTER}", json.dumps({**pointer(spark, path), name: at}))
+    put_tables(spark, path, {name: df})
+
+
+def put_tables(spark: SparkSession, path: str, frames: dict[str, DataFrame]) -> None:
+    """Write tables anew and point to all of them at once."""
+    at = {name: f"{name}-{uuid.uuid4().hex}" for name in frames}
+    for name, df in frames.items():
+        df.write.option("compression", "zstd").parquet(f"{path}/{at[name]}")
+    replace_text(spark, f"{path}/{POINTER}", json.dumps({**pointer(spark, path), **at}))
 
 
 def set_meta(spark: SparkSession, path: str, key: str, value: str) -> None:
@@ -115,7 +123,7 @@ def set_meta(spark: SparkSession, path: str, key: str, value: str) -> None:
 
 
 def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The index's tables by name; ``embeddings`` where there are any."""
+    """The index's tables by name; ``embeddings`` and their blocks where there are any."""
     return {name: spark.read.parquet(f"{path}/{at}") for name, at in pointer(spark, path).items()}
 
 
@@ -127,7 +135,9 @@ def backfill_embeddings(spark: SparkSession, path: str, embed: Callable, model:
     known = spark.createDataFrame([], "chunk_id string, embedding array<double>") if held is None else held
     new = materialise(content.build_embeddings(index["chunks"], index["documents"], known, embed, model, stored, batch), "embeddings")
     n = new.count()
-    put_table(spark, path, "embeddings", known.unionByName(new))
+    every = known.unionByName(new)
+    pivots, blocks = vectors.saved(vectors.build(every.select(F.col("chunk_id").alias("id"), "embedding")), spark)
+    put_tables(spark, path, {"embeddings": every, "vector_pivots": pivots, "vector_blocks": blocks})
     set_meta(spark, path, "embed_model", model)
     release(new)
     return n

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from scrivia.functions import text as T
 from scrivia.functions.stemming import stem
-from scrivia.operators import catalog, chunking, content, evals, reading, references
-from scrivia.plans.built import embedded, index_of
+from scrivia.operators import catalog, chunking, content, early_stop, evals, reading, references, vectors
+from scrivia.plans.built import embedded, index_of, vectors_of
 from scrivia.plans.index import ingest_report as report_of
 from scrivia.sources import fixtures as fx
 from scrivia.sources import html
+from scrivia.storage import materialise
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -400,7 +401,8 @@ def token_score(spark, sf):
 
 @query(_with(_scores("bill of materails"), f"SELECT {_COLS}, round(score, 6) AS score, CAST(round_even(score, 0) AS INTEGER) AS match_score FROM cs WHERE score >= 75"))
 def catalog_search(spark, sf):
-    found = catalog.search_catalog(_tables(spark, sf)[0], "bill of materails")
+    i = index_of(spark, sf)
+    found = catalog.search_catalog(i["documents"], "bill of materails", tokens=i["titles"])
     return _flat(found.withColumn("s", F.round("score", 6)), F.col("s").alias("score"), "match_score")
 
 
@@ -483,6 +485,39 @@ def content_keyword(spark, sf):
     return _keyword(spark, sf, ["the", "License"])
 
 
+_BATCH = (
+    _TOKENS
+    + r""",
+turns AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM conversations WHERE conv_id % 100 = 0 AND role = 'user'),
+want AS (SELECT conv_id, turn, lower(term) AS term, count(*) AS times FROM turns GROUP BY ALL),
+need AS (SELECT conv_id, turn, count(*) AS need FROM want GROUP BY ALL),
+held AS (SELECT term, count(*) AS n FROM post WHERE term IN (SELECT term FROM want) GROUP BY term),
+idf AS (SELECT term, CASE WHEN ln(((SELECT count(*) FROM chunk) - n + 0.5) / (n + 0.5)) > 0 THEN ln(((SELECT count(*) FROM chunk) - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf FROM held),
+bm AS (SELECT conv_id, turn, chunk_id, count(*) AS matched, -sum(times * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avg(dl) FROM dl)))) AS score
+  FROM want JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (chunk_id) GROUP BY ALL),
+most AS (SELECT conv_id, turn, max(matched) AS most FROM bm GROUP BY ALL),
+kw AS (SELECT bm.* FROM bm JOIN most USING (conv_id, turn) JOIN need USING (conv_id, turn) WHERE matched = need OR most < need)"""
+)
+
+
+@query(
+    _with(
+        _BATCH,
+        """SELECT conv_id, turn, rank, chunk_id, doc_id, revision, round(score, 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 9), chunk_id) AS INTEGER) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, doc_id ORDER BY round(score, 9), chunk_id) AS of_doc
+    FROM kw JOIN chunk USING (chunk_id) JOIN defaults USING (doc_id, revision)) WHERE of_doc <= 2) WHERE rank <= 10""",
+    )
+)
+def content_keyword_batch(spark, sf):
+    """The user's turns of every conversation whose id is divisible by 100, asked together."""
+    i = index_of(spark, sf)
+    turns = fx.read(spark, sf, "conversations").where("conv_id % 100 = 0 AND role = 'user'")
+    asked = materialise(turns.select(F.monotonically_increasing_id().alias("q"), "conv_id", "turn", T.query_terms("text").alias("terms")), "asked")
+    best = early_stop.top_k(early_stop.Blocks(i["directory"], i["blocks"]), i["figures"], asked.select("q", "terms"), 10, i["defaults"])
+    return best.join(asked.select("q", "conv_id", "turn"), "q").select("conv_id", "turn", "rank", "chunk_id", "doc_id", "revision", F.round("score", 6).alias("score"))
+
+
 @query(_with(_bm25(["the", "License"]), _found("LEFT")))
 def content_superseded(spark, sf):
     return _keyword(spark, sf, ["the", "License"], include_superseded=True)
@@ -518,31 +553,40 @@ def l2_normalise(spark, sf):
     return v.select("vec_id", F.round(content.dot(F.col("embedding"), F.col("embedding")), 4).alias("before"), F.round(content.dot(F.col("n"), F.col("n")), 6).alias("after"))
 
 
-_COS = """cos AS (SELECT e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))
+_COS = """cos AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))
   / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS score
-  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)"""
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"""
 
 
-def _cosines(spark, sf, k=None):
-    v = fx.read(spark, sf, _VEC)
-    return content.similar(v, v.where("vec_id = 7").select(F.col("embedding").alias("q")), k)
+def _asked(spark, sf) -> DataFrame:
+    """The stated queries of vector searches: every vector whose id is divisible by 100."""
+    return fx.read(spark, sf, _VEC).where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
 
 
-@query(_with(_COS, "SELECT vec_id, round(score, 6) AS score FROM cos ORDER BY cos.score DESC, vec_id LIMIT 50"))
+@query(
+    _with(
+        _COS,
+        """SELECT query_id, rank, vec_id, round(score, 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM cos) WHERE rank <= 50""",
+    )
+)
 def semantic_topk(spark, sf):
-    return _cosines(spark, sf, 50).withColumn("score", F.round("score", 6))
+    found = vectors.search(vectors_of(spark, sf), _asked(spark, sf), 50)
+    return found.select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query(
     _with(
-        _TOKENS + ", " + _COS + ", kw AS (SELECT chunk_id, -cos.score AS score FROM cos JOIN chunk ON chunk.id = cos.vec_id AND position = 0)",
-        _found(""),
+        _TOKENS + ", " + _COS,
+        """SELECT query_id, rank, chunk_id, doc_id, revision, title, section_path AS section, kind, is_current, md5(substr(text, 1, 700)) AS excerpt, round(-score, 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS of_doc
+  FROM cos JOIN chunk ON chunk.id = cos.vec_id AND position = 0 JOIN defaults USING (doc_id, revision)) WHERE of_doc <= 2) WHERE rank <= 10""",
     )
 )
 def content_semantic(spark, sf):
     i = index_of(spark, sf)
-    near = _cosines(spark, sf).join(embedded(i["chunks"], fx.read(spark, sf, _VEC)), "vec_id")
-    return _shown(content.assemble(near.select("chunk_id", (-F.col("score")).alias("score")), i["chunks"], i["documents"], i["defaults"]))
+    return _shown(content.semantic(vectors_of(spark, sf, shown=True), _asked(spark, sf), i["chunks"], i["documents"], i["defaults"])).withColumnRenamed("q", "query_id")
 
 
 @query(_with(fx.TABLES, "SELECT chunk_id FROM chunk WHERE position > 0 OR id NOT IN (SELECT vec_id FROM embeddings)"))

@@ -1,7 +1,7 @@
 """Extension: new Word files appended to an index as they arrive (file stream and foreachBatch).
 
-The collection itself is static per session; this adds documents, chunks and postings
-of new files to an index that ``build_index`` made.  A revision the index holds
+The collection itself is static per session; this adds documents, chunks and postings (blocks
+of windows of their own, so none that are there change) of new files to an index that ``build_index`` made.  A revision the index holds
 already is a copy and left out, and so are files whose name has no document ID.  The
 reference graph is left to the next ``build_index``, as a new type changes what counts
 as a mention in older documents.  The figures and default revisions, small tables, are
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scrivia.functions.text import parse_filename
-from scrivia.operators import catalog, content
+from scrivia.operators import catalog, content, early_stop
 from scrivia.plans.index import DOCUMENT, fold_files, open_index, pointer, put_table, stemmed
 from scrivia.sources import docx
 from scrivia.sources.fixtures import chunks_of
@@ -44,7 +44,12 @@ def append_stream(spark: SparkSession, corpus: str, path: str, checkpoint: str):
         new = session.read.parquet(f"{path}/arrived")
         chunks = chunks_of(new)
         put(chunks, "chunks", ["chunk_id"])
-        put(content.postings(chunks, stemmed), "postings", ["term", "chunk_id"])
+        # numbers are given once: what a first run of the batch wrote is read back
+        directory = session.read.parquet(f"{path}/{at["directory"]}")
+        put(early_stop.numbered(chunks, early_stop.next_number(directory)), "directory", ["chunk_id"])
+        post = content.postings(chunks, stemmed)
+        put(post, "postings", ["term", "chunk_id"])
+        put(early_stop.blocked(post, session.read.parquet(f"{path}/{at["directory"]}")), "blocks", ["term", "window"])
         put(new.select(*DOCUMENT), "documents", ids)
         index = open_index(session, path)
         put_table(session, path, "figures", content.corpus_figures(index["chunks"], stemmed))
