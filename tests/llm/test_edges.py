@@ -27,7 +27,8 @@ def _items(spark):
 
 
 KEEPING = {  # operators that give rows of documents back, and which ids stay
-    "near_dedup": (lambda spark, d: near_dedup.near_dedup(d), ["1", "2", "4", "4", "5"]),
+    # "tie tie tie" and "tie  tie tie" have equal sets of shingles, so they are near copies, and one row of the three stays
+    "near_dedup": (lambda spark, d: near_dedup.near_dedup(d), ["1", "2", "4", "5"]),
     "mixed": (lambda spark, d: mixing.mixed(d, percent=200), sorted([*(str(i) for i, *_ in ROWS), "1", "4", "4", "4", "5", "None"])),  # twice, but those without words
     "clean": (lambda spark, d: decontamination.clean(d, _items(spark)), ["2", "3", "4", "4", "4", "5", "6", "None"]),
     "shard": (lambda spark, d: sharding.shard(d, limit=1 << 16, keep=d.columns), sorted(str(i) for i, *_ in ROWS)),
