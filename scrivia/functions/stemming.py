@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 # Suffix tables of steps 2, 3 and 4.
 STEP2 = {
@@ -32,7 +32,7 @@ def _vowel(w: str) -> bool:
 
 
 def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1)
+    return len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeiou"  # y too, wherever it stands
 
 
 def _cvc(w: str) -> bool:
@@ -44,15 +44,19 @@ def _longest(w: str, table) -> str | None:
     return max((s for s in table if w.endswith(s)), key=len, default=None)
 
 
-def stem(w: str) -> str:
-    if len(w) < 3 or not w.isascii() or not w.isalpha():
-        return w
+def stem(word: str) -> str:
+    """Words of 3 to 64 bytes without their suffixes; whatever is no vowel of a-z counts as a consonant, byte by byte."""
+    data = word.encode()
+    return _stem(data.decode("latin-1")).encode("latin-1").decode() if 3 <= len(data) <= 64 else word
+
+
+def _stem(w: str) -> str:
     if w.endswith(("sses", "ies")):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
     cut = None
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         w = w[:-1] if _measure(w[:-3]) > 0 else w
     elif w.endswith("ed") and _vowel(w[:-2]):
         cut = w[:-2]
@@ -84,7 +88,7 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stems(tokens: pd.Series) -> pd.Series:
-    seen: dict[str, str] = {}
-    return tokens.map(lambda ts: None if ts is None else [seen.get(t) or seen.setdefault(t, stem(t)) for t in ts])
+@F.pandas_udf(StringType())
+def stem_of(words: pd.Series) -> pd.Series:
+    """Stems of words, for a vocabulary: once for each distinct word."""
+    return words.map(lambda w: None if w is None else stem(w))

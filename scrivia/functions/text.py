@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,29 @@ FRAGMENT_SHAPE = r"\b([A-Za-z0-9]{2,4})[\s._-]*(?:[Pp]0\d[\s._-]*)?(\d{2,4})\b"
 CITATION_SHAPE = r"\[([A-Z0-9][A-Za-z0-9-]*)\s+Rev\.?\s+([A-Z0-9.]+)"
 # Words that are no evidence in a catalog query.
 STOPWORDS = ("the", "a", "an", "of", "for", "and", "or", "to", "in", "with", "mx1", "system")
-# Letters with marks, and what the index folds them to.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# Combining marks that are part of a token and leave no trace in it.
+MARKS = "".join(map(chr, (
+    0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B,
+    0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331,
+)))
+
+
+def _folded() -> dict[str, str]:
+    """Latin letters that are a letter of a-z with one mark, the long s, and the micro sign as the Greek letter it is.
+
+    Letters with two marks keep both, as do letters that stand on another one than a-z.
+    """
+    out = {"ſ": "s", "ẛ": "s", "µ": "μ"}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) == 2 and apart[0] in ascii_lowercase:
+            out[c] = apart[0]
+    return out
+
+
+_FOLDED = _folded()
+#: ``translate(x, MARKED, PLAIN)`` folds letters with a mark and drops marks that stand for themselves.
+MARKED, PLAIN = "".join(_FOLDED) + MARKS, "".join(_FOLDED.values())
 
 
 def _c(x) -> Column:
@@ -75,8 +99,8 @@ def revision_key(rev) -> Column:
 
 
 def word_tokens(x) -> Column:
-    """Index tokens: runs of letters and digits, lower-cased, without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(_c(x)), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Index tokens: runs of letters, digits and private letters, lower-cased, without marks; a mark parts no run."""
+    return F.regexp_extract_all(F.translate(F.lower(_c(x)), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
 def query_terms(x) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivia.functions.stemming import stem_of
 from scrivia.functions.text import embed_text, word_tokens
 from scrivia.operators import vectors
 from scrivia.operators.catalog import default_revisions
@@ -15,15 +16,22 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 PER_DOC, EXCERPT = 2, 700
 
 
-def postings(chunks: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, dl: the chunk's tokens)."""
-    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("ts")).select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    rows = chunks.select("chunk_id", word_tokens("text").alias("ts")).select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     return rows.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
-def corpus_figures(chunks: DataFrame, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
-    """One row (total, avgdl): chunks and their mean tokens."""
-    return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
+def stemmed_postings(post: DataFrame) -> DataFrame:
+    """``post`` by stems: only the distinct vocabulary goes through the stemmer."""
+    vocabulary = post.select("term").distinct().select("term", stem_of("term").alias("stem"))
+    return post.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), "chunk_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "chunk_id", "tf", "dl")
+
+
+def corpus_figures(post: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row (total, avgdl): chunks, those without tokens too, and their mean tokens, from the postings' sums."""
+    tokens = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    return chunks.agg(F.count("*").alias("total")).crossJoin(tokens).select("total", (F.col("tokens") / F.when(F.col("total") > 0, F.col("total"))).alias("avgdl"))
 
 
 def bm25(post: DataFrame, figures: DataFrame, terms: list[str]) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.functions.text import word_tokens
 from scrivia.operators import catalog, content, early_stop, references, vectors
-from scrivia.plans.index import stemmed
 from scrivia.sources import fixtures as fx
 from scrivia.storage import changed, materialise
 
@@ -36,12 +34,14 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "directory": materialise(early_stop.numbered(chunks), "index-directory"),
         "refs": materialise(references.extract_refs(chunks, references.mention_shape(list(fx.TYPES))), "index-refs"),
     }
-    for name, tokens in (("", word_tokens), ("stem_", stemmed)):
+    plain = content.postings(chunks)
+    for name in ("", "stem_"):
         # a term filter reads few row groups
-        post = content.postings(chunks, tokens).repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+        post = plain if not name else content.stemmed_postings(out["postings"])
+        post = post.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
         out[f"{name}postings"] = materialise(post, "index-postings")
         out[f"{name}blocks"] = materialise(early_stop.blocked(out[f"{name}postings"], out["directory"]), "index-blocks")
-        out[f"{name}figures"] = materialise(content.corpus_figures(chunks, tokens), "index-figures")
+        out[f"{name}figures"] = materialise(content.corpus_figures(out[f"{name}postings"], chunks), "index-figures")
     return out
 
 

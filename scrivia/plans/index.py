@@ -8,11 +8,10 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.functions.stemming import stems
-from scrivia.functions.text import parse_filename, word_tokens
+from scrivia.functions.text import parse_filename
 from scrivia.operators import catalog, chunking, content, early_stop, references, vectors
 from scrivia.sources import docx
 from scrivia.sources.fixtures import DOCUMENT, chunks_of
@@ -22,11 +21,6 @@ TABLES = ("documents", "chunks", "refs", "directory", "postings", "blocks", "fig
 POINTER = "CURRENT"
 
 
-def stemmed(text: Column) -> Column:
-    """The index's tokens: words without marks, stemmed."""
-    return stems(word_tokens(text))
-
-
 def fold_files(parsed: DataFrame) -> DataFrame:
     """Files with parsed names as documents with their chunks, copies ranked after the first, unreadable files last."""
     files = docx.extract(parsed).withColumn("revision", F.coalesce("revision", F.lit(""))).withColumn("chunks", chunking.chunk_pack("blocks"))
@@ -41,11 +35,13 @@ def fold_files(parsed: DataFrame) -> DataFrame:
     return chunking.dedupe(files, F.col("error").isNotNull())
 
 
-def write_tables(documents: DataFrame, chunks: DataFrame, put: Callable, tokens=stemmed) -> None:
-    """What searching needs besides: postings by range of term, the corpus's figures, default revisions."""
+def write_tables(documents: DataFrame, chunks: DataFrame, put: Callable, get: Callable) -> None:
+    """What searching needs besides: stemmed postings by range of term, their blocks, the corpus's figures, default revisions."""
     # a term filter reads few row groups
-    put(content.postings(chunks, tokens).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
-    put(content.corpus_figures(chunks, tokens), "figures")
+    put(content.stemmed_postings(content.postings(chunks)).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
+    put(early_stop.numbered(chunks), "directory")
+    put(early_stop.blocked(get("postings"), get("directory")), "blocks")
+    put(content.corpus_figures(get("postings"), chunks), "figures")
     put(catalog.default_revisions(documents), "defaults")
 
 
@@ -75,9 +71,7 @@ def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
     # document types are a column of the catalog, and a mention's shape lists them
     types = [r[0] for r in documents.select("type_prefix").distinct().collect()]
     put(references.extract_refs(chunks, references.mention_shape(types)).dropDuplicates(["from_doc", "from_rev", "to_doc"]), "refs")
-    put(early_stop.numbered(chunks), "directory")
-    write_tables(documents, chunks, put)
-    put(early_stop.blocked(get("postings"), get("directory")), "blocks")
+    write_tables(documents, chunks, put, get)
     put(spark.createDataFrame([("corpus_dir", corpus), ("chunk_max_chars", str(chunking.MAX_CHUNK_CHARS))], "key string, value string"), "meta")
     replace_text(spark, f"{path}/{POINTER}", json.dumps({name: f"{version}/{name}" for name in TABLES}))
     delete(spark, f"{path}/{version}/staged")

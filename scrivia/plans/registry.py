@@ -424,9 +424,9 @@ _TOKENS = (
     fx.TABLES
     + fx.CHAINS
     + rf""",
-tok AS (SELECT chunk_id, unnest(regexp_extract_all(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[\p{{L}}\p{{N}}]+')) AS term FROM chunk),
+tok AS (SELECT chunk_id, unnest(regexp_extract_all(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[\p{{L}}\p{{N}}\p{{Co}}]+')) AS term FROM chunk),
 post AS (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT chunk_id, len(regexp_extract_all(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[\p{{L}}\p{{N}}]+')) AS dl FROM chunk)"""
+dl AS (SELECT chunk_id, len(regexp_extract_all(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[\p{{L}}\p{{N}}\p{{Co}}]+')) AS dl FROM chunk)"""
 )
 
 
@@ -536,7 +536,16 @@ def top2_per_doc(spark, sf):
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("doc_id", "chunk_id", "rank")
 
 
-@query()
+# The words whose stems the query asks for, as a vocabulary table.
+_STEMS = ("license licensed licenses licensing".split(), "licens")
+_STEMMED = _bm25(["licens", "the"]).replace(
+    "post AS (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL)",
+    f"""vocab AS (SELECT unnest({_STEMS[0]}) AS word, '{_STEMS[1]}' AS stem),
+post AS (SELECT coalesce(stem, term) AS term, chunk_id, count(*) AS tf FROM tok LEFT JOIN vocab ON word = term GROUP BY ALL)""",
+)
+
+
+@query(_with(_STEMMED, _found("")))
 def content_keyword_porter(spark, sf):
     return _keyword(spark, sf, [stem("licensed"), stem("the")], "stem_")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scrivia.functions.text import parse_filename
 from scrivia.operators import catalog, content, early_stop
-from scrivia.plans.index import DOCUMENT, fold_files, open_index, pointer, put_table, stemmed
+from scrivia.plans.index import DOCUMENT, fold_files, open_index, pointer, put_table
 from scrivia.sources import docx
 from scrivia.sources.fixtures import chunks_of
 
@@ -47,12 +47,12 @@ def append_stream(spark: SparkSession, corpus: str, path: str, checkpoint: str):
         # numbers are given once: what a first run of the batch wrote is read back
         directory = session.read.parquet(f"{path}/{at["directory"]}")
         put(early_stop.numbered(chunks, early_stop.next_number(directory)), "directory", ["chunk_id"])
-        post = content.postings(chunks, stemmed)
+        post = content.stemmed_postings(content.postings(chunks))
         put(post, "postings", ["term", "chunk_id"])
         put(early_stop.blocked(post, session.read.parquet(f"{path}/{at["directory"]}")), "blocks", ["term", "window"])
         put(new.select(*DOCUMENT), "documents", ids)
         index = open_index(session, path)
-        put_table(session, path, "figures", content.corpus_figures(index["chunks"], stemmed))
+        put_table(session, path, "figures", content.corpus_figures(index["postings"], index["chunks"]))
         put_table(session, path, "defaults", catalog.default_revisions(index["documents"]))
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

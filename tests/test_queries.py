@@ -20,7 +20,7 @@ def test_query(spark, name):
 
 
 def test_queries_without_sql_are_tested_here():
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"content_keyword_porter", "extract_sections_html"}
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"extract_sections_html"}
 
 
 def test_porter_search_against_fts5(spark):
