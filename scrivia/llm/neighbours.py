@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivia.llm.common import materialise, quoted, release, table
+from scrivia.operators.vectors import sound_vectors
 
 PROJECTIONS, WINDOW, REACH, SEED = 96, 1.36, 0.97, 7
 #: Rows a segment holds on average (ranks are 16 bits wide) and a block of queries at most; segments a wave has for each one before it.
@@ -86,13 +87,9 @@ class Index(NamedTuple):
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(row, vec_id, vec: array of double, norm) of the vectors that take part; a written table."""
     rows = vectors.select(F.col(quoted(vec_id)).cast("long").alias("vec_id"), F.col(quoted(embedding)).cast("array<double>").alias("vec"))
-    # -0.0 and 0.0 are one value; NaN is above all numbers, null compares to null
-    rows = rows.withColumn("vec", F.transform("vec", lambda c: c + F.lit(0.0))).where(F.size("vec") > 0)
-    rows = rows.where(F.forall("vec", lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))))
-    # by the largest entry, so that squares neither overflow nor vanish
-    rows = rows.withColumn("most", F.array_max(F.transform("vec", lambda c: F.abs(c)))).where("most > 0")
-    squares = F.aggregate(F.transform("vec", lambda c: (c / F.col("most")) * (c / F.col("most"))), F.lit(0.0), lambda a, b: a + b)
-    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec", (F.col("most") * F.sqrt(squares)).alias("norm")), "ann-rows")
+    # -0.0 and 0.0 are one value
+    rows = sound_vectors(rows.withColumn("vec", F.transform("vec", lambda c: c + F.lit(0.0))))
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec", "norm"), "ann-rows")
 
 
 def _least(k: int) -> Column:
