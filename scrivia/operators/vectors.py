@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -44,13 +44,40 @@ class VectorIndex(NamedTuple):
     blocks: DataFrame  # (block, part, pivot, inner, low, high, ids, groups, data)
 
 
-def unit(v: Column) -> Column:
-    """A vector at length one; null where it has no direction."""
-    sound = F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
-    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    scaled = F.transform(v, lambda x: x.cast("double") / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(sound & (most > 0), F.transform(scaled, lambda x: x / norm))
+def sound_vectors(rows: DataFrame, vec: str = "vec") -> DataFrame:
+    """The ``rows`` whose ``vec`` (array of double) has a direction, with ``norm`` and ``vec`` as it was."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(b.schema.names.index(vec))
+            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths[lengths > 0]):
+                part = b.take(pa.array(np.flatnonzero(lengths == length)))
+                m = _matrix(part.column(b.schema.names.index(vec)))  # null entries are NaN
+                most = np.abs(m).max(axis=1)
+                ok = np.flatnonzero(np.isfinite(most) & (most > 0))
+                # by the largest entry, so that squares neither overflow nor vanish
+                norm = most[ok] * np.sqrt(np.square(m[ok] / most[ok, None]).sum(axis=1))
+                part = part.take(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(norm, pa.float64())], [*b.schema.names, "norm"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("norm", DoubleType())]))
+
+
+def unit(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``vec`` at length one, without those that have no direction."""
+    sound = sound_vectors(rows.withColumn("vec", F.col("vec").cast("array<double>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vec, norm = b.column(b.schema.names.index("vec")), b.column(b.schema.names.index("norm")).to_numpy()
+            flat = vec.flatten().to_numpy() / np.repeat(norm, vec.value_lengths().to_numpy())
+            ends = np.concatenate([[0], np.cumsum(vec.value_lengths().to_numpy())])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([lists if name == "vec" else c for name, c in zip(b.schema.names, b.columns)], b.schema.names).drop_columns(["norm"])
+
+    fields = [f for f in sound.schema.fields if f.name != "norm"]
+    return sound.mapInArrow(run, StructType(fields))
 
 
 def fit_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
@@ -89,8 +116,7 @@ def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 def build(vectors: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> VectorIndex:
     """Index ``vectors`` (id, embedding and, where wanted, group and part: blocks hold one part)."""
     extra = [c if c in vectors.columns else F.lit(None).cast("string").alias(c) for c in ("group", "part")]
-    rows = vectors.select("id", *extra, unit(F.col("embedding")).alias("vec")).where(F.col("vec").isNotNull())
-    whole = materialise(rows, "vectors-unit")
+    whole = materialise(unit(vectors.select("id", *extra, F.col("embedding").alias("vec"))), "vectors-unit")
     lengths = whole.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     dim = lengths[0]["dim"] if lengths else 0
     rows = whole.where(F.size("vec") == dim)
@@ -250,7 +276,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, cap: int | None = Non
     ddl = f"q long, id {kinds['ids'].simpleString()}, `group` {kinds['groups'].simpleString()}, score double"
     if not len(index.pivots):
         return ranked(spark.createDataFrame([], ddl), k, cap)
-    asked = queries.select("q", unit(F.col("embedding")).alias("vec")).where(F.size("vec") == index.pivots.shape[1])
+    asked = unit(queries.select("q", F.col("embedding").alias("vec"))).where(F.size("vec") == index.pivots.shape[1])
     asked = materialise(_placed(asked, index.pivots), "vectors-asked")
     meta = blocks.select("block", "pivot", "low", "high", "inner")
     run = _multiplied(index, k, cap, to_arrow_type(kinds["ids"]), to_arrow_type(kinds["groups"]))

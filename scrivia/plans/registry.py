@@ -406,6 +406,43 @@ def catalog_search(spark, sf):
     return _flat(found.withColumn("s", F.round("score", 6)), F.col("s").alias("score"), "match_score")
 
 
+_TURNS = (
+    _CHAINS
+    + rf""",
+turns AS (SELECT conv_id, turn, text AS query FROM conversations WHERE conv_id % 100 = 0 AND role = 'user'),
+asked AS (SELECT conv_id, turn, unnest(list_filter(regexp_extract_all(lower(query), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({_STOP}))) AS q FROM turns),
+texts AS (SELECT DISTINCT doc_id AS k, title AS text FROM docs UNION ALL SELECT 'type:' || t.k, t.v FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in catalog.TYPE_NAMES.items())}) t(k, v)),
+toks AS (SELECT DISTINCT k, text, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS t FROM texts),
+vocab AS (SELECT * FROM (SELECT q, t, {_lcs('q', 't')} AS r FROM (SELECT DISTINCT t FROM toks), (SELECT DISTINCT q FROM asked)) WHERE r >= 55),
+best AS (SELECT k, text, q, max(r) AS r FROM toks JOIN vocab USING (t) GROUP BY ALL),
+won AS (SELECT conv_id, turn, k, text, sum(length(q) * r) AS won FROM asked JOIN best USING (q) GROUP BY ALL),
+total AS (SELECT conv_id, turn, sum(length(q)) AS total FROM asked GROUP BY ALL),
+ratios AS (SELECT conv_id, turn, k, max(won / total) AS score FROM won JOIN total USING (conv_id, turn) GROUP BY ALL),
+every AS (SELECT conv_id, turn, doc_id, score FROM ratios JOIN chains ON doc_id = k
+  UNION ALL SELECT conv_id, turn, doc_id, least(score, 88.0) FROM ratios JOIN chains ON 'type:' || type = k
+  UNION ALL SELECT conv_id, turn, doc_id, 100.0 FROM turns JOIN chains ON regexp_replace(upper(query), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(doc_id), '[^A-Z0-9]', '', 'g'))"""
+)
+
+
+@query(
+    _with(
+        _TURNS,
+        """SELECT conv_id, turn, rank, doc_id, round(score, 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank
+  FROM (SELECT conv_id, turn, doc_id, max(score) AS score FROM every GROUP BY ALL)) WHERE rank <= 10""",
+    )
+)
+def catalog_batch(spark, sf):
+    """The ten documents nearest to each of the user's turns of conversations whose id is divisible by 100, asked together."""
+    i = index_of(spark, sf)
+    turns = fx.read(spark, sf, "conversations").where("conv_id % 100 = 0 AND role = 'user'")
+    asked = materialise(turns.select(F.monotonically_increasing_id().alias("q"), "conv_id", "turn", F.col("text").alias("query")), "asked")
+    found = catalog.matches(catalog.chains(i["documents"]), asked.select("q", "query"), i["titles"])
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= 10)
+    return best.join(asked.select("q", "conv_id", "turn"), "q").select("conv_id", "turn", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(_with(_scores("quixotic zebra summary"), "SELECT doc_id, title, round(score, 6) AS score FROM cs ORDER BY cs.score DESC, doc_id LIMIT 3"))
 def closest_matches(spark, sf):
     return catalog.closest_matches(_tables(spark, sf)[0], "quixotic zebra summary").withColumn("score", F.round("score", 6))
