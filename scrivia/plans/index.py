@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import time
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,12 +11,10 @@ from pyspark.sql import functions as F
 
 from scrivia.functions.text import parse_filename
 from scrivia.operators import catalog, chunking, content, early_stop, references, vectors
+from scrivia.plans import log
 from scrivia.sources import docx
 from scrivia.sources.fixtures import DOCUMENT, chunks_of
-from scrivia.storage import delete, materialise, read_text, release, replace_text
-
-TABLES = ("documents", "chunks", "refs", "directory", "postings", "blocks", "figures", "defaults", "files", "meta")
-POINTER = "CURRENT"
+from scrivia.storage import materialise, release
 
 
 def fold_files(parsed: DataFrame) -> DataFrame:
@@ -48,7 +44,7 @@ def write_tables(documents: DataFrame, chunks: DataFrame, put: Callable, get: Ca
 def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
     """Ingest a folder of Word files; any unparsable file name aborts.
 
-    Tables go to a folder of their own, and the pointer in ``path`` moves to it when all are there:
+    Tables go to folders of their own, and one commit names them when all are there:
     readers see the old index or the new one, and a failed build leaves the old.
     """
     began = time.time()
@@ -56,11 +52,10 @@ def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
     bad = [repr(r[0]) for r in parsed.where("doc_id IS NULL").select("filename").orderBy("filename").toLocalIterator()]
     if bad:
         raise ValueError(f"{len(bad)} file names do not start with a document ID: " + ", ".join(bad))
-    version = f"v-{uuid.uuid4().hex}"
-    put = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{version}/{name}")
-    get = lambda name: spark.read.parquet(f"{path}/{version}/{name}")
-    put(fold_files(parsed), "staged")  # the folds run once; all tables derive from it
-    staged = get("staged")
+    at: dict[str, str] = {}
+    put = lambda df, name: at.__setitem__(name, log.written(path, name, df))
+    get = lambda name: spark.read.parquet(f"{path}/{at[name]}")
+    staged = materialise(fold_files(parsed), "staged")  # the folds run once; all tables derive from it
     kept = staged.where("rank = 1 and error is null")
     put(kept.select(*DOCUMENT), "documents")
     put(chunks_of(kept).sortWithinPartitions("doc_id", "revision", "position"), "chunks")
@@ -73,9 +68,16 @@ def build_index(spark: SparkSession, corpus: str, path: str) -> dict:
     put(references.extract_refs(chunks, references.mention_shape(types)).dropDuplicates(["from_doc", "from_rev", "to_doc"]), "refs")
     write_tables(documents, chunks, put, get)
     put(spark.createDataFrame([("corpus_dir", corpus), ("chunk_max_chars", str(chunking.MAX_CHUNK_CHARS))], "key string, value string"), "meta")
-    replace_text(spark, f"{path}/{POINTER}", json.dumps({name: f"{version}/{name}" for name in TABLES}))
-    delete(spark, f"{path}/{version}/staged")
-    return {**ingest_report(*[get(n) for n in ("files", "documents", "chunks", "refs")]).first().asDict(), "seconds": round(time.time() - began, 1)}
+    stats = ingest_report(*[get(n) for n in ("files", "documents", "chunks", "refs")]).first().asDict()
+    # whatever the index held, vectors too, is of other chunks
+    log.commit(spark, path, lambda seen: log.Change(anew={**at, **_emptied(spark, path, seen, at)}))
+    release(staged)
+    return {**stats, "seconds": round(time.time() - began, 1)}
+
+
+def _emptied(spark: SparkSession, path: str, seen: log.State | None, made: dict) -> dict[str, DataFrame]:
+    held = log.opened(spark, path, {n: at for n, at in seen.tables.items() if n not in made}) if seen else {}
+    return {name: df.limit(0) for name, df in held.items()}
 
 
 def ingest_report(files: DataFrame, documents: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -90,48 +92,46 @@ def ingest_report(files: DataFrame, documents: DataFrame, chunks: DataFrame, ref
     return reduce(DataFrame.crossJoin, parts)  # one row each
 
 
-def pointer(spark: SparkSession, path: str) -> dict[str, str]:
-    text = read_text(spark, f"{path}/{POINTER}")
-    if text is None:
+def current(spark: SparkSession, path: str) -> log.State:
+    found = log.state(spark, path)
+    if found is None:
         raise FileNotFoundError(f"search index not found at {path}: run build_index first")
-    return json.loads(text)
-
-
-def put_table(spark: SparkSession, path: str, name: str, df: DataFrame) -> None:
-    """Write one table anew and point to it."""
-    put_tables(spark, path, {name: df})
-
-
-def put_tables(spark: SparkSession, path: str, frames: dict[str, DataFrame]) -> None:
-    """Write tables anew and point to all of them at once."""
-    at = {name: f"{name}-{uuid.uuid4().hex}" for name in frames}
-    for name, df in frames.items():
-        df.write.option("compression", "zstd").parquet(f"{path}/{at[name]}")
-    replace_text(spark, f"{path}/{POINTER}", json.dumps({**pointer(spark, path), **at}))
+    return found
 
 
 def set_meta(spark: SparkSession, path: str, key: str, value: str) -> None:
     """Insert or replace one entry of the key-value table."""
-    old = open_index(spark, path)["meta"].where(F.col("key") != key)
-    put_table(spark, path, "meta", old.unionAll(spark.createDataFrame([(key, value)], old.schema)).coalesce(1))
+
+    def change(seen: log.State) -> log.Change:
+        old = log.opened(spark, path, seen.tables)["meta"].where(F.col("key") != key)
+        return log.Change(anew={"meta": old.unionAll(spark.createDataFrame([(key, value)], old.schema)).coalesce(1)})
+
+    current(spark, path)
+    log.commit(spark, path, change)
 
 
 def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The index's tables by name; ``embeddings`` and their blocks where there are any."""
-    return {name: spark.read.parquet(f"{path}/{at}") for name, at in pointer(spark, path).items()}
+    """The index's tables by name, as of the last commit; ``embeddings`` and their blocks where there are any."""
+    return log.opened(spark, path, current(spark, path).tables)
 
 
 def backfill_embeddings(spark: SparkSession, path: str, embed: Callable, model: str, batch: int = 128) -> int:
     """Embed and store the chunks without a vector, record the model, and return how many there were."""
-    index = open_index(spark, path)
-    stored = {r["key"]: r["value"] for r in index["meta"].collect()}.get("embed_model")  # a few entries
-    held = index.get("embeddings")
-    known = spark.createDataFrame([], "chunk_id string, embedding array<double>") if held is None else held
-    new = materialise(content.build_embeddings(index["chunks"], index["documents"], known, embed, model, stored, batch), "embeddings")
-    n = new.count()
-    every = known.unionByName(new)
-    pivots, blocks = vectors.saved(vectors.build(every.select(F.col("chunk_id").alias("id"), "embedding")), spark)
-    put_tables(spark, path, {"embeddings": every, "vector_pivots": pivots, "vector_blocks": blocks})
-    set_meta(spark, path, "embed_model", model)
-    release(new)
-    return n
+    current(spark, path)
+    filled = 0
+
+    def change(seen: log.State) -> log.Change:
+        nonlocal filled
+        index = log.opened(spark, path, seen.tables)
+        meta = {r["key"]: r["value"] for r in index["meta"].collect()}  # a few entries
+        held = index.get("embeddings")
+        known = spark.createDataFrame([], "chunk_id string, embedding array<double>") if held is None else held
+        stored = None if known.isEmpty() else meta.get("embed_model")
+        new = materialise(content.build_embeddings(index["chunks"], index["documents"], known, embed, model, stored, batch), "embeddings")
+        filled = new.count()
+        pivots, blocks = vectors.saved(vectors.build(known.unionByName(new).select(F.col("chunk_id").alias("id"), "embedding")), spark)
+        told = index["meta"].where("key <> 'embed_model'").unionAll(spark.createDataFrame([("embed_model", model)], index["meta"].schema)).coalesce(1)
+        return log.Change(anew={"vector_pivots": pivots, "vector_blocks": blocks, "meta": told}, more={"embeddings": new}, reads=("embeddings", "chunks"))
+
+    log.commit(spark, path, change)
+    return filled

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -101,15 +102,31 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside and move it over ``path``: readers see the old or the new one."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly in a folder, none where it is not there."""
     fs, at = _at(spark, path)
-    _, beside = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file if nothing is there under its name; of several writers one has True.
+
+    It is written whole beside and renamed without overwriting, so nobody reads half of it.
+    """
+    fs, at = _at(spark, path)
+    _, beside = _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(beside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
     jvm = spark._jvm
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "OVERWRITE")
+    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(beside), fs.makeQualified(at), options)
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(at), options)
+        return True
+    except Py4JJavaError as e:
+        fs.delete(beside, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName() or fs.exists(at):
+            return False
+        raise
