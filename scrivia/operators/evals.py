@@ -43,6 +43,26 @@ def must_cite(cited: Column, wanted: list[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), cited)) == 0
 
 
+def problems(answers: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """What is wrong with each of ``answers`` (keys, answer, contains, require_citations, must_cite), one row an answer.
+
+    missing: needles that are not there, whatever their case; no_citations: some are asked for and there are
+    none; uncited: documents that should be cited and are not; invalid: citations of no document and revision.
+    Expectations that are null ask for nothing, and a null answer is empty; the keys name an answer and are not null.
+    """
+    answers = answers.withColumn("answer", F.coalesce("answer", F.lit("")))
+    cited = F.regexp_extract_all("answer", F.lit(CITATION_SHAPE), F.lit(1))
+    known = documents.select(F.col("doc_id").alias("doc"), F.col("revision").alias("rev")).distinct()
+    bad = citations(answers, "answer").select(*keys, "doc", "rev").join(known, ["doc", "rev"], "left_anti").groupBy(*keys).agg(F.count("*").alias("bad"))
+    count = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0)).cast("long")
+    return answers.join(bad, keys, "left").select(
+        *keys,
+        count(F.filter("contains", lambda n: ~F.contains(F.lower("answer"), F.lower(n)))).alias("missing"),
+        (F.coalesce("require_citations", F.lit(False)) & (F.size(cited) == 0)).alias("no_citations"),
+        count(F.array_except("must_cite", cited)).alias("uncited"), F.coalesce("bad", F.lit(0)).cast("long").alias("invalid"),
+    )
+
+
 def recall_at(found: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """(query, recall): share of each query's expected doc_ids among its first ``k`` (rank from 1)."""
     top = found.where(F.col("rank") <= k).select("query", "doc_id").distinct().withColumn("__h", F.lit(1))

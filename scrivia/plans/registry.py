@@ -717,6 +717,28 @@ def metric_means(spark, sf):
     return evals.metric_means(obs).withColumn("mean", F.round("mean", 6))
 
 
+@query(
+    _with(
+        fx.TABLES
+        + r""",
+asked AS (SELECT conv_id, turn, text || CASE WHEN conv_id % 4 = 0 THEN '' WHEN conv_id % 4 = 1 THEN ' [BOM-P01-010 Rev A]' ELSE ' [ECR-P01-013 Rev Z] [X-9 Rev. B]' END AS answer, conv_id % 2 = 0 AS must FROM conversations WHERE role = 'assistant'),
+cites AS (SELECT conv_id, turn, unnest(regexp_extract_all(answer, '\[([A-Z0-9][A-Za-z0-9-]*)\s+Rev\.?\s+([A-Z0-9.]+)', 1)) AS doc,
+  unnest(regexp_extract_all(answer, '\[([A-Z0-9][A-Za-z0-9-]*)\s+Rev\.?\s+([A-Z0-9.]+)', 2)) AS rev FROM asked),
+wrong AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM docs WHERE doc_id = doc AND revision = rev)) AS bad,
+  bool_or(doc = 'BOM-P01-010') AS bom FROM cites GROUP BY ALL)""",
+        """SELECT conv_id, turn, CAST((NOT contains(lower(answer), 'the'))::INT + (NOT contains(lower(answer), 'of'))::INT AS BIGINT) AS missing,
+  must AND n IS NULL AS no_citations, CASE WHEN coalesce(bom, false) THEN 0::BIGINT ELSE 1::BIGINT END AS uncited, coalesce(bad, 0)::BIGINT AS invalid
+FROM asked LEFT JOIN wrong USING (conv_id, turn)""",
+    )
+)
+def answer_problems(spark, sf):
+    more = "case conv_id % 4 when 0 then '' when 1 then ' [BOM-P01-010 Rev A]' else ' [ECR-P01-013 Rev Z] [X-9 Rev. B]' end"
+    answers = fx.read(spark, sf, "conversations").where("role = 'assistant'").selectExpr(
+        "conv_id", "turn", f"concat(text, {more}) AS answer", "array('THE', 'of') AS contains", "conv_id % 2 = 0 AS require_citations", "array('BOM-P01-010') AS must_cite"
+    )
+    return evals.problems(answers, _tables(spark, sf)[0], ["conv_id", "turn"])
+
+
 @query(
     """SELECT conv_id, turn, contains(lower(text), 'the') AND contains(lower(text), 'of') AS answer_contains FROM conversations WHERE role = 'assistant'"""
 )

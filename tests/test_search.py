@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scrivia.functions import text as T
 from scrivia.functions.stemming import stem
-from scrivia.operators import catalog, content, early_stop, vectors
+from scrivia.operators import catalog, content, early_stop, evals, vectors
 from scrivia.plans.built import index_of
 from scrivia.storage import materialise
 
@@ -205,3 +205,14 @@ def test_stems_of_any_word_against_fts5():
     c.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
     want = {words[doc]: term for term, doc in c.execute("SELECT term, doc FROM v")}
     assert {w: stem(w) for w in words} == want
+
+
+def test_problems_of_answers(spark):
+    rows = [
+        (1, "All of it [A-1 Rev A]", ["ALL", "none"], True, ["A-1", "B-2"]), (2, "no source", None, True, None), (3, "no source", [], False, []),
+        (4, "[A-1 Rev Z] and [A-1 Rev A]", None, None, None), (5, None, ["x"], True, ["A-1"]),
+    ]
+    answers = spark.createDataFrame(rows, "id long, answer string, contains array<string>, require_citations boolean, must_cite array<string>")
+    documents = spark.createDataFrame([("A-1", "A")], "doc_id string, revision string")
+    got = {r.id: (r.missing, r.no_citations, r.uncited, r.invalid) for r in evals.problems(answers, documents, ["id"]).collect()}
+    assert got == {1: (1, False, 1, 0), 2: (0, True, 0, 0), 3: (0, False, 0, 0), 4: (0, False, 0, 1), 5: (1, True, 1, 0)}
