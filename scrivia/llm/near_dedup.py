@@ -15,11 +15,14 @@ and is folded if it is similar, round by round while that folds many.
 Then all texts, folded ones too, are paired by prefix filtering: with shingles in one
 order for all, two similar sets share one of their first n - ceil(0.8 n) + 1.  Any order
 loses no pair; shingles that a sample of the texts finds common come last, so few texts
-meet.  Texts of one group already need no comparing: at each shingle the group with most
+meet.  A pair's first shared shingle is even among the first n - ceil(8/9 n) + 1 of the
+shorter set, so only those are joined with the longer set's longer prefix: form letters
+of one shape that differ just too much share none there.  Where many still meet, lengths
+are joined in classes, and a set asks only those that what is left at the shingle allows.
+Texts of one group already need no comparing: at each shingle the group with most
 texts there is compared with all the rest.  Where that would cost more, at shingles of more
 than ``FAMILY`` texts each is compared first with ``HEADS`` of the least edited ones, round by
-round while that links many.  So work follows the size of a family, not its square.  All
-that is compared is verified on the whole sets, but for pairs whose parities already differ
+round while that links many.  All that is compared is verified on the whole sets, but for pairs whose parities already differ
 in more bits than sets of that similarity do in shingles.
 
 Edge cases: null, empty and blank texts are one text; equal texts are folded before the
@@ -49,6 +52,8 @@ TABLES, WIDTH, SIMILARITY, FAMILY, HEADS = 4, 5, 0.8, 16, 16
 SAMPLE, SLOTS = 8, 1 << 22
 #: Pairs a task verifies on average.
 PART_PAIRS = 1_000
+#: Classes of lengths for each doubling of the length.
+CLASSES = 32
 #: Longs of a text's bitmap; its shingles set one bit each.
 MARKS = 8
 _MARKS = [f"m{i}" for i in range(MARKS)]
@@ -236,13 +241,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: fl
     return near
 
 
-def _shared(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, n, left, m0, m1, ...) of the first shingles that texts of several groups share."""
+def _asks(similarity: float, of: str = ""):
+    """Whether a set as short as its partner, or shorter, may share this shingle first."""
+    return F.col(f"{of}left") >= F.col(f"{of}n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9
+
+
+def _shared(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, left, m0, m1, ...) of the first shingles that texts of several groups share, one of them as the shorter."""
     teams = materialise(_teamed(texts.withColumnRenamed("text_hash", "node"), roots), "near-teams")
     # left: how many shingles, this one included, are not yet passed
     first = teams.select("node", "team", "n", *_MARKS, F.posexplode("p").alias("i", "key"))
     first = first.select("key", "node", "team", "n", (F.col("n") - F.col("i")).alias("left"), *_MARKS)
-    mixed = first.groupBy("key").agg(F.min("team").alias("lo"), F.max("team").alias("hi")).where("lo <> hi").select("key")
+    held = first.groupBy("key").agg(F.min("team").alias("lo"), F.max("team").alias("hi"), F.max(_asks(similarity)).alias("asks"))
+    mixed = held.where("lo <> hi and asks").select("key")
     met = _meeting(first.drop("team"), mixed, "near-shared")
     release(teams)
     return met
@@ -293,19 +304,43 @@ def _starred(met: DataFrame, similarity: float, turn: int) -> DataFrame:
     return pairs
 
 
-def _most(met: DataFrame) -> DataFrame:
-    """(key, most: the group with most texts there, m: of how many, n: of how many in all)."""
-    each = met.groupBy("key", "team").agg(F.count("*").alias("m"))
-    most = each.groupBy("key").agg(F.max(F.struct("m", "team")).alias("x"), F.sum("m").alias("n"))
-    return materialise(most.select("key", F.col("x.team").alias("most"), F.col("x.m").alias("m"), "n"), "near-most")
+#: Pairs that meet at a key of ``_most``.
+_PAIRS = "((asks - i) * n + i * (n - m))"
+
+
+def _most(met: DataFrame, similarity: float) -> DataFrame:
+    """(key, most: the group with most texts there, m: of how many, i: of how many that ask, n, asks: of how many in all)."""
+    each = met.groupBy("key", "team").agg(F.count("*").alias("m"), F.count_if(_asks(similarity)).alias("i"))
+    most = each.groupBy("key").agg(F.max(F.struct("m", "team", "i")).alias("x"), F.sum("m").alias("n"), F.sum("i").alias("asks"))
+    return materialise(most.select("key", F.col("x.team").alias("most"), F.col("x.m").alias("m"), F.col("x.i").alias("i"), "n", "asks"), "near-most")
+
+
+def _class(n):
+    return F.floor(F.log2(n) * CLASSES).cast("int")
+
+
+def _questions(teamed: DataFrame, most: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(key, rest, size, a, ta, xa) asked of (key, rest, size, b, tb, xb): the shorter sets of the longer, of other groups.
+
+    ``rest``: whether the longer is not of the key's largest group, which asks only such.
+    ``size``: the class of the longer's length, from the shorter's own up to what its shingles left can reach; 0 where few pairs meet.
+    """
+    left = most.where("m < n").select("key", "most", F.expr(f"{_PAIRS} > n * {HEADS}").alias("many")).hint("merge")
+    a, b = _sides(teamed)
+    a, b = a.join(left, "key"), b.join(left, "key")
+    n, reach = F.col("xa.n"), F.col("xa.left") * F.lit((1 + similarity) / similarity) - F.col("xa.n") + 1e-6
+    sizes = F.when(F.col("many"), F.sequence(_class(n), F.greatest(_class(n), _class(reach)))).otherwise(F.array(F.lit(0)))
+    rests = F.when(F.col("ta") == F.col("most"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    asking = a.where(_asks(similarity, "xa.")).withColumn("size", F.explode(sizes)).withColumn("rest", F.explode(rests))
+    asked = b.withColumn("size", F.when(F.col("many"), _class(F.col("xb.n"))).otherwise(0)).withColumn("rest", F.col("tb") != F.col("most"))
+    return asking.drop("most", "many"), asked.drop("most", "many")
 
 
-def _across(met: DataFrame, most: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts of different groups that share one of their first shingles."""
-    left = most.where("m < n").select("key", "most").hint("merge")
-    a, b = _sides(met.join(left, "key"), "most")
-    pairs = _ordered(a.where("ta <> most").join(b, "key").where("ta <> tb and (tb = most or a < b)").where(_enough(similarity)))
-    return materialise(pairs, "near-pairs")
+def _across(teamed: DataFrame, most: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts of different groups that may be similar by their first shared shingle."""
+    asking, asked = _questions(teamed, most, similarity)
+    pairs = asking.join(asked, ["key", "rest", "size"]).where("ta <> tb and xa.n <= xb.n").where(_enough(similarity))
+    return materialise(_ordered(pairs), "near-pairs")
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -338,13 +373,13 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = T
             break
     release(active)
     roots = components(edges(), "near-cc")
-    met = _shared(rows.groupBy("text_hash").agg(*[F.min(c).alias(c) for c in ("n", "p", *_MARKS)]), roots)
+    met = _shared(rows.groupBy("text_hash").agg(*[F.min(c).alias(c) for c in ("n", "p", *_MARKS)]), roots, similarity)
     turn, linked = 0, True
     while True:
         teamed = materialise(_teamed(met, roots), "near-teamed")
-        most = _most(teamed)
+        most = _most(teamed, similarity)
         # stars cost ``HEADS`` comparisons a text and shingle: they are tried where all pairs cost more, as long as they link
-        pairs, shared = most.agg(F.sum(F.expr("(n - m) * n")), F.sum("n")).first()
+        pairs, shared = most.agg(F.sum(F.expr(_PAIRS)), F.sum("n")).first()
         last = not linked or (pairs or 0) <= HEADS * (shared or 0)
         pairs = _across(teamed, most, similarity) if last else _starred(teamed, similarity, turn)
         found = _verified(pairs, docs, rows, similarity)

@@ -349,6 +349,45 @@ def test_near_copies_come_from_ball_hashing(spark, monkeypatch):
     assert {(r.root, r.node) for r in roots.collect()} >= want
 
 
+def _asked(monkeypatch):
+    """How many texts and pairs meet at the keys of the last step, each time it is run."""
+    out = []
+
+    def counted(*args, do=near_dedup._questions):
+        asking, asked = do(*args)
+        out.append((asking.count() + asked.count(), asking.join(asked, ["key", "rest", "size"]).count()))
+        return asking, asked
+
+    monkeypatch.setattr(near_dedup, "_questions", counted)
+    return out
+
+
+@pytest.mark.parametrize("n", [5_000, 20_000])
+def test_form_letters_do_not_meet(spark, monkeypatch, n):
+    """Letters of one shape with one own word: 25 of 35 shingles are common, below the threshold."""
+    asked = _asked(monkeypatch)
+    shape = [f"w{j}" for j in range(34)]
+    texts = [" ".join([*shape[:17], f"own{i}", *shape[18:]]) for i in range(n)]
+    _, roots = near_dedup.near_groups(_rows_of(spark, texts))
+    assert roots.isEmpty() and len(asked) == 1 and asked[0][0] <= 8 * n and asked[0][1] <= n
+
+
+def test_letters_of_two_lengths_meet_by_length(spark, monkeypatch):
+    """Letters with few own words are one group; those with many are at the same shingles, but too long for them."""
+    asked = _asked(monkeypatch)
+    shape = [f"w{j}" for j in range(40)]
+    own = [3 if i % 2 else 8 for i in range(400)]
+    own += [6, 6, 5]  # those of 6 own words are near to those of 3, but not to each other
+    texts = [" ".join([*(f"own{i}-{j}" for j in range(k)), *shape]) for i, k in enumerate(own)]
+    sets = [set(simhash.shingle_hashes(t.encode(), near_dedup.WIDTH).tolist()) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    _, roots = near_dedup.near_groups(_rows_of(spark, texts))
+    got = {r.node for r in roots.collect()} | {r.root for r in roots.collect()}
+    assert got == {i for i, a in enumerate(sets) if any(near(a, b) for j, b in enumerate(sets) if j != i)}
+    assert len({r.root for r in roots.collect()}) == 1
+    assert asked[-1][1] < 20 * len(texts)
+
+
 def test_rows_without_a_shared_key_stay_in_their_task(spark, monkeypatch):
     """Only what may share a shingle is shuffled: the filter of the keys comes before their join."""
     plans = []
