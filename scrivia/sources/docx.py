@@ -34,16 +34,24 @@ def _styles(z: zipfile.ZipFile) -> dict[str, str]:
     return {k: n.get(f"{_W}val", "") for k, n in names if k and n is not None}
 
 
-def _text(node) -> str:
+def _run(run) -> str:
     out = []
-    for e in node.iter():
+    for e in run:
         if e.tag == f"{_W}t":
             out.append(e.text or "")
-        elif e.tag in (f"{_W}tab", f"{_W}br", f"{_W}cr"):
+        elif e.tag == f"{_W}noBreakHyphen":
+            out.append("-")
+        elif e.tag in (f"{_W}tab", f"{_W}ptab", f"{_W}cr") or e.tag == f"{_W}br" and e.get(f"{_W}type", "textWrapping") == "textWrapping":
             out.append(" ")
     return "".join(out)
 
 
+def _text(p) -> str:
+    """The text of a paragraph's own runs and links; drawings, text boxes and alternatives inside a run have none."""
+    own = (r for e in p for r in (e if e.tag == f"{_W}hyperlink" else (e,)))
+    return "".join(_run(r) for r in own if r.tag == f"{_W}r")
+
+
 def _rows(table) -> list[list[str]]:
     """A table's cell texts; a cell merged over columns or rows is repeated in all of them, tables inside cells are left out."""
     out: list[list[str]] = []
@@ -60,20 +68,35 @@ def _rows(table) -> list[list[str]]:
     return out
 
 
-def read_blocks(content: bytes) -> list[dict]:
-    """Paragraphs (style name, whether numbered, text) and tables (rows of cell texts) in body order."""
+def _body(xml) -> Iterator:
+    """The body's own elements, each forgotten once the next is asked for."""
+    depth, body = 0, None
+    for event, e in ElementTree.iterparse(xml, ("start", "end")):
+        if event == "start":
+            if depth == 1 and e.tag == f"{_W}body":
+                body = e
+            depth += 1
+            continue
+        depth -= 1
+        if e is body:
+            body = None
+        elif body is not None and depth == 2:
+            yield e
+            body.clear()
+
+
+def iter_blocks(content: bytes) -> Iterator[dict]:
+    """Paragraphs (style name, whether numbered, text) and tables (rows of cell texts) in body order, read one at a time."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         styles = _styles(z)
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    out = []
-    for e in body if body is not None else ():
-        if e.tag == f"{_W}p":
-            style, numbered = e.find(f"{_W}pPr/{_W}pStyle"), e.find(f"{_W}pPr/{_W}numPr") is not None
-            sid = style.get(f"{_W}val", "") if style is not None else ""
-            out.append({"style": styles.get(sid, sid), "is_list": numbered, "text": _text(e), "rows": None})
-        elif e.tag == f"{_W}tbl":
-            out.append({"style": None, "is_list": False, "text": None, "rows": _rows(e)})
-    return out
+        with z.open("word/document.xml") as xml:
+            for e in _body(xml):
+                if e.tag == f"{_W}p":
+                    style, numbered = e.find(f"{_W}pPr/{_W}pStyle"), e.find(f"{_W}pPr/{_W}numPr") is not None
+                    sid = style.get(f"{_W}val", "") if style is not None else ""
+                    yield {"style": styles.get(sid, sid), "is_list": numbered, "text": _text(e), "rows": None}
+                elif e.tag == f"{_W}tbl":
+                    yield {"style": None, "is_list": False, "text": None, "rows": _rows(e)}
 
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +139,7 @@ def extract(files: DataFrame) -> DataFrame:
         for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
             blocks, error = [], None
             try:
-                blocks = read_blocks(one.column(len(kept))[0].as_py())
+                blocks = list(iter_blocks(one.column(len(kept))[0].as_py()))
             except _UNREADABLE as e:
                 error = f"{type(e).__name__}: " + re.sub(r"\s+", " ", str(e))
             yield pa.RecordBatch.from_arrays([*one.columns[: len(kept)], pa.array([blocks], _BLOCKS), pa.array([error], pa.string())], [*kept, "raw", "error"])
