@@ -103,3 +103,15 @@ def test_folds_are_linear_in_a_document(spark):
     seconds(100)
     short = seconds(3_000)
     assert seconds(12_000) < 8 * short + 10  # four times as long; a quadratic fold takes sixteen times
+
+
+def test_a_query_builds_only_the_tables_it_reads(spark, tmp_path):
+    for t in ("documents", "embeddings"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    built = index_of(spark, str(tmp_path))
+    registry.QUERIES["catalog_by_type"](spark, str(tmp_path)).collect()
+    assert set(built) == {"staged", "documents"} and "body" not in built["staged"].columns
+    registry.QUERIES["outline"](spark, str(tmp_path)).collect()
+    assert set(built) == {"staged", "documents", "chunks"}
+    registry.QUERIES["content_keyword"](spark, str(tmp_path)).collect()
+    assert "blocks" in built and not [t for t in built if t.startswith("stem_")]
