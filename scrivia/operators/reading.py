@@ -50,15 +50,16 @@ def section_dump(files: DataFrame, chars: int = 150) -> DataFrame:
     return out.withColumn("preview", preview).drop("ts")
 
 
-def locate(chains: DataFrame, doc_id: str, revision: str | None = None) -> DataFrame:
+def locate(chains: DataFrame, doc_id: str, revision: str | None = None, loose: bool = True) -> DataFrame:
     """One row (outcome, doc_id, latest_current, wanted, info, revisions) for the document and revision asked for.
 
     Outcomes: ``unknown`` document (none, or several and no exact one), ``obsolete`` (no revision asked, none
-    current), ``no revision`` of that name, ``empty``, ``found``.  Exact identifiers go before looser matches, of any number.
+    current), ``no revision`` of that name, ``empty``, ``found``.  Exact identifiers go before looser matches, of any number;
+    without ``loose`` there are none of these.
     """
     asked = F.lit(doc_id)
-    hits = chains.where(catalog.id_score(asked, F.col("doc_id"), F.col("type")) == 100)
-    hits = hits.withColumn("exact", normal_id("doc_id") == normal_id(asked))
+    same = normal_id("doc_id") == normal_id(asked)
+    hits = chains.where(catalog.id_score(asked, F.col("doc_id"), F.col("type")) == 100 if loose else same).withColumn("exact", same)
     each = hits.groupBy("exact").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "latest_current", "revisions")).alias("c"))
     best = each.agg(F.max_by(F.struct("n", "c"), "exact").alias("b")).select("b.n", "b.c.*")
     wanted = F.col("latest_current") if revision is None else F.lit(revision.upper())

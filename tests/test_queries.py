@@ -2,6 +2,7 @@ import sqlite3
 import time
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,14 @@ def test_a_query_builds_only_the_tables_it_reads(spark, tmp_path):
     assert set(built) == {"staged", "documents", "chunks"}
     registry.QUERIES["content_keyword"](spark, str(tmp_path)).collect()
     assert "blocks" in built and not [t for t in built if t.startswith("stem_")]
+
+
+def test_reading_by_exact_identifiers_where_numbers_are_longer(spark, tmp_path):
+    """From 1,000 chains on identifiers have four digits, and ``BOM-P01-010`` is a fragment of ``BOM-P01-0010`` only."""
+    path = str(tmp_path)
+    spark.range(3000).selectExpr("id AS doc_id", "concat('Some words of text ', id) AS text").write.parquet(f"{path}/documents.parquet")
+    got = {(r.ask, r.outcome, r.doc_id, r.wanted) for r in registry.QUERIES["read_outcomes"](spark, path).collect()}
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert got == set(want.sql(registry.ORACLE_SQL["read_outcomes"]).fetchall())
+    assert ("bom_p01/010", "unknown", None, "A") in got
