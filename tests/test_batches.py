@@ -3,7 +3,8 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scrivia.operators import batches, catalog
+from scrivia.operators import batches, catalog, content, early_stop
+from scrivia.storage import materialise
 
 K = 10
 
@@ -33,3 +34,28 @@ def test_nearest_titles_are_those_of_scoring_every_pair(spark, monkeypatch):
     blocks = 300 // 60 + 1
     assert few.count() <= len(asks) * K * (blocks + 3 + 1)
     assert few.groupBy("q").count().agg(F.max("count")).first()[0] <= K * (blocks + 3 + 1)
+
+
+def test_best_chunks_are_those_of_the_block_search(spark, monkeypatch):
+    monkeypatch.setattr(batches, "CHUNKS", 2 * early_stop.WINDOW)
+    monkeypatch.setattr(batches, "ASKED", 28)
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choices(words, weights=range(30, 0, -1), k=r.randint(1, 25))) for _ in range(900)]
+    texts = [texts[0] if i % 7 == 0 else t for i, t in enumerate(texts)] + ["rare w29 pair", ""]
+    rows = [(f"D-{i // 6:03d}@{'AB'[i // 3 % 2]}#{i % 3}", f"D-{i // 6:03d}", "AB"[i // 3 % 2], i % 3, t) for i, t in enumerate(texts)]
+    chunks = materialise(spark.createDataFrame(rows, "chunk_id string, doc_id string, revision string, position int, text string").coalesce(2), "chunks")
+    eligible = chunks.where("revision = 'A'").select("doc_id", "revision").distinct()
+    directory = materialise(early_stop.numbered(chunks), "directory")
+    post = content.postings(chunks)
+    index = early_stop.Blocks(directory, materialise(early_stop.blocked(post, directory), "blocks"))
+    figures = materialise(content.corpus_figures(post, chunks), "figures")
+    asks = [r.choices(words, k=r.randint(1, 4)) for _ in range(20)] + [["rare", "pair"], ["w1", "rare"], ["w1", "none"], ["none"], [], ["W1", "w1"], texts[0].split()]
+    queries = spark.createDataFrame(list(enumerate(asks)), "q long, terms array<string>")
+    # all terms only in the last chunks, which are not shown
+    assert rows[900][2] == "A" and rows[-1][4] == ""
+    for shown in (eligible, eligible.where("doc_id < 'D-150'")):
+        got, want = ([tuple(x) for x in f.select("q", "rank", "chunk_id", "doc_id", "revision", F.round("score", 6)).orderBy("q", "rank").collect()] for f in (
+            batches.best_chunks(index, figures, queries, 5, shown), early_stop.top_k(index, figures, queries, 5, shown)))
+        assert got == want and got
+        assert any(x[0] == 20 for x in got) == (shown is eligible)
