@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import same
-from scrivia.operators import chunking
+from scrivia.functions.stemming import stem_of
+from scrivia.operators import chunking, content, early_stop
 from scrivia.plans import registry
 from scrivia.plans.built import index_of
 from scrivia.storage import materialise
@@ -118,6 +119,28 @@ def test_a_query_builds_only_the_tables_it_reads(spark, tmp_path):
     assert "blocks" in built and not [t for t in built if t.startswith("stem_")]
 
 
+def test_stemmed_blocks_are_built_without_plain_ones(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    registry.QUERIES["content_keyword_porter"](spark, str(tmp_path)).collect()
+    built = index_of(spark, str(tmp_path))
+    assert "stem_blocks" in built and "blocks" not in built
+
+
+@pytest.mark.parametrize("stems", [False, True])
+def test_blocks_shuffle_texts_and_not_their_postings(spark, stems):
+    texts = ["the licenses, licensed: License", "", "a the THE", "élan 東京 licensing x2", "... !"] * 60
+    chunks = materialise(spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "number long, text string"), "texts")
+    made = early_stop.windowed(chunks, 3, stems)
+    # texts go by window; nothing is shuffled once they are words
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    post = content.postings(chunks, "number")
+    if stems:
+        post = post.withColumn("term", stem_of("term")).groupBy("term", "number", "dl").agg(F.sum("tf").alias("tf"))
+    want = early_stop.gathered(post)
+    key = lambda df: sorted((r.term, r.window, r.n, r.tf_most, r.dl_least, [tuple(e) for e in r.entries]) for r in df.select("term", "window", "n", "tf_most", "dl_least", "entries").collect())
+    assert key(made) == key(want) and key(made)
+
+
 def test_reading_by_exact_identifiers_where_numbers_are_longer(spark, tmp_path):
     """From 1,000 chains on identifiers have four digits, and ``BOM-P01-010`` is a fragment of ``BOM-P01-0010`` only."""
     path = str(tmp_path)
