@@ -81,8 +81,12 @@ def unit(rows: DataFrame) -> DataFrame:
 
 
 def fit_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
-    """Unit centres of the sample by spherical k-means, the first ones spread over it."""
-    centres = sample[np.linspace(0, len(sample) - 1, min(pivots, len(sample))).astype(int)]
+    """Unit centres of the sample by spherical k-means, each of the first ones farthest from those before: a cluster without one widens another's blocks."""
+    first, near = [0], sample @ sample[0]
+    while len(first) < min(pivots, len(sample)):
+        first.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[first[-1]])
+    centres = sample[first]
     for _ in range(STEPS):
         of = (sample @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
