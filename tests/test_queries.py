@@ -11,6 +11,7 @@ from scrivia.functions.stemming import stem_of
 from scrivia.operators import chunking, content, early_stop
 from scrivia.plans import registry
 from scrivia.plans.built import index_of
+from scrivia.sources import fixtures as fx
 from scrivia.storage import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -119,6 +120,37 @@ def test_a_query_builds_only_the_tables_it_reads(spark, tmp_path):
     assert "blocks" in built and not [t for t in built if t.startswith("stem_")]
 
 
+def _moved(df):
+    """Exchanges of rows by key in a plan; broadcasts and single rows not counted."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_bodies_are_not_shuffled_to_choose_the_file_that_stays(spark):
+    assert _moved(fx.kept(spark, SF)) == 0
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_one_file_of_a_shared_name_stays(spark, most):
+    # (doc_id, revision) of A are shared by 40 rows and those without any by two; each other name has one row
+    rows = [("A", "1", i % 3 > 0, f"f{i:02d}", f"body {i}") for i in range(40)] + [(None, None, False, "n1", "x"), (None, None, False, "n0", "y")]
+    rows += [("A", None, True, "a", ""), (None, "1", True, "b", "z")] + [(f"D{i}", "B", i % 2 == 0, f"d{i}", f"own {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id string, revision string, is_duplicate boolean, filename string, body string")
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[3])):
+        want.setdefault(r[:2], r)
+    got = chunking.first_copies(docs, most)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.values(), key=str)
+    assert got.columns == docs.columns
+
+
+def test_the_same_row_twice_stays_once(spark, tmp_path):
+    spark.range(60).selectExpr("id % 50 AS doc_id", "concat('Some words of text ', id % 50) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["outline"](spark, str(tmp_path)).collect()
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(want.sql(registry.ORACLE_SQL["outline"]).fetchall()) and got
+
+
 def test_stemmed_blocks_are_built_without_plain_ones(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
     registry.QUERIES["content_keyword_porter"](spark, str(tmp_path)).collect()
