@@ -151,6 +151,21 @@ def test_the_same_row_twice_stays_once(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want.sql(registry.ORACLE_SQL["outline"]).fetchall()) and got
 
 
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_semantic_search_looks_texts_up_where_they_are(spark, monkeypatch, most):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    monkeypatch.setattr(content, "FOUND_MOST", most)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = registry.QUERIES["content_semantic"](spark, SF)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin [chunk_id" in plan) == (most > 0)
+        assert same(found, registry.ORACLE_SQL["content_semantic"], SF)
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def test_stemmed_blocks_are_built_without_plain_ones(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
     registry.QUERIES["content_keyword_porter"](spark, str(tmp_path)).collect()
