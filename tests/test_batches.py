@@ -59,3 +59,56 @@ def test_best_chunks_are_those_of_the_block_search(spark, monkeypatch):
             batches.best_chunks(index, figures, queries, 5, shown), early_stop.top_k(index, figures, queries, 5, shown)))
         assert got == want and got
         assert any(x[0] == 20 for x in got) == (shown is eligible)
+
+
+def test_similar_words_are_those_of_plain_subsequences(monkeypatch):
+    monkeypatch.setattr(batches, "CELLS", 3000)
+    r = random.Random(3)
+    some = lambda n, sizes: {"".join(r.choice("abcde12zz") for _ in range(r.choice(sizes))) for _ in range(n)}
+    words = sorted(some(150, [2, 3, 5, 8, 12, 30, 70]) | {"x" * 70 + "ab" * 10, "x" * 9, "xxxx"}, key=len)
+    tokens = sorted(some(60, [2, 3, 5, 8, 12, 31, 32, 62, 63]) | {"x" * 65 + "ab" * 12, "xxxxxx"})
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(row[j] + 1 if x == y else max(row[j + 1], now[-1]))
+            row = now
+        return row[-1]
+
+    found = batches._Words(words).near(tokens, 55.0)
+    for t in tokens:
+        want = {i: common(t, w) * 200.0 / (len(t) + len(w)) for i, w in enumerate(words)}
+        assert dict(zip(*(x.tolist() for x in found[t]))) == {i: x for i, x in want.items() if x >= 55.0}
+
+
+def test_few_titles_are_scored_to_find_the_nearest():
+    import numpy as np
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(["er", "on", "th", "an", "st", "ou", "ed"]) for _ in range(r.randint(1, 5)))
+    pool = sorted({word() for _ in range(3000)}, key=lambda w: (len(w), w))
+    sets = [r.sample(range(len(pool)), r.randint(1, 4)) for _ in range(6000)] + [[5]] * 30
+    first = [f"D-{i // 2:05d}" for i in range(len(sets))]
+    words = batches._Words(pool)
+    block = batches._Sets(words, np.array([w for s in sets for w in s]), np.array([len(s) for s in sets]), first)
+    asks = [[word() for _ in range(n)] for n in (1, 2, 5, 12, 30, 30)] + [[pool[5]], ["qq"]]
+    near = words.near(sorted({t for ask in asks for t in ask}), 55.0)
+    for ask in asks:
+        at, scores = block.best(ask, near, 10)
+        cells = [dict(zip(*(x.tolist() for x in near[t]))) for t in ask]
+        every = np.array([sum(len(t) * max(c.get(w, 0.0) for w in s) for t, c in zip(ask, cells)) / sum(map(len, ask)) for s in sets])
+        pick = batches._ahead(scores, [first[i] for i in at], 10)
+        want = batches._ahead(every, first, 10)
+        assert [int(at[i]) for i in pick] == [int(i) for i in want]
+        assert np.allclose(scores[pick], every[want], atol=1e-9)
+        if len(ask) == 30:
+            assert len(at) < len(sets) / 4
+
+
+def test_questions_are_dealt_whole(monkeypatch):
+    asks = [(i, [f"t{j}" for j in range(i % 5)]) for i in range(40)] + [(40, [f"u{j}" for j in range(30)])]
+    parts = list(batches._batched(asks, 6))
+    assert [x for p in parts for x in p] == asks and len(parts) > 1
+    assert all(len(p) == 1 or len({t for _, tokens in p for t in tokens}) <= 6 for p in parts)

@@ -120,6 +120,19 @@ def test_a_query_builds_only_the_tables_it_reads(spark, tmp_path):
     assert "blocks" in built and not [t for t in built if t.startswith("stem_")]
 
 
+def test_titles_are_read_without_folding_files(spark, tmp_path):
+    for t in ("documents", "conversations"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    built = index_of(spark, str(tmp_path))
+    found = lambda: sorted(tuple(x) for x in registry.QUERIES["catalog_batch"](spark, str(tmp_path)).collect())
+    got = found()
+    assert set(built) == {"titled"} and got
+    # chains made of folded documents say the same
+    del built["titled"]
+    built["documents"]
+    assert found() == got
+
+
 def _moved(df):
     """Exchanges of rows by key in a plan; broadcasts and single rows not counted."""
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
